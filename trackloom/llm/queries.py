@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, warc
+from . import chat, secrets, warc
 from .common import table
 from .quality import quality_rules
 from .urls import filter_urls
@@ -22,6 +22,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.archive_pages(spark, table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find_secrets(docs, secrets.train(docs)))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -30,6 +35,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
     "op5_warc": op5_warc,
+    "op6_secret_scans": op6_secret_scans,
     "op10_url_filters": op10_url_filters,
 }
 
