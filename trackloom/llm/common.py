@@ -32,12 +32,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark drops an execution's shuffle files when it ends, instead of when the driver collects garbage.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: lineage ends here, lost executors
-    cannot take it along, and nondeterministic parts are fixed."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    cannot take it along, and nondeterministic parts are fixed. Its shuffle files go at once."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

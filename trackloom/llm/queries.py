@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, warc
+from . import chat, secrets, simhash, warc
 from .common import table
 from .quality import quality_rules
 from .urls import filter_urls
@@ -27,6 +27,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs, secrets.train(docs)))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -36,6 +40,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op5_warc": op5_warc,
     "op6_secret_scans": op6_secret_scans,
+    "op9_simhash_dedup": op9_simhash_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
