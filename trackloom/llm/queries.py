@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, secrets, simhash, warc
 from .common import table
+from .decontaminate import contaminations
 from .quality import quality_rules
 from .urls import filter_urls
 
@@ -18,6 +19,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.archive_pages(spark, table(spark, sf_dir, "pages"))).drop("url")
 
@@ -38,6 +43,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
+    "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_secret_scans": op6_secret_scans,
     "op9_simhash_dedup": op9_simhash_dedup,
