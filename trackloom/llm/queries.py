@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, secrets, simhash, warc
+from . import chat, repair, secrets, simhash, warc
 from .common import table
 from .decontaminate import contaminations
 from .quality import quality_rules
@@ -32,6 +33,11 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs, secrets.train(docs)))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return repair.read_shards(repair.write_shards(table(spark, sf_dir, "documents"), path, end_id=1, vocabulary=49_408))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +52,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_secret_scans": op6_secret_scans,
+    "op7_token_files": op7_token_files,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_url_filters": op10_url_filters,
 }
