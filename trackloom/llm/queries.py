@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, repair, secrets, simhash, warc
+from . import chat, packing, repair, secrets, simhash, warc
 from .common import table
 from .decontaminate import contaminations
 from .quality import quality_rules
@@ -38,6 +38,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(table(spark, sf_dir, "documents"), path, end_id=1, vocabulary=49_408))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))[1]
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_secret_scans": op6_secret_scans,
     "op7_token_files": op7_token_files,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_url_filters": op10_url_filters,
 }
