@@ -55,6 +55,7 @@ class Encoder:
         own = self._ids([self.between])[0]
         self.mark = own[0] if len(own) == 1 else None
         self.numbers = _Numbers()
+        self.whole: set[bytes] = set()  # texts that were not cut, since the last call
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 16, dtype=np.int64)
@@ -74,11 +75,15 @@ class Encoder:
         self.size[numbers] = size
         self.used += len(ids)
 
+    def _joins(self, piece: bytes) -> bool:
+        """Whether a piece can stand in a row with others: one word, at most one space before it, no mark inside."""
+        core = piece[1:] if piece[:1] == b" " else piece
+        return self.mark is not None and piece not in self.whole and core.split() == [core] and self.between.strip(b" ") not in piece
+
     def _learn(self) -> None:
         """Ids of the new pieces."""
         new, first = self.numbers.new, len(self.numbers) - len(self.numbers.new)
-        sign = self.between.strip(b" ")
-        alone = [i for i, p in enumerate(new) if self.mark is None or sign in p or p.isspace()]
+        alone = [i for i, p in enumerate(new) if not self._joins(p)]
         together = np.setdiff1d(np.arange(len(new)), alone)
         for at in range(0, len(together), 20_000):
             some = together[at : at + 20_000].tolist()
@@ -86,7 +91,7 @@ class Encoder:
             ids = np.concatenate([np.array(own, dtype=np.uint32) for own in lists])
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(some):
-                raise ValueError("the vocabulary does not keep pieces apart")
+                raise ValueError("this vocabulary does not split text where it is cut here")
             self._keep(first + np.array(some), ids[ids != self.mark], np.diff(cuts, prepend=-1) - 1)
         own = self._ids([new[i] for i in alone])
         self._keep(first + np.array(alone, dtype=np.int64), np.array([x for ids in own for x in ids], dtype=np.uint32), np.array([len(ids) for ids in own], dtype=np.int64))
@@ -98,8 +103,14 @@ class Encoder:
         if self.cut == "space":
             return raw.lower().replace(b".", b" . ").replace(b",", b" , ").split() if plain else raw.split()
         if not plain or b"  " in kinds:
-            return [raw] if raw else []
-        return raw.replace(b".", b"\0.").replace(b",", b"\0,").replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
+            self.whole.add(raw)
+            return [raw]
+        if not raw:
+            return []
+        signs = raw.replace(b".", b"\0.").replace(b",", b"\0,")
+        if b" ." in kinds:  # a sign takes the space before it along
+            signs = signs.replace(b" \0", b" ")
+        return signs.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
@@ -123,7 +134,7 @@ class Encoder:
         extra = len(self.numbers) - REMEMBERED
         for piece in self.numbers.new[max(0, len(self.numbers.new) - extra) :] if extra > 0 else []:
             del self.numbers[piece]
-        self.numbers.new = []
+        self.numbers.new, self.whole = [], set()
         n = len(self.numbers)
         self.used = int((self.start[:n] + self.size[:n]).max(initial=0))
 
