@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from .functions import geometry as G
 from .operators import integrity, quality, scoring, spatial, splits, stats, stitching, temporal, tracking, verdicts, windows
 from .plans.adapters import FRAMES_SQL, POINTS_SQL, SAMPLES_SQL, frames, points, samples, table
+from .streaming import online
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -597,3 +598,21 @@ def role_runs(spark, sf_dir):
     return turns.select("conv_id", (~F.col("role").eqNullSafe(before)).alias("fresh")).groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if("fresh").alias("n_runs"))
 
 
+
+
+# ---- streams ------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+SELECT * FROM w WHERE start_us + 21600000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
+def streaming_windowed_counts(spark, sf_dir):
+    counts = online.windowed_counts(online.event_stream(spark, f"{sf_dir}/events.parquet"), "6 hours", "1 hour")
+    return rounded(online.drained(counts, "stream"), 4)
+
+
+@query()
+def streaming_births(spark, sf_dir):
+    events = online.event_stream(spark, f"{sf_dir}/events.parquet")
+    seen, day = F.col("event_type") != "error", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000.0)
+    stepped = events.select((F.col("user_id") % 30).alias("seq"), (F.floor(day * 4) / 4).alias("t"), F.when(seen, F.col("value")).alias("x"), F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"))
+    return rounded(online.drained(online.born_stream(stepped, MOTION), "births"))

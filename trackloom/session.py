@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,16 @@ def session(name: str = "trackloom", master: str | None = None, **conf: str) ->
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share.
+
+    The folder is the session's `spark.checkpoint.dir`; only where that is unset (tests on one
+    machine) a temporary folder takes its place.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("trackloom.scratch.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("trackloom.scratch.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
