@@ -60,7 +60,7 @@ def test_annotations_and_polygons(spark):
 
 def test_sensor_files(spark, tmp_path):
     kind = np.dtype([("x", "f4"), ("y", "f4"), ("z", "f4"), ("timestamp", "i8"), ("intensity", "u1")])
-    (tmp_path / "000001_lidar_2024-01-01T00:00:00.5Z.npy").write_bytes(b"")
+    (tmp_path / "000001_lidar_2024-01-01T00:00:00.5Z.npy").write_bytes(b"x")
     np.save(tmp_path / "cloud.npy", np.ones(7, dtype=kind))
     names = files.listing(spark, str(tmp_path), "000001*").first()
     assert names["t_us"] == 1704067200500000
