@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one numpy step works on; memory of a task follows this, not the batch.
-SLICE_BYTES = 4 << 20
+from ..session import scratch
 
+#: Bytes of text that one numpy step works on; memory of a task follows this, not the batch.
+SLICE_BYTES = 1 << 20
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["SLICE_BYTES", "scratch", "table", "text_slices", "texts_of", "written"]
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("trackloom.scratch.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("trackloom.scratch.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Spark drops an execution's shuffle files when it ends, instead of when the driver collects garbage.

@@ -101,9 +101,9 @@ def _meet_part(fps: DataFrame, masks: np.ndarray, radius: int, part: int, slices
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             own = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for at in range(0, len(own), 1024):
+            for at in range(0, len(own), 512):
                 with np.errstate(over="ignore"):
-                    values = own[at : at + 1024, None] ^ masks
+                    values = own[at : at + 512, None] ^ masks
                     spread = values * _SPREAD
                 mine = (spread >> np.uint64(40)) % np.uint64(slices) == part
                 value, code = values[mine], np.broadcast_to(codes, values.shape)[mine]
