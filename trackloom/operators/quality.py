@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .temporal import coast_runs, speeds
+from .temporal import in_time
 
 # Names of flags and tiers.
 FLAGS = ("EMPTY", "LOW_COVERAGE", "SHORT", "SPARSE_LIFT", "LOW_CONF", "JITTER")
@@ -30,8 +31,20 @@ def measured() -> Column:
 
 
 def track_metrics(frames: DataFrame) -> DataFrame:
-    """One row a track: counts, coverage, duration, runs without observation, medians, greatest speed."""
-    base = frames.groupBy("seq", "track").agg(
+    """One row a track: counts, coverage, duration, runs without observation, medians, greatest speed.
+
+    Runs and speeds are told row by row over the track's window, so one exchange on the track serves
+    the windows and all aggregates.
+    """
+    place, before = F.row_number().over(in_time()), F.lag("observed").over(in_time())
+    seen_at = F.last(F.when(F.col("observed"), F.col("place")), ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
+    dt, dx = F.col("t") - F.lag("t").over(in_time()), F.col("x") - F.lag("x").over(in_time())
+    rows = (
+        frames.select("seq", "track", "t", "x", "observed", "points", "confidence", place.alias("place"), before.alias("before"), dt.alias("dt"), dx.alias("dx"))
+        .withColumn("coasted", F.col("place") - F.coalesce(seen_at, F.lit(0)))
+        .withColumn("speed", F.when(F.col("dt") > 0, F.abs("dx") / F.col("dt")))
+    )
+    return rows.groupBy("seq", "track").agg(
         F.count("*").alias("n_frames"),
         F.count_if("observed").alias("n_observed"),
         F.count_if(measured()).alias("n_measured"),
@@ -39,11 +52,10 @@ def track_metrics(frames: DataFrame) -> DataFrame:
         (F.max("t") - F.min("t")).alias("duration"),
         F.coalesce(F.median(F.when(measured(), F.col("points"))).cast("int"), F.lit(0)).alias("median_points"),
         F.coalesce(F.median(F.when(measured(), F.col("confidence"))), F.lit(0.0)).alias("median_confidence"),
+        F.max("coasted").cast("long").alias("longest_coast"),
+        F.count_if(~F.col("observed") & F.coalesce("before", F.lit(True))).alias("n_coasts"),
+        F.coalesce(F.max("speed"), F.lit(0.0)).alias("max_speed"),
     )
-    runs = coast_runs(frames).groupBy("track").agg(F.max("n_frames").alias("longest_coast"), F.count("*").alias("n_coasts"))
-    fast = speeds(frames).groupBy("track").agg(F.max("speed").alias("max_speed"))
-    joined = base.join(runs, "track", "left").join(fast, "track", "left")
-    return joined.fillna({"longest_coast": 0, "n_coasts": 0, "max_speed": 0.0})
 
 
 def flags(limits: Thresholds = Thresholds()) -> Column:

@@ -72,12 +72,14 @@ def nearest_fill(frames: DataFrame, value: Column, known: Column) -> DataFrame:
     )
 
 
-def first_true(frames: DataFrame, condition: Column) -> DataFrame:
-    """The first frame of each track where the condition holds; tracks without one are kept with nulls."""
+def first_true(frames: DataFrame, condition: Column, spans: bool = False) -> DataFrame:
+    """The first frame of each track where the condition holds; tracks without one are kept with
+    nulls. `spans` adds the track's first and last time."""
     hit = F.min_by(F.struct("frame", "t", "observed"), F.when(condition, F.struct("t", "frame")))
-    found = frames.groupBy("track").agg(F.max(condition.cast("int")).alias("any"), hit.alias("hit"))
+    found = frames.groupBy("track").agg(F.max(condition.cast("int")).alias("any"), hit.alias("hit"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     own = F.when(F.col("any") == 1, F.col("hit"))
-    return found.select("track", own["frame"].alias("onset_frame"), own["t"].alias("onset_t"), own["observed"].alias("onset_observed"))
+    onset = [own["frame"].alias("onset_frame"), own["t"].alias("onset_t"), own["observed"].alias("onset_observed")]
+    return found.select("track", *onset, *(["t0", "t1"] if spans else []))
 
 
 def _timeline(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:

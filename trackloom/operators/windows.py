@@ -14,17 +14,13 @@ HORIZONS = (1.0, 1.5, 2.0)
 LENGTH, SLACK, LEAST_OBSERVED = 0.5, 1e-4, 0.7
 
 
-def spans(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("track").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-
-
 def event_windows(frames: DataFrame, condition: Column, horizons: Sequence[float] = HORIZONS, length: float = LENGTH) -> DataFrame:
     """One proposal a horizon for each track with an event: the window that ends a horizon before it.
 
     `skip_reason` tells whether it fits into the track; of windows with equal start (in
     milliseconds) the one of the later horizon in the list is kept.
     """
-    onset = first_true(frames, condition).where("onset_t is not null").join(spans(frames), "track")
+    onset = first_true(frames, condition, spans=True).where("onset_t is not null")
     each = onset.select("track", "t0", "t1", "onset_t", "onset_observed", F.posexplode(F.array(*[F.lit(h) for h in horizons])).alias("place", "horizon"))
     cut = each.withColumn("end", F.col("onset_t") - F.col("horizon")).withColumn("start", F.col("end") - length)
     fits = (F.col("start") >= F.col("t0") - SLACK) & (F.col("end") <= F.col("t1") + SLACK)
@@ -40,7 +36,8 @@ def best_observed_window(frames: DataFrame, distance: Column, length: float = LE
     there (moved into the track), shares of observed frames are computed for all, the first that
     suffices by (distance, t) is taken.
     """
-    own = frames.join(spans(frames), "track").where(F.col("observed") & (F.col("t1") - F.col("t0") >= length))
+    whole = Window.partitionBy("track")
+    own = frames.withColumns({"t0": F.min("t").over(whole), "t1": F.max("t").over(whole)}).where(F.col("observed") & (F.col("t1") - F.col("t0") >= length))
     end = F.least(F.greatest(F.col("t"), F.col("t0") + length), F.col("t1"))
     proposed = own.select("track", F.col("frame").alias("window"), distance.alias("distance"), F.col("t").alias("at"), end.alias("end"), (end - length).alias("start"))
     hits = in_windows(proposed.select("track", "window", "start", "end"), frames, SLACK, width).groupBy("track", "window").agg(F.avg(F.col("observed").cast("int")).alias("fraction"))
