@@ -199,7 +199,7 @@ def range_join_window(spark, sf_dir):
 {HITS_SQL.replace(' JOIN', ' LEFT JOIN')} GROUP BY w.track, w."window" """)
 def observed_fraction(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    return rounded(temporal.observed_fraction(_signups(rows), rows))
+    return rounded(temporal.observed_fraction(_signups(rows), rows).drop("start", "end"))
 
 
 # ---- windows before events ----------------------------------------------------------------------
@@ -238,8 +238,7 @@ def closest_observed_window(spark, sf_dir):
 
 
 def _measured(rows: DataFrame) -> DataFrame:
-    proposals = _proposals(rows)
-    return proposals.join(temporal.observed_fraction(proposals, rows), ["track", "window"])
+    return temporal.observed_fraction(_proposals(rows), rows)
 
 
 @query(f"""WITH {WINDOWS_SQL},

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def _distance(ax: str, ay: str, bx: str, by: str) -> Column:
     dx, dy = F.col(ax) - F.col(bx), F.col(ay) - F.col(by)
@@ -46,18 +48,26 @@ def nearest_distance(points: DataFrame, surface: DataFrame, width: float, on: li
     """For each point (key, x, y) the distance to the nearest surface point (ox, oy) of equal `on`; null without any.
 
     Cells are searched in widening radii: what has a surface point within the radius is settled, the
-    rest goes on with twice the radius. What is left after `rings` is compared with the occupied
-    cells' corner points first (a lower bound by cell) and then exactly with the cells that can hold
-    the nearest, so nothing is approximated.
+    rest goes on with twice the radius; each round is a written table, so the rounds' plans do not
+    pile up. For what is left after `rings` cells bound the distance, and only cells that can hold the
+    nearest point are opened, so nothing is approximated.
     """
-    left, settled, radius = points, None, width
+    left, settled, radius = points, [], width
     for _ in range(rings):
         found = within(left, surface, radius, on).groupBy("key").agg(F.min("distance").alias("distance"))
-        settled = found if settled is None else settled.unionByName(found)
-        left = left.join(found.select("key"), "key", "left_anti")
+        both = written(left.join(found, "key", "left"), "nearest")
+        settled.append(both.where("distance is not null").select("key", "distance"))
+        left = both.where("distance is null").drop("distance")
         radius *= 2
-    far = _far_distance(left, surface, radius, on)
-    return points.select("key").join(settled.unionByName(far), "key", "left")
+        if left.isEmpty():
+            break
+    else:
+        far = _far_distance(left, surface, radius, on)
+        settled.append(left.select("key").join(far, "key", "left"))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _far_distance(points: DataFrame, surface: DataFrame, width: float, on: list[str]) -> DataFrame:

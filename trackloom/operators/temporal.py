@@ -123,16 +123,32 @@ def interpolate(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
     return _neighbours(left, right, value).select("track", "frame", at.alias("value"))
 
 
-def in_windows(windows: DataFrame, frames: DataFrame, slack: float = 1e-4, width: float = 3.0) -> DataFrame:
-    """Frames inside windows (track, window, start, end), closed and with slack: an equi-join on
-    buckets of `width` seconds, so that a track's windows meet only frames of their own time."""
+def _bucketed(windows: DataFrame, frames: DataFrame, slack: float, width: float, how: str) -> DataFrame:
     lo, hi = F.floor((F.col("start") - slack) / width), F.floor((F.col("end") + slack) / width)
     cut = windows.withColumn("bucket", F.explode(F.sequence(lo, hi)))
     own = frames.select("track", F.floor(F.col("t") / width).alias("bucket"), F.col("t").alias("frame_t"), "frame", "observed", "points", "x")
-    return cut.join(own, ["track", "bucket"]).where((F.col("frame_t") >= F.col("start") - slack) & (F.col("frame_t") <= F.col("end") + slack)).drop("bucket")
+    return cut.join(own, ["track", "bucket"], how)
+
+
+def _inside(slack: float) -> Column:
+    return (F.col("frame_t") >= F.col("start") - slack) & (F.col("frame_t") <= F.col("end") + slack)
+
+
+def in_windows(windows: DataFrame, frames: DataFrame, slack: float = 1e-4, width: float = 3.0) -> DataFrame:
+    """Frames inside windows (track, window, start, end), closed and with slack: an equi-join on
+    buckets of `width` seconds, so that a track's windows meet only frames of their own time."""
+    return _bucketed(windows, frames, slack, width, "inner").where(_inside(slack)).drop("bucket")
 
 
 def observed_fraction(windows: DataFrame, frames: DataFrame, slack: float = 1e-4, width: float = 3.0) -> DataFrame:
-    """For each window the number of frames and the observed share of them (null without frames)."""
-    hits = in_windows(windows, frames, slack, width).groupBy("track", "window").agg(F.count("*").alias("n_frames"), F.avg(F.col("observed").cast("int")).alias("fraction"))
-    return windows.select("track", "window").join(hits, ["track", "window"], "left").select("track", "window", F.coalesce("n_frames", F.lit(0).cast("long")).alias("n_frames"), "fraction")
+    """The windows with the number of their frames and the observed share of these (null without frames).
+
+    One join and one aggregate: windows keep their other columns, and those without frames stay.
+    """
+    hit = F.coalesce(_inside(slack), F.lit(False))
+    others = [c for c in windows.columns if c not in ("track", "window")]
+    return (
+        _bucketed(windows, frames, slack, width, "left")
+        .groupBy("track", "window")
+        .agg(*[F.first(c).alias(c) for c in others], F.count_if(hit).alias("n_frames"), F.avg(F.when(hit, F.col("observed").cast("int"))).alias("fraction"))
+    )

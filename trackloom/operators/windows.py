@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .temporal import first_true, in_windows
+from .temporal import first_true, observed_fraction
 
 HORIZONS = (1.0, 1.5, 2.0)
 LENGTH, SLACK, LEAST_OBSERVED = 0.5, 1e-4, 0.7
@@ -40,8 +40,7 @@ def best_observed_window(frames: DataFrame, distance: Column, length: float = LE
     own = frames.withColumns({"t0": F.min("t").over(whole), "t1": F.max("t").over(whole)}).where(F.col("observed") & (F.col("t1") - F.col("t0") >= length))
     end = F.least(F.greatest(F.col("t"), F.col("t0") + length), F.col("t1"))
     proposed = own.select("track", F.col("frame").alias("window"), distance.alias("distance"), F.col("t").alias("at"), end.alias("end"), (end - length).alias("start"))
-    hits = in_windows(proposed.select("track", "window", "start", "end"), frames, SLACK, width).groupBy("track", "window").agg(F.avg(F.col("observed").cast("int")).alias("fraction"))
-    good = proposed.join(hits, ["track", "window"]).where(F.col("fraction") >= least)
+    good = observed_fraction(proposed, frames, SLACK, width).where(F.col("fraction") >= least)
     best = F.min_by(F.struct("window", "distance", "start", "end", "fraction"), F.struct("distance", "at", "window"))
     return good.groupBy("track").agg(best.alias("b")).select("track", "b.*")
 
