@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch
+from ..session import scratch, written
 
 #: Bytes of text that one numpy step works on; memory of a task follows this, not the batch.
 SLICE_BYTES = 1 << 20
@@ -21,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Spark drops an execution's shuffle files when it ends, instead of when the driver collects garbage.
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: lineage ends here, lost executors
-    cannot take it along, and nondeterministic parts are fixed. Its shuffle files go at once."""
-    spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(_RELEASE)
-    spark.conf.set(_RELEASE, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_RELEASE, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of text (a longer text stands alone)."""
     for batch in batches:
