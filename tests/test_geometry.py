@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import geometry as G
-from trackloom.operators import spatial
+from trackloom.functions import registry
+from trackloom.operators import lifting, poses, spatial
 
 SQUARE = ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0))
 
@@ -55,3 +57,57 @@ def test_nearest_distance_near_and_far(spark):
 def test_key_member_ties_by_id(spark):
     rows = spark.createDataFrame([(0, 7, 1.0), (0, 3, 1.0), (0, 9, 2.0)], "seq long, track long, d double")
     assert spatial.key_member(rows, F.col("d")).first()["track"] == 3
+
+
+BOX = "scan long, box long, x1 double, y1 double, x2 double, y2 double"
+POINT = "scan long, x double, y double, z double, u double, v double"
+
+
+def test_frustum_keeps_the_middle_of_a_box(spark):
+    edge = [(20.0, 10.0), (80.0, 90.0), (19.0, 50.0), (81.0, 50.0), (50.0, 9.0), (50.0, 91.0), (None, 50.0)]
+    points = spark.createDataFrame([(1, 1.0, 0.0, 0.0, u, v) for u, v in edge], POINT)
+    boxes = spark.createDataFrame([(1, 7, 0.0, 0.0, 100.0, 100.0)], BOX)
+    assert lifting.in_frustum(points, boxes, bucket=16.0).count() == 2
+    assert lifting.lift(points, boxes).first()["x"] is None  # two points are too few
+    assert lifting.pool(boxes.union(spark.createDataFrame([(2, 8, 0.0, 0.0, 1.0, 1.0)], BOX)).select("scan").distinct(), lifting.lift(points, boxes)).where("size(candidates) = 0").count() == 2
+
+
+def test_lift_takes_the_near_slab(spark):
+    rows = [(1, 10.0 + i / 10, 0.0, 1.0, 50.0, 50.0) for i in range(10)] + [(1, 40.0, 0.0, 1.0, 50.0, 50.0)] * 4
+    got = lifting.lift(spark.createDataFrame(rows, POINT), spark.createDataFrame([(1, 7, 0.0, 0.0, 100.0, 100.0)], BOX)).first()
+    assert got["x"] == pytest.approx(10.45) and got["n_points"] == 10
+
+
+def test_points_in_box(spark):
+    one = [F.lit(v) for v in (0.0, 0.0, 0.0, 4.0, 2.0, 1.0)]
+    box = dict(zip(("cx", "cy", "cz", "length", "width", "height"), one, strict=True))
+    inside = lifting.points_in_box(F.col("x"), F.lit(1.0), F.lit(0.5), **box)
+    assert [r[0] for r in spark.createDataFrame([(2.0,), (2.1,)], "x double").select(inside).collect()] == [True, False]
+
+
+def _pose(angle, x):
+    c, s = math.cos(angle), math.sin(angle)
+    return [c, -s, 0.0, x, s, c, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_poses_between_neighbours(spark):
+    known = spark.createDataFrame([("a", 0.0, _pose(0.0, 0.0)), ("a", 2.0, _pose(math.pi / 2, 4.0))], "sequence_id string, ts double, pose array<double>")
+    asked = spark.createDataFrame([("a", t) for t in (-1.0, 0.0, 1.0, 2.0, 9.0)] + [("b", 0.0)], "sequence_id string, t double")
+    got = {r["t"]: r["pose"] for r in poses.poses_at(asked, known).where("sequence_id = 'a'").collect()}
+    want = {-1.0: (0, 0), 0.0: (0, 0), 1.0: (math.pi / 4, 2), 2.0: (math.pi / 2, 4), 9.0: (math.pi / 2, 4)}
+    for t, (angle, x) in want.items():
+        assert got[t] == pytest.approx(_pose(angle, x), abs=1e-9)
+    assert poses.poses_at(asked, known).where("sequence_id = 'b'").count() == 0
+
+
+def test_turns_round_trip():
+    q = np.random.default_rng(1).normal(size=(50, 4))
+    r = poses.quaternion_to_rotation(q)
+    assert np.allclose(poses.quaternion_to_rotation(poses.rotation_to_quaternion(r)), r)
+
+
+def test_sql_functions(spark):
+    registry.register(spark)
+    ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 4D, 'y', 4D), named_struct('x', 0D, 'y', 4D))"
+    row = spark.sql(f"SELECT in_ring(1, 2, {ring}) a, in_ring(5, 2, {ring}) b, lerp_at(0, 0, 2, 10, 1) c, lerp_at(0, 0, 2, 10, 5) d, range_xy(3, 4) e, sequence_key(' 7 ') f, tier_of(NULL) g").first()
+    assert tuple(row) == (True, False, 5.0, 10.0, 5.0, "000007", "gold")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import geometry as G
-from .operators import integrity, quality, scoring, spatial, splits, stats, stitching, temporal, tracking, verdicts, windows
+from .operators import integrity, lifting, quality, scoring, spatial, splits, stats, stitching, temporal, tracking, verdicts, windows
 from .plans.adapters import FRAMES_SQL, POINTS_SQL, SAMPLES_SQL, frames, points, samples, table
 from .streaming import online
 
@@ -540,6 +540,25 @@ def gated_nearest(spark, sf_dir):
     return rounded(spatial.nearest_in_gate(*_sides(spark, sf_dir, "vec_id % 3 = 0"), gate=0.5, on=["label"]))
 
 
+_PIXELS = "900.0 * x / (abs(z) + 5) + 960.0 AS u, 910.0 * y / (abs(z) + 5) + 540.0 AS v"
+
+
+@query(f"""WITH {POINTS_SQL}, p AS (SELECT label AS scan, vec_id, x, y, z, {_PIXELS} FROM points),
+b AS (SELECT scan, vec_id AS box, u - 250 AS x1, v - 250 AS y1, u + 250 AS x2, v + 250 AS y2 FROM p WHERE vec_id % 20 = 0),
+i AS (SELECT b.scan, b.box, p.x, p.y, p.z, sqrt(p.x * p.x + p.y * p.y) AS r FROM b JOIN p ON p.scan = b.scan
+  AND p.u BETWEEN x1 + 0.2 * (x2 - x1) AND x2 - 0.2 * (x2 - x1) AND p.v BETWEEN y1 + 0.1 * (y2 - y1) AND y1 + 0.9 * (y2 - y1)),
+n AS (SELECT scan, box, quantile_cont(r, 0.15) AS near, count(*) AS n_all FROM i GROUP BY scan, box),
+m AS (SELECT i.*, r <= near + 1.5 AS s, n_all FROM i JOIN n USING (scan, box)),
+l AS (SELECT scan, box, count(*) FILTER (s) AS k, any_value(n_all) AS n_all, median(x) FILTER (s) AS sx, median(y) FILTER (s) AS sy, median(z) FILTER (s) AS sz, median(x) AS ax, median(y) AS ay, median(z) AS az FROM m GROUP BY scan, box)
+SELECT b.scan, b.box, round(CASE WHEN k >= 3 THEN sx ELSE ax END, 6) AS x, round(CASE WHEN k >= 3 THEN sy ELSE ay END, 6) AS y, round(CASE WHEN k >= 3 THEN sz ELSE az END, 6) AS z,
+  CASE WHEN k >= 3 THEN k ELSE n_all END AS n_points FROM b LEFT JOIN (SELECT * FROM l WHERE n_all >= 3) l USING (scan, box)""")
+def frustum_lift(spark, sf_dir):
+    depth = F.abs("z") + 5
+    p = points(spark, sf_dir).select(F.col("label").alias("scan"), "vec_id", "x", "y", "z", (900.0 * F.col("x") / depth + 960.0).alias("u"), (910.0 * F.col("y") / depth + 540.0).alias("v"))
+    b = p.where("vec_id % 20 = 0").select("scan", F.col("vec_id").alias("box"), *[(F.col(c) + d).alias(n) for n, c, d in (("x1", "u", -250), ("y1", "v", -250), ("x2", "u", 250), ("y2", "v", 250))])
+    return rounded(lifting.lift(p, b))
+
+
 # ---- integrity, metrics, JSON -------------------------------------------------------------------
 
 
