@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import text_slices, texts_of, written
-from .tokens import encoder
+from .tokens import STEP_BYTES, encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, local long"
 
@@ -53,7 +53,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, room: int, cut_at: s
         part, seen = TaskContext.get().partitionId(), [0] * (room + 1)
         encode = encoder(tokenizer, cut_at)
         kind = "<u2" if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", STEP_BYTES):
             ids, sizes = encode.encode(texts_of(batch))
             ids = np.insert(ids, np.cumsum(sizes), end_id).astype(kind)
             rows, at = [], 0

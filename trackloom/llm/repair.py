@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SLICE_BYTES, scratch, text_slices, texts_of, written
+from .common import scratch, text_slices, texts_of, written
 from .files import NewFile, make_folder, open_random
-from .tokens import encoder
+from .tokens import STEP_BYTES, encoder
 
 SHARD_TOKENS = 2_000_000
 ROUNDS, PAIRS_PER_ROUND, LEAST_COUNT = 4, 4_000, 24
@@ -204,7 +204,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
             file.write(shard_bytes(ids, sizes, held_ids, vocabulary, end_id))
             made.append((part, len(made), file.done(), len(sizes), len(ids)))
 
-        for batch in text_slices(batches, "text", min(SLICE_BYTES, shard_tokens)):
+        for batch in text_slices(batches, "text", min(STEP_BYTES, 2 * shard_tokens)):
             ids, sizes = encode(texts_of(batch))
             ends = np.cumsum(sizes)
             held.append((np.insert(ids, ends, vocabulary), sizes + 1))
