@@ -126,7 +126,7 @@ def _meet_part(fps: DataFrame, masks: np.ndarray, radius: int, part: int, slices
             a, b = stars(np.concatenate(values), np.concatenate(codes), masks, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return fps.select("fp").mapInArrow(emit, "bucket long, value binary, code binary").repartition(tasks, "bucket").mapInArrow(collide, "a long, b long")
+    return fps.select("fp").mapInArrow(emit, "bucket long, value binary, code binary").repartitionById(tasks, F.col("bucket").cast("int")).mapInArrow(collide, "a long, b long")
 
 
 def stars(value: np.ndarray, code: np.ndarray, masks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
