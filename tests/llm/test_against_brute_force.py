@@ -81,6 +81,44 @@ def test_decontamination(spark, sf, texts):
     assert got == want and got
 
 
+def test_documents_shorter_than_an_item_are_compared():
+    item = [f"w{i}" for i in range(50)]
+    bench = decontaminate.Benchmark([(1, " ".join(item)), (2, "a b c d e f g h i j"), (3, "p q r s")])
+    for a in range(12):
+        for b in range(39, 51):
+            size = max(0, b - a - 4)
+            want = [(1, round(size / 46, 9), 0, b - a)] if size / 46 >= 0.8 else []
+            assert decontaminate.matches(" ".join(item[a:b]), bench, 0.8) == want
+    assert decontaminate.matches("a b c d e f g h i", bench, 0.8) == [(2, round(5 / 6, 9), 0, 9)]
+    assert decontaminate.matches("a b c d e f g h", bench, 0.8) == decontaminate.matches("p q r", bench, 0.8) == []
+
+
+def test_short_documents_against_brute_force(spark):
+    """Cut items against all items, with windows clipped to the document."""
+    items = [(r["item_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "benchmark").collect()]
+    own = lambda t: [x for x in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) if x]
+    count = lambda v, k: Counter(tuple(v[j : j + k]) for j in range(len(v) - k + 1))
+    rng, texts = random.Random(9), {}
+    for i, (_, text) in enumerate(items):
+        v = own(text)
+        a = rng.randrange(len(v) // 5 + 1)
+        texts[i] = " ".join(v[a : len(v) - rng.randrange(len(v) // 5 + 1)])
+    want = {}
+    for d, text in texts.items():
+        w = own(text)
+        for item, t in items:
+            v = own(t)
+            k = min(5, len(v))
+            c = count(v, k)
+            size = min(len(v), len(w))
+            sims = [sum((s & c).values()) / max(1, sum((s | c).values())) for s in (count(w[a : a + size], k) for a in range(len(w) - size + 1))]
+            if max(sims, default=0) >= 0.8:
+                want[d, item] = round(max(sims), 9)
+    bench = decontaminate.Benchmark(items)
+    assert {(d, m[0]): m[1] for d, text in texts.items() for m in decontaminate.matches(text, bench, 0.8)} == want
+    assert len(want) > len(items) / 3
+
+
 def test_edited_passages_are_found(spark):
     items = [(r["item_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "benchmark").collect()]
     bench, rng = decontaminate.Benchmark(items), random.Random(5)

@@ -1,6 +1,7 @@
 """Benchmark decontamination (operator 4).
 
-Every benchmark item of n words is looked for in every window of n words of every document. Windows
+Every benchmark item of n words is looked for in every window of n words of every document; a document
+of fewer words is one window as a whole, for every size at which it can still reach the similarity. Windows
 and items get a SimHash over their five-word shingles, repeats included. For each window size the
 items' fingerprints are indexed by blocks of bits: with radius r and b blocks, two fingerprints
 within r differ in at most r // b bits in some block, so looking up every block within that many
@@ -184,7 +185,17 @@ def matches(text: str, bench: Benchmark, similarity: float) -> list[tuple[int |
                     sim = weighted_similarity(shingles(own_words[s : s + size], k), counts[i])
                     if sim >= similarity and sim > best.get((size, i), (0.0, 0))[0]:
                         best[size, i] = (sim, s)
-    return [(bench.sizes[size][3][i], round(sim, 9), s, size) for (size, i), (sim, s) in sorted(best.items())]
+        larger = [s for s in bench.sizes if bench.sizes[s][0] == k and s > n and len(grams) / (s - k + 1) >= similarity]
+        if larger and hits[-1]:
+            own_words = own_words or word_bytes(w, 0, n)
+            whole, own = majority(bits(grams).sum(axis=0, dtype=np.int64)[None, :], len(grams)), shingles(own_words, k)
+            for size in larger:
+                _, index, counts, _ = bench.sizes[size]
+                for i in index.within(whole)[1].tolist():
+                    sim = weighted_similarity(own, counts[i])
+                    if sim >= similarity:
+                        best[size, i] = (sim, 0)
+    return [(bench.sizes[size][3][i], round(sim, 9), s, min(size, n)) for (size, i), (sim, s) in sorted(best.items())]
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
