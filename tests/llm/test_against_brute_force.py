@@ -50,6 +50,24 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert share[1] > 0.98 and share[0] < 0.2
 
 
+def test_quality_target_is_all_good_documents(spark):
+    n_good, n_raw = 24_000, 30_000
+    docs = spark.range(n_raw).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n_good, "aa bb").otherwise("cc dd").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < n_good).cast("int").alias("quality"))
+    used = quality.buckets(quality.words(["aa bb", "cc dd"]))[0]
+    assert len(set(used.tolist())) == 6
+    got = {r["llr"] for r in quality.quality_rules(docs, labels).where(F.col("doc_id") < n_good).select("llr").distinct().collect()}
+    assert got == {round(float(np.log((3 * n_raw + quality.BUCKETS) / (3 * n_good + quality.BUCKETS))), 9)}
+
+
+def test_quality_threshold_is_that_of_all_good_documents(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    rows = quality.quality_rules(docs, labels).where("not base_failed").collect()
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    threshold = np.quantile([r["llr"] for r in rows if r["doc_id"] in good], 0.005) - 0.02
+    assert all(r["kept"] == (r["llr"] >= threshold) for r in rows if abs(r["llr"] - threshold) > 1e-4)
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op3_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out")

@@ -6,9 +6,10 @@ judged by the method: hashed word n-grams (one and two words) are counted in a t
 ratio of its n-grams under the two multinomials, so length cancels out. A document is kept if its
 score reaches the threshold, which is a low quantile of the scores of the target itself.
 
-The raw counts cover every document. The target is a stated, bounded sample of the labelled
-rows (`target_docs`, those with the smallest hash of their id). Counts leave the tasks as one
-row for each bucket that occurs; what reaches the driver is one row a bucket.
+The raw counts cover every document, the target and the threshold every document labelled good: the
+ids meet the documents in a join. Counts leave the tasks as one row for each bucket that occurs; what
+reaches the driver is one row a bucket. Documents are scored once; the quantile is taken over their
+scores by ten-thousandths (an error of 0.00005 at most), of which there are few at any size.
 
 Edge cases: null text = empty; no word = base_failed, score 0; null doc_id is kept as null (it is
 never in the target); repeated rows are scored one by one; an empty table, or no labels, gives
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, texts_of
+from .common import text_slices, texts_of, written
 from .wordhash import SPACE, Words, mix, words
 
 BUCKETS = 1 << 16
@@ -71,24 +72,25 @@ def buckets(w: Words, n: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int64), np.concatenate([doc, doc[at]])
 
 
-def ngram_counts(docs: DataFrame, target_ids: np.ndarray, n: int = BUCKETS) -> DataFrame:
-    """bucket, raw, target: n-grams of all documents and of those whose id is in `target_ids`."""
-    wanted = np.sort(target_ids)
+def ngram_counts(docs: DataFrame, target_ids: DataFrame | np.ndarray, n: int = BUCKETS) -> DataFrame:
+    """bucket, raw, target: n-grams of all documents and of those whose id is in `target_ids` (distinct `doc_id`, or a small array)."""
+    if isinstance(target_ids, np.ndarray):
+        target_ids = docs.sparkSession.createDataFrame([(int(i),) for i in target_ids], "doc_id long")
 
     def count(batches):
         raw, target = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         for batch in text_slices(batches, "text"):
-            w = words(texts_of(batch))
-            ids, doc = buckets(w, n)
+            ids, doc = buckets(words(texts_of(batch)), n)
             raw += np.bincount(ids, minlength=n)
-            own = np.array([-1 if x is None else x for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
-            known = np.isin(own, wanted) & ~np.asarray(batch.column("doc_id").is_null())
-            if known.any():
-                target += np.bincount(ids[known[doc]], minlength=n)
+            known = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+            target += np.bincount(ids[known[doc]], minlength=n)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "bucket long, raw long, target long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = target_ids.select("doc_id", F.lit(True).alias("good")).hint("merge")  # grows with the input: never sent whole to tasks
+    marked = rows.join(known, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    parts = marked.mapInArrow(count, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -135,26 +137,23 @@ def score(docs: DataFrame, ratios: np.ndarray, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def trusted_ids(labels: DataFrame, target_docs: int) -> np.ndarray:
-    """Ids labelled good, at most `target_docs` of them: those with the smallest hashes."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).collect()
-    return np.array(sorted(r[0] for r in rows), dtype=np.int64)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The distinct ids labelled good."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, target_docs: int = 20_000, keep_target: float = 0.995, slack: float = 0.02, n: int = BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, keep_target: float = 0.995, slack: float = 0.02, n: int = BUCKETS) -> DataFrame:
     """Base counts, the score and the verdict for every document.
 
     The threshold is the score that `keep_target` of the target documents (those that pass the
     base rules) reach, less `slack`; without a target it is 0.
     """
-    ids = trusted_ids(labels, target_docs)
-    ratios = log_ratios(ngram_counts(docs, ids, n), n)
+    good = written(trusted_ids(labels), "good-ids")
+    ratios = log_ratios(written(ngram_counts(docs, good, n), "ngram-counts"), n)
+    scored = written(score(docs, ratios, 0.0).drop("kept"), "quality-scores")
     threshold = 0.0
-    if len(ids):
-        spark = docs.sparkSession
-        known = spark.createDataFrame([(int(i),) for i in ids], "doc_id long")
-        sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left_semi")
-        low = score(sample, ratios, 0.0).where(~F.col("base_failed")).agg(F.percentile("llr", F.lit(1 - keep_target))).first()[0]
+    if ratios.any():
+        known = scored.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").groupBy(F.round("llr", 4).alias("llr")).count()
+        low = known.agg(F.percentile("llr", F.lit(1 - keep_target), F.col("count"))).first()[0]
         threshold = round((low if low is not None else 0.0) - slack, 6)
-    return score(docs, ratios, threshold)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
