@@ -347,6 +347,19 @@ def test_url_trees_learn(spark):
     assert sum((r["verdict"] == "block") == bool(sites[r["page_id"]][1]) for r in got) >= 0.95 * len(got)
 
 
+def test_url_statistics_count_all_labelled_urls(spark, monkeypatch):
+    labelled = spark.createDataFrame([(f"http://a{i}.site{i % 7}.{'biz' if i % 2 else 'info'}/p{i}", i % 2) for i in range(300)], "url string, label int")
+    seen, own = [], urls.with_statistics
+    monkeypatch.setattr(urls, "with_statistics", lambda rows, tables: seen.append(dict(tables)) or own(rows, tables))
+    asked = spark.createDataFrame([(1, "http://x.site1.biz/")], "page_id long, url string")
+    assert urls.filter_urls(asked, labelled=labelled, train_urls=100).count() == 1
+    for tables in seen:
+        got = {r["suffix"]: (round(r["suffix_rate"], 9), round(np.expm1(r["suffix_log"]))) for r in tables["suffix"].collect()}
+        assert got == {"biz": (round(151 / 152, 9), 150), "info": (round(1 / 152, 9), 150)}
+        assert round(sum(np.expm1(r["domain_log"]) for r in tables["domain"].collect())) == 300
+    assert len(seen) == 2
+
+
 def test_broken_archives_are_named(spark, tmp_path):
     good = warc.record_bytes(1, "u", b"x", hashlib.sha256(b"x").hexdigest(), None)
     whole = zlib.compressobj(6, zlib.DEFLATED, 31)

@@ -5,6 +5,7 @@ when the url's path starts with the rule's, and the longest rule wins. Urls that
 are judged by gradient-boosted trees over lexical features: lengths, depth, digit ratio, character
 entropy, parameter counts and suffix statistics. The trees are fitted on labelled urls, in the
 registered query those that the rules decide: a bounded sample (`train_urls`, the smallest hashes).
+The statistics by suffix and domain count all labelled urls, not only the sample.
 
 Edge cases: a null url, or one without "://", has an empty host and path and is judged by the trees
 like any other; upper case in hosts is lowered for A-Z only; repeated rows stay; without labelled
@@ -81,17 +82,17 @@ def lexical(urls: DataFrame) -> DataFrame:
     ).drop("u")
 
 
-def statistics(train: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked urls and log count by suffix; at most one row for each training url."""
-    return train.groupBy(key).agg(
+def statistics(labelled: DataFrame, key: str) -> DataFrame:
+    """Smoothed share of blocked urls and log count by `key`, over all labelled urls."""
+    return labelled.groupBy(key).agg(
         ((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias(f"{key}_rate"),
         F.log1p(F.count("*").cast("double")).alias(f"{key}_log"),
     )
 
 
 def with_statistics(urls: DataFrame, tables: list[tuple[str, DataFrame]]) -> DataFrame:
-    for key, rates in tables:  # bounded by train_urls rows, so they may be broadcast
-        urls = urls.join(F.broadcast(rates), key, "left").fillna({f"{key}_rate": 0.5, f"{key}_log": 0.0})
+    for key, rates in tables:  # domains grow with the input: Spark chooses the join by size, AQE splits hot keys
+        urls = urls.join(rates, key, "left").fillna({f"{key}_rate": 0.5, f"{key}_log": 0.0})
     return urls
 
 
@@ -107,11 +108,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         labels = rows.where("hit is not null").select("url", "host", "path", F.when(F.col("hit.verdict") == "block", 1.0).otherwise(0.0).alias("label"))
     else:
         labels = labelled.where("url is not null and label is not null").select("url", host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label"))
-    sample = written(labels.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(train_urls), "url-sample")
+    labels = written(labels.dropDuplicates(["url"]), "url-labels")
+    sample = written(labels.orderBy(F.xxhash64("url"), "url").limit(train_urls), "url-sample")
     kinds = [r[0] for r in sample.select("label").distinct().orderBy("label").collect()]  # 0 and 1 at most
     featured = lexical(rows)
     if len(kinds) == 2:
-        tables = [(key, written(statistics(lexical(sample), key), f"url-{key}")) for key in ("suffix", "domain")]
+        tables = [(key, written(statistics(lexical(labels), key), f"url-{key}")) for key in ("suffix", "domain")]
         pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
         train = written(with_statistics(lexical(sample), tables).select("url", "label", *FEATURES).orderBy(F.xxhash64("url"), "url"), "url-train")
         model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7).fit(pack.transform(train))
