@@ -382,6 +382,42 @@ def test_model_learns_by_parts_of_words():
     assert scores[0] < 0.5 < scores[1]
 
 
+def test_toxicity_does_not_depend_on_the_shares_of_the_sample(spark, monkeypatch):
+    rows = [(i, "bad" if i % 10 == 0 else "fine", "en", int(i % 10 == 0)) for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: toxicity_share(toxic))
+    whole, part = toxicity.fit(docs, docs), toxicity.fit(docs, docs, positives=100, negatives=100)
+    n = [sum(t == kind and zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _, t in rows) for kind in (0, 1)]
+    for model in (whole, part):
+        assert abs(model.base - np.log(n[1] / n[0])) < 0.2
+
+
+def toxicity_share(toxic):
+    """A model that knows nothing but the share of toxic rows that it was shown."""
+    model = toxicity.Model(np.zeros((3 * toxicity.BUCKETS, toxicity.DIM), dtype=np.float32), [np.zeros((w, toxicity.DIM, toxicity.FILTERS), dtype=np.float32) for w in toxicity.WIDTHS], [np.zeros(toxicity.FILTERS, dtype=np.float32) for _ in toxicity.WIDTHS], np.zeros(toxicity.FILTERS * len(toxicity.WIDTHS), dtype=np.float32), 0.0)
+    model.base = float(np.log(toxic.mean() / (1 - toxic.mean())))
+    return model
+
+
+def test_toxicity_learns_from_long_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (20_000 if i == 11 else 5), "en", i % 2) for i in range(1, 80)], "doc_id long, text string, lang string, toxic int")
+    seen, own = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.extend(map(len, texts)) or own(texts, toxic, epochs=1))
+    assert zlib.crc32(b"11") % 5 and 11 // 7 % 10  # neither held out nor for calibration
+    toxicity.fit(docs, docs)
+    assert max(seen) == 100_000
+
+
+def test_calibration_weighs_the_classes():
+    class Scores:
+        def scores(self, texts):
+            return np.array([float(t) for t in texts])
+
+    texts, toxic = ["0.3"] * 30 + ["0.8"] * 30 + ["0.3"] * 20, np.array([1.0] * 60 + [0.0] * 20)
+    assert toxicity.calibrate(Scores(), texts, toxic, ["en"] * 80)["en"] == 0.3
+    assert toxicity.calibrate(Scores(), texts, toxic, ["en"] * 80, weights=(100.0, 1.0))["en"] == 0.5
+
+
 def test_ratios_without_a_target_are_zero(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert not quality.log_ratios(quality.ngram_counts(docs, np.zeros(0, dtype=np.int64))).any()
