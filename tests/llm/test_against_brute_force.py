@@ -210,10 +210,81 @@ def test_shard_random_access(spark, sf):
 
 def test_compression_round_trip():
     rng = np.random.default_rng(3)
-    for n, k in ((0, 5), (1, 5), (5_000, 3), (50_000, 40)):
+    for n, k in ((0, 5), (1, 5), (2, 1), (3, 1), (5_000, 3), (50_000, 40), (9_999, 1)):
         ids = rng.integers(0, k, n).astype(np.uint32)
-        symbols, rules = repair.compress(ids, 100, least=4)
-        assert np.array_equal(repair.expand(symbols, rules, 100, 100), ids)
+        for least in (2, 4):
+            symbols, rules = repair.compress(ids, 100, least)
+            assert np.array_equal(repair.expand(symbols, rules, 100, 100), ids)
+            assert repair.expansion_lengths(rules, 100).tolist() == [len(repair.expand(np.array([101 + r]), rules, 100, 100)) for r in range(len(rules))]
+
+
+def pairs_kept_apart(s, end):
+    """Counts of the pairs of a row, of which equal ones do not overlap."""
+    out, last = Counter(), {}
+    for i, pair in enumerate(zip(s, s[1:], strict=False)):
+        if end not in pair and last.get(pair) != i - 1:
+            out[pair] += 1
+            last[pair] = i
+    return out
+
+
+def plain_repair(ids, end, least):
+    """One pair a time, the most frequent first, by the book."""
+    s, rules = list(ids), 0
+    while True:
+        counts = pairs_kept_apart(s, end)
+        pair = max(counts, key=lambda p: counts[p], default=None)
+        if pair is None or counts[pair] < least:
+            return s, rules
+        out, i = [], 0
+        while i < len(s):
+            if tuple(s[i : i + 2]) == pair:
+                out.append(end + 1 + rules)
+                i += 2
+            else:
+                out.append(s[i])
+                i += 1
+        s, rules = out, rules + 1
+
+
+@pytest.mark.parametrize("least", [2, 3, 4])
+def test_compression_goes_on_until_no_pair_is_frequent(least):
+    rng = random.Random(7)
+    words = [[rng.randrange(30) for _ in range(rng.randrange(2, 9))] for _ in range(25)]
+    shards = [
+        [x for _ in range(400) for x in [*rng.choice(words), *([50] if rng.random() < 0.1 else [])]],
+        [*range(40)] * 16,  # a long document many times: rules nest
+        [3] * 500 + [4, 50] * 30,
+        [rng.randrange(6) for _ in range(3_000)],
+    ]
+    for ids in shards:
+        symbols, rules = repair.compress(np.array(ids, dtype=np.uint32), 50, least)
+        left = pairs_kept_apart(symbols.tolist(), 50)
+        assert max(left.values(), default=0) < least
+        want, n = plain_repair(ids, 50, least)
+        assert len(symbols) + 2 * len(rules) <= 1.15 * (len(want) + 2 * n) + 4
+        for r in range(len(rules)):  # every rule is used as often as it takes to pay
+            assert np.count_nonzero(symbols == 51 + r) + np.count_nonzero(rules == 51 + r) >= 1
+    assert max(repair.expansion_lengths(repair.compress(np.array(shards[1], dtype=np.uint32), 50, least)[1], 50)) >= 40
+
+
+def test_symbols_of_any_width(tmp_path):
+    rng = np.random.default_rng(5)
+    for width in (16, 17, 18, 21):
+        s = rng.integers(0, 1 << width, 1_003).astype(np.uint32)
+        data = repair.packed(s, width)
+        read = lambda at, size, data=data: data[at : at + size]
+        assert len(data) == 2 * len(s) + (width - 16) * 126
+        for a, b in ((0, 1_003), (0, 0), (5, 6), (8, 16), (77, 1_003), (999, 1_003)):
+            assert np.array_equal(repair.unpacked(read, len(s), width, a, b), s[a:b])
+
+
+def test_rows_of_one_id_are_dealt_to_shards_of_many_tasks(spark):
+    docs = spark.range(0, 600, 1, 6).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    shards = repair.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 49_408, shard_tokens=60)
+    assert shards.select("part").distinct().count() > 1
+    rows = repair.read_shards(shards).collect()
+    assert len(rows) == 600 and len({r["start"] for r in rows}) == 600 and len({r["ids_crc32"] for r in rows}) == 1
 
 
 @pytest.mark.parametrize(("file", "cut"), [("word_bpe_49k.json", "space"), ("byte_bpe_50k.json", "lead")])

@@ -2,13 +2,15 @@
 
 A shard is a row of documents' ids, each ended by the end id. That id may also occur inside a
 document, so an end is a symbol of its own in the shard (number `vocabulary`; it is read as the end
-id). In every round the most frequent pairs of neighbours become nonterminals and are replaced from
-left to right; pairs never hold an end, so every document starts at a symbol of its own. The shard file has the rules, the length that
-each rule expands to, and where each document starts in symbols and in tokens: one document can be
-decoded without the others, and one token of it without the rest.
-
-Documents are put in ascending doc_id order by a range partitioning (on the id and a hash of the
-text, so that one id with many rows is dealt out); each task writes its shards under temporary names
+id). Pairs of neighbours become nonterminals, the most frequent first, in rounds, until no pair occurs
+`LEAST_COUNT` times in the shard (then a rule would cost more than it saves); their counts are exact, and
+rules nest as deep as the ids repeat. Pairs never hold an end, so every document starts at a symbol of
+its own. The shard file has the rules, the length that each rule expands to, and where each document
+starts in symbols and in tokens: one document can be decoded without the others, and one token of it
+without the rest. Symbols take as many bits as the shard's number of symbols needs (16 at least).
+
+Documents are put in ascending doc_id order by a range partitioning (on the id, a hash of the text and
+a number dealt to each row, so that one id with many rows, equal ones too, is dealt out); each task writes its shards under temporary names
 and renames them, and the list of shards is a table that Spark writes.
 
 Edge cases: null text = empty = the end id alone; null doc_ids come first; rows with equal doc_id
@@ -34,60 +36,104 @@ from .files import NewFile, make_folder, open_random
 from .tokens import STEP_BYTES, encoder
 
 SHARD_TOKENS = 2_000_000
-ROUNDS, PAIRS_PER_ROUND, LEAST_COUNT = 4, 4_000, 24
-_MAGIC = b"RPAIR\x01\0\0"
-_HEAD = struct.Struct("<8sIIQIIQ")  # magic, vocabulary, end id, documents, rules, bytes a symbol, symbols
-MANIFEST = "part int, shard int, path string, documents long, tokens long"
-
-
-def _frequent(s: np.ndarray, vocabulary: int, most: int, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs as keys (left << 32 | right), most frequent first, and all places of them with their ranks.
-
-    Counts by hash slot choose the slots; each slot proposes one of its pairs, whose exact count decides.
+#: Places below which a pair is left alone: a rule costs two symbols and a length, about 6 bytes, a place saves about 2.
+LEAST_COUNT = 4
+#: A round takes all pairs at least 1 / ROUND_SHARE as frequent as the most frequent one.
+ROUND_SHARE = 4
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_MAGIC = b"RPAIR\x02\0\0"
+_HEAD = struct.Struct("<8sIIQIIIQ")  # magic, vocabulary, end id, documents, rules, bits a symbol, bytes a length, symbols
+MANIFEST = "part int, shard int, path string, documents long, tokens long, bytes long"
+
+
+def _numbered(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each key its number among the distinct keys that occur `least` times or more (-1: rarer), these keys and their exact counts."""
+    ordered = np.sort(keys)
+    first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    counts = np.diff(first, append=len(ordered))
+    often = counts >= least
+    known, counts = ordered[first[often]], counts[often]
+    if not len(known):
+        return np.full(len(keys), -1), known, counts
+    size = 1 << max(8, len(known).bit_length() + 2)
+    hashed = lambda k: ((k * _SPREAD) >> np.uint64(65 - size.bit_length())).view(np.int64)
+    slot, own = hashed(known), hashed(keys)
+    table = np.full(size, -1)  # one key a slot; those that share one are searched for
+    table[slot] = np.arange(len(known))
+    number = table.take(own, mode="clip")
+    other = np.flatnonzero(known.take(number, mode="wrap") != keys)
+    number[other] = -1
+    hidden = np.flatnonzero(table[slot] != np.arange(len(known)))
+    if len(hidden):
+        shared = np.zeros(size, dtype=bool)
+        shared[slot[hidden]] = True
+        other = other[shared[own[other]]]
+        place = np.minimum(np.searchsorted(known[hidden], keys[other]), len(hidden) - 1)
+        found = known[hidden[place]] == keys[other]
+        number[other[found]] = hidden[place[found]]
+    return number, known, counts
+
+
+def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share: int = ROUND_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols, and rules (n, 2): rule r is symbol `vocabulary + 1 + r`, and `vocabulary` ends a document.
+
+    A round takes the pairs that occur at least 1 / `share` as often as the most frequent one. Where two
+    of them overlap the more frequent one wins; a pair that keeps fewer than `least` places waits. Counts
+    are exact: replacing takes the old pairs off, and the new pairs around a new symbol occur only there.
     """
-    slot = ((s[:-1] * np.uint32(0x9E3779B1)) ^ (s[1:] * np.uint32(0x85EBCA6B + 2 * turn))) >> np.uint32(12)
-    inner = s != vocabulary
-    counts = np.bincount(slot[inner[:-1] & inner[1:]], minlength=1 << 20)
-    enough = np.flatnonzero(counts >= least)
-    if len(enough) > most:
-        enough = enough[np.argpartition(-counts[enough], most)[:most]]
-    number = np.full(1 << 20, -1, dtype=np.int32)
-    number[enough] = np.arange(len(enough))
-    at = np.flatnonzero((number[slot] >= 0) & inner[:-1] & inner[1:])
-    own = (s[at].astype(np.uint64) << np.uint64(32)) | s[at + 1]
-    group = number[slot[at]]
-    key = np.zeros(len(enough), dtype=np.uint64)
-    key[group] = own  # the last pair of a slot, so more likely the frequent one
-    same = key[group] == own
-    at, group = at[same], group[same]
-    exact = np.bincount(group, minlength=len(enough))
-    order = np.lexsort((key, -exact))
-    order = order[exact[order] >= least]
-    rank = np.full(len(enough), -1, dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    good = rank[group] >= 0
-    return key[order], at[good], rank[group[good]]
-
-
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND, least: int = LEAST_COUNT, symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols, and rules (n, 2): rule r is symbol `vocabulary + 1 + r`, and `vocabulary` ends a document. At most `symbols` symbols in all."""
-    s, rules = ids.astype(np.uint32), np.zeros((0, 2), dtype=np.uint32)
-    for turn in range(rounds):
-        room = min(pairs, symbols - vocabulary - 1 - len(rules))
-        if room <= 0 or len(s) < 2:
-            break
-        keys, at, rule = _frequent(s, vocabulary, room, least, turn)
-        if not len(keys):
-            break
-        run_start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run_start) % 2 == 0  # of overlapping pairs every second one
-        at, rule = at[take], rule[take]
-        s[at] = vocabulary + 1 + len(rules) + rule
-        keep = np.ones(len(s), dtype=bool)
-        keep[at + 1] = False
-        s = s[keep]
-        rules = np.concatenate([rules, np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)])
-    return s, rules
+    s, rules, made = np.append(ids, vocabulary).astype(np.uint32), [np.zeros(0, dtype=np.uint64)], 0
+    number = np.full(len(s), -1)  # of the pair that begins at a place
+    known, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def count(at: np.ndarray) -> None:
+        """Numbers the pairs at places where pairs are new."""
+        nonlocal known, counts
+        left, right = s[at], s[at + 1]
+        inner = (left != vocabulary) & (right != vocabulary)
+        if inner.any():
+            own, keys, times = _numbered((left[inner].astype(np.uint64) << np.uint64(32)) | right[inner], least)
+            number[at[inner]] = np.where(own >= 0, own + len(known), -1)
+            known, counts = np.concatenate([known, keys]), np.concatenate([counts, times])
+
+    count(np.arange(len(s) - 1))
+    while len(counts) and (most := int(counts.max())) >= least:
+        chosen = np.flatnonzero(counts >= max(least, most // share))
+        chosen = chosen[np.lexsort((known[chosen], -counts[chosen]))]
+        rank = np.full(len(known) + 1, -1)
+        rank[chosen] = np.arange(len(chosen))
+        at = np.flatnonzero((rank >= 0).take(number, mode="wrap"))
+        own = rank[number[at]]
+        touch = np.flatnonzero(at[1:] == at[:-1] + 1)
+        left, right = np.full(len(at), len(chosen)), np.full(len(at), len(chosen))
+        left[touch + 1], right[touch] = own[touch], own[touch + 1]
+        win, tie = (own <= left) & (own <= right), own == left
+        if tie.any():  # of a row of equal ids every second pair is real
+            places = np.arange(len(at))
+            real = (places - np.maximum.accumulate(np.where(tie, 0, places))) % 2 == 0
+            win &= real
+            counts[chosen[np.bincount(own[real], minlength=len(chosen)) < least]] = 0
+        good = np.bincount(own[win], minlength=len(chosen)) >= least
+        win &= good[own]
+        at, own = at[win], own[win]
+        if not len(at):
+            continue
+        old = np.zeros(len(s), dtype=bool)
+        old[at], old[at + 1], old[at - 1] = True, True, True  # place -1 is the last one, which begins no pair
+        gone = number[old]
+        counts -= np.bincount(gone[gone >= 0], minlength=len(counts))
+        number[old] = -1
+        s[at] = (vocabulary + made + np.cumsum(good))[own]
+        stays = np.ones(len(s), dtype=bool)
+        stays[at + 1] = False
+        s, number = s[stays], number[stays]
+        rules.append(known[chosen[good]])
+        made += int(good.sum())
+        at = at - np.arange(len(at))
+        fresh = np.zeros(len(s), dtype=bool)
+        fresh[at], fresh[at - 1] = True, True
+        count(np.flatnonzero(fresh[:-1]))
+    keys = np.concatenate(rules)
+    return s[:-1], np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -117,23 +163,38 @@ def expand(symbols: np.ndarray, rules: np.ndarray, vocabulary: int, end_id: int)
     return s
 
 
+def packed(symbols: np.ndarray, width: int) -> bytes:
+    """The low 16 bits of all symbols, then each higher bit of all symbols as a plane of its own."""
+    planes = [np.packbits((symbols >> b & 1).astype(np.uint8)).tobytes() for b in range(16, width)]
+    return b"".join([(symbols & 0xFFFF).astype("<u2").tobytes(), *planes])
+
+
+def unpacked(read, n: int, width: int, a: int, b: int) -> np.ndarray:
+    """Symbols a .. b of the n that `packed` wrote; `read(at, size)` gives bytes."""
+    out = np.frombuffer(read(2 * a, 2 * (b - a)), dtype="<u2").astype(np.uint32)
+    for plane in range(width - 16):
+        own = np.frombuffer(read(2 * n + plane * -(-n // 8) + a // 8, -(-b // 8) - a // 8), dtype=np.uint8)
+        out |= np.unpackbits(own)[a % 8 : a % 8 + b - a].astype(np.uint32) << np.uint32(16 + plane)
+    return out
+
+
 def shard_bytes(ids: np.ndarray, sizes: np.ndarray, doc_ids: list[int | None], vocabulary: int, end_id: int) -> bytes:
     symbols, rules = compress(ids, vocabulary)
     lengths = expansion_lengths(rules, vocabulary)
     ends = np.flatnonzero(symbols == vocabulary) + 1
-    width = 2 if vocabulary + len(rules) < 1 << 16 else 4
-    kind = np.dtype(f"<u{width}")
+    width = max(16, (vocabulary + len(rules)).bit_length())
+    size = 2 if lengths.max(initial=0) < 1 << 16 else 4
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     return b"".join(
         [
-            _HEAD.pack(_MAGIC, vocabulary, end_id, len(doc_ids), len(rules), width, len(symbols)),
+            _HEAD.pack(_MAGIC, vocabulary, end_id, len(doc_ids), len(rules), width, size, len(symbols)),
             np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(),
             known.tobytes(),
             np.concatenate([[0], ends]).astype("<u8").tobytes(),
             np.concatenate([[0], np.cumsum(sizes)]).astype("<u8").tobytes(),
-            lengths.astype("<u4").tobytes(),
-            rules.astype(kind).tobytes(),
-            symbols.astype(kind).tobytes(),
+            lengths.astype(f"<u{size}").tobytes(),
+            packed(rules.ravel(), width),
+            packed(symbols, width),
         ]
     )
 
@@ -143,7 +204,7 @@ class Shard:
 
     def __init__(self, path: str):
         self.file = open_random(path)
-        magic, self.vocabulary, self.end_id, n, rules, self.width, self.n_symbols = _HEAD.unpack(self.file.read(_HEAD.size))
+        magic, self.vocabulary, self.end_id, n, rules, self.width, size, self.n_symbols = _HEAD.unpack(self.file.read(_HEAD.size))
         if magic != _MAGIC:
             raise ValueError(f"{path} is no shard")
         own = np.frombuffer(self.file.read(8 * n), dtype="<i8")
@@ -151,13 +212,20 @@ class Shard:
         self.doc_ids = [int(x) if k else None for x, k in zip(own, known, strict=True)]
         self.symbol_start = np.frombuffer(self.file.read(8 * (n + 1)), dtype="<u8").astype(np.int64)
         self.token_start = np.frombuffer(self.file.read(8 * (n + 1)), dtype="<u8").astype(np.int64)
-        self.lengths = np.frombuffer(self.file.read(4 * rules), dtype="<u4").astype(np.int64)
-        self.rules = np.frombuffer(self.file.read(2 * rules * self.width), dtype=f"<u{self.width}").reshape(-1, 2)
-        self.base = self.file.tell()
+        self.lengths = np.frombuffer(self.file.read(size * rules), dtype=f"<u{size}").astype(np.int64)
+        base = self.file.tell()
+        self.rules = unpacked(self._reader(base), 2 * rules, self.width, 0, 2 * rules).reshape(-1, 2)
+        self.base = base + 4 * rules + (self.width - 16) * -(-2 * rules // 8)
+
+    def _reader(self, base: int):
+        def read(at: int, size: int) -> bytes:
+            self.file.seek(base + at)
+            return self.file.read(size)
+
+        return read
 
     def symbols(self, a: int, b: int) -> np.ndarray:
-        self.file.seek(self.base + a * self.width)
-        return np.frombuffer(self.file.read((b - a) * self.width), dtype=f"<u{self.width}")
+        return unpacked(self._reader(self.base), self.n_symbols, self.width, a, b)
 
     def all_ids(self) -> np.ndarray:
         """Ids of the whole shard: every rule is expanded once, then all symbols are looked up."""
@@ -202,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
             file = NewFile(folder, ".repair")
             ids, sizes = np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held])
             file.write(shard_bytes(ids, sizes, held_ids, vocabulary, end_id))
-            made.append((part, len(made), file.done(), len(sizes), len(ids)))
+            made.append((part, len(made), file.done(), len(sizes), len(ids), file.size))
 
         for batch in text_slices(batches, "text", min(STEP_BYTES, 2 * shard_tokens)):
             ids, sizes = encode(texts_of(batch))
@@ -215,11 +283,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int,
                 held, held_ids, total = [], [], 0
         if held:
             flush()
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], ["part", "shard", "path", "documents", "tokens"])
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], ["part", "shard", "path", "documents", "tokens", "bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = rows.withColumn("_dealt", F.monotonically_increasing_id()).repartitionByRange(F.col("doc_id"), F.xxhash64("text"), F.col("_dealt")).drop("_dealt").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return written(ordered.mapInArrow(run, MANIFEST), "shard-list")
 
 
