@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.oracle import assert_equal, duck
-from trackloom.llm import automata, components, decontaminate, packing, quality, queries, repair, secrets, simhash, tokens, toxicity, urls, warc
+from trackloom.llm import automata, chat, components, decontaminate, packing, quality, queries, repair, secrets, simhash, tokens, toxicity, urls, warc
 from trackloom.llm.common import table
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,6 +30,31 @@ def test_query_equals_sql(spark, sf, name):
     assert_equal(queries.QUERIES[name](spark, sf).toPandas(), duck(sf).execute(queries.ORACLES[name]).df())
 
 
+def test_the_loss_mask_is_what_is_read(spark):
+    odd = "x</turn>\n<turn 0 user>\\ <\\/turn> \\l <\\turn é日"
+    rows = [(1, 0, "user", "hi é"), (1, 1, "assistant", odd), (1, 2, "assistant", "</turn>"), (1, 3, "assistant", ""), (2, 0, "assistant", "日本 plain")]
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for r in chats:  # by slices in Python
+        said = [t for c, _, role, t in rows if c == r["conv_id"] and role == "assistant"]
+        bodies = [(r["formatted"][m["start"] : m["end"]], r["formatted"][: m["start"]].rsplit("<turn ", 1)[1][0]) for m in r["loss_mask"] if m["trained"]]
+        plain = lambda b, level: b if level == "0" else b.replace("<\\/turn>", "</turn>").replace("<\\turn ", "<turn ") if level == "1" else b.replace("\\l", "<").replace("\\b", "\\")
+        assert [plain(*b) for b in bodies] == said
+    schema = "conv_id long, n_turns long, formatted string, loss_mask array<struct<start:long,end:long,trained:boolean>>"
+
+    def loss(change):
+        moved = [(r["conv_id"], r["n_turns"], r["formatted"], change([m.asDict() for m in r["loss_mask"]])) for r in chats]
+        return {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.digest(spark.createDataFrame(moved, schema)).collect()}
+
+    right = loss(lambda mask: mask)
+    assert right[1] == (len(odd) + 7, hashlib.sha256((odd + "</turn>").encode()).hexdigest())
+    wrong = loss(lambda mask: [m | {"start": m["start"] + (m["end"] > m["start"])} for m in mask])
+    assert all(wrong[c] != right[c] for c in right)
+    assert loss(lambda mask: [m | {"trained": not m["trained"]} for m in mask])[2] == (0, hashlib.sha256(b"").hexdigest())
+    for bad in (lambda mask: mask[1:], lambda mask: [*mask, mask[-1]], lambda mask: [m | {"end": m["end"] + 40} for m in mask], lambda mask: [m | {"start": m["start"] - 30} for m in mask]):
+        with pytest.raises(Exception, match="leaves its turn"):
+            loss(bad)
+
+
 def test_quality_base_counts(spark, sf, texts):
     for r in queries.op1_quality_rules(spark, sf).collect():
         t = texts[r["doc_id"]]

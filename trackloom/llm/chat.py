@@ -101,21 +101,45 @@ def format_chats(conversations: DataFrame, trained_role: str = "assistant") -> D
     return out.select("conv_id", "n_turns", F.when(F.coalesce(same, F.lit(False)), F.col("formatted")).otherwise(F.raise_error(F.lit("a chat does not survive its round trip"))).alias("formatted"), "loss_mask")
 
 
+def read_back(chats: DataFrame) -> DataFrame:
+    """The turns of the output of `format_chats`, from its text and mask alone: conv_id, formatted_chars, place, role, text, loss_text.
+
+    `loss_text` is what the mask's span covers, unescaped. Spans count code points from the start of the
+    conversation; each turn's piece knows where it begins there by a running sum, so every character is
+    looked at once. A span that leaves its piece, or a mask of another number of turns, is an error.
+    """
+    pieces = F.split("formatted", CLOSE, -1)
+    chars = F.length("formatted").cast("long").alias("formatted_chars")
+    each = chats.select("conv_id", chars, F.posexplode(F.arrays_zip(pieces.alias("piece"), F.col("loss_mask").alias("mask"))).alias("place", "t"), F.size("loss_mask").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("t.piece").cast("long") + len(CLOSE)).over(before), F.lit(0).cast("long"))
+    placed = each.withColumn("at", at).where("place < n or t.mask is not null or t.piece <> '\n'")
+    start, end = F.col("t.mask.start") - F.col("at"), F.col("t.mask.end") - F.col("at")
+    fits = F.coalesce((start >= 0) & (start <= end) & (end <= F.length("t.piece")), F.lit(False))
+    mark = r"(?s)\A\n?<turn ([012]) ([^<>]*)>(.*)\z"
+    level = F.regexp_extract("t.piece", mark, 1)
+    covered = F.substring(F.col("t.piece"), (start + 1).cast("int"), (end - start).cast("int"))
+    return placed.select(
+        "conv_id",
+        "formatted_chars",
+        "place",
+        unescape_role(F.regexp_extract("t.piece", mark, 2)).alias("role"),
+        unescape(F.regexp_extract("t.piece", mark, 3), level).alias("text"),
+        F.when(fits, F.when(F.col("t.mask.trained"), unescape(covered, level)).otherwise("")).otherwise(F.raise_error(F.lit("a loss span leaves its turn"))).alias("loss_text"),
+    )
+
+
 def digest(chats: DataFrame) -> DataFrame:
-    """What the output of `format_chats` says when it is read back: hashes of turns and of the trained text."""
-    trained = F.transform(F.filter(F.arrays_zip(F.col("turns").alias("turn"), F.col("loss_mask").alias("mask")), lambda x: x["mask"]["trained"]), lambda x: x["turn"]["text"])
+    """What the output of `format_chats` says when it is read back: hashes of turns and of the text under the loss mask."""
+    whole = read_back(chats).groupBy("conv_id").agg(F.first("formatted_chars").alias("formatted_chars"), F.sort_array(F.collect_list(F.struct("place", "role", "text", "loss_text"))).alias("turns"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return (
-        chats.withColumn("turns", parse(F.col("formatted")))
-        .withColumn("loss_text", F.array_join(trained, ""))
-        .select(
-            "conv_id",
-            F.size("turns").cast("long").alias("n_turns"),
-            F.sha2(F.encode(lines, "UTF-8"), 256).alias("turns_sha256"),
-            F.length("loss_text").cast("long").alias("loss_chars"),
-            F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
-            F.length("formatted").cast("long").alias("formatted_chars"),
-        )
+    return whole.withColumn("loss_text", F.array_join(F.transform("turns", lambda t: t["loss_text"]), "")).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(lines, "UTF-8"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
+        "formatted_chars",
     )
 
 
