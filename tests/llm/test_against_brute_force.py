@@ -212,6 +212,109 @@ def test_automata_find_unmarked_credentials():
     assert one.log_likelihood("ab4") > one.log_likelihood("+++")
 
 
+def planted_credentials(n_labelled, n_plain, seed):
+    """Documents, the unlabelled credentials in them, and the ordinary long tokens."""
+    rng = random.Random(seed)
+    draw = lambda n, alphabet: "".join(rng.choice(alphabet) for _ in range(n))
+    lower, upper, digit, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    kinds = [
+        lambda: "ghp_" + draw(36, lower + upper + digit),
+        lambda: "sk-" + draw(48, lower + upper + digit),
+        lambda: "-".join(draw(n, hexes) for n in (8, 4, 4, 4, 12)),
+        lambda: "xoxb-" + draw(12, digit) + "-" + draw(24, lower + upper + digit),
+    ]
+    word = lambda: "".join(rng.choice(["tion", "the", "her", "ing", "and", "lich", "eur", "ment", "ver"]) for _ in range(rng.randrange(5, 9)))
+    plain = [
+        word,
+        lambda: f"/usr/{word()}/{word()}.txt",
+        lambda: word().title() + word().title(),
+        lambda: f"{rng.randrange(2000, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}T{rng.randrange(10, 24)}.{rng.randrange(10, 60)}",
+        lambda: f"{rng.randrange(10)}.{draw(15, digit)}",
+        lambda: word() + "_" + word() + str(rng.randrange(100)),
+    ]
+    filler = lambda: " ".join(rng.choice(["we", "saw", "it", "there", "on", "a", "day"]) for _ in range(12))
+    texts, secret, ordinary = [], [], []
+    for i in range(n_labelled):
+        texts.append(f"{filler()} {rng.choice(['token = ', 'api_key: ', 'password=', 'secret: '])}{kinds[i % 4]()} {filler()}")
+    for i in range(n_plain):
+        own = [kinds[i // 10 % 4]()] if i % 10 == 0 else []
+        usual = [rng.choice(plain)() for _ in range(4)]
+        texts.append(" ".join([filler(), *usual[:2], *own, *usual[2:], filler()]))
+        secret += own
+        ordinary += [u for u in usual if len(u) >= 16]
+    return texts, secret, ordinary
+
+
+def test_unlabelled_credentials_are_found(spark):
+    """Recall of 0.9 at least for four formats, and at most one in 500 ordinary tokens taken for a credential; every
+    verdict equals the plain definition of the score."""
+    texts, secret, ordinary = planted_credentials(600, 1_500, 4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    formats = secrets.train(docs)
+    rows = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(docs, formats).collect()}
+    found = {texts[i][s["start"] : s["end"]] for i, spans in rows.items() for s in spans if s["kind"] == "format"}
+    assert sum(x in found for x in secret) >= 0.9 * len(secret)
+    assert sum(x in found for x in ordinary) <= len(ordinary) / 500
+    fresh, hidden, usual = planted_credentials(0, 1_000, 5)  # and in texts that nothing was learned from
+    got = [formats.ratio(x) > formats.threshold for x in hidden]
+    assert sum(got) >= 0.9 * len(hidden) and sum(formats.ratio(x) > formats.threshold for x in usual) <= len(usual) / 500
+
+    def chance(a, text):  # step by step through the states
+        at, total = 0, 0.0
+        for c in text:
+            step = next(i for i, group in enumerate(automata.CLASSES) if c in group)
+            total += a.log_step[at][step] if at >= 0 else a.lost
+            at = a.next[at][step] if at >= 0 else -1
+        return total + (a.log_end[at] if at >= 0 else a.lost)
+
+    for i, spans in rows.items():
+        want = []
+        base = [(m.start(), m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{8,}|AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}""", texts[i])]
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", texts[i]):
+            if all(b <= m.start() or m.end() <= a for a, b in base):
+                ratio = (max(chance(a, m[0]) for a in formats.kinds) - chance(formats.ordinary, m[0])) / (len(m[0]) + 1)
+                if ratio > formats.threshold:
+                    want.append((m.start(), m.end(), round(ratio, 9)))
+        assert [(s["start"], s["end"], s["score"]) for s in spans if s["kind"] == "format"] == want
+
+
+def test_automata_know_lengths():
+    rng = random.Random(3)
+    own = automata.Automaton("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(300))
+    by_char = lambda n: own.log_likelihood("".join(rng.choice("0123456789abcdef") for _ in range(n))) / (n + 1)
+    assert own.states >= 41 and by_char(40) > by_char(24) + 0.1 and by_char(40) > by_char(80) + 0.5 and by_char(400) < by_char(80)
+
+
+def test_samples_are_those_of_smallest_hashes_and_whole(spark):
+    long = "a1" * 400  # longer values are learned from as well
+    texts = [f"token={x}" for x in [long, *(f"value{i:05d}" for i in range(50))]] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    order = sorted({t[6:] for t in texts}, key=lambda v: (xxhash.xxh64_intdigest(v, 42), v))
+    assert secrets.samples(docs, 1_000, 10, 16, 10_000)["assign"] == order
+    assert secrets.samples(docs, 7, 10, 16, 10_000)["assign"] == order[:7]
+    assert long not in secrets.samples(docs, 1_000, 10, 16, 700)["assign"]
+    few = secrets.samples(docs, 1_000, 10, 16, 95)["assign"]
+    assert few == [v for v in order if v != long][:10]
+
+
+def test_spans_are_swept_in_one_go():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice("ab/=. \n") if rng.random() < 0.9 else " " for _ in range(rng.randrange(120)))
+        base = sorted((a, rng.randrange(3), min(len(text), a + rng.randrange(1, 30))) for a in (rng.randrange(len(text) + 1) for _ in range(rng.randrange(6))))
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if m.end() - m.start() >= 4 and not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert [m.span() for m in secrets.candidates(text, base, 4)] == want
+
+
+def test_redaction_without_or_with_other_counts(spark):
+    docs = spark.createDataFrame([(1, "x password=abcdefgh12 y", 24), (2, None, None), (3, "plain", None)], "doc_id long, text string, n_chars int")
+    formats = secrets.train(docs)
+    rows = {r["doc_id"]: r for r in secrets.redact(docs, formats).collect()}
+    assert (rows[1]["text"], rows[1]["n_chars"]) == ("x [assign] y", 12) and rows[3]["n_chars"] is None and rows[2]["text"] is None
+    assert secrets.redact(docs.drop("n_chars"), formats).columns == ["doc_id", "text"]
+    assert secrets.redact(docs.withColumn("n_chars", F.lit("x")), formats).where("doc_id = 1").first()["n_chars"] == "x"
+
+
 def test_token_files(spark, sf, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got, at = {r["doc_id"]: r for r in queries.op7_token_files(spark, sf).collect()}, 0
