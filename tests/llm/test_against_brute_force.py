@@ -508,7 +508,7 @@ def test_ball_hashing_links_all_within_the_radius(spark):
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for b in base for d in (1, 2, 3, 4, 5)]
     prints = sorted({int(b) for b in base} | set(near))
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    links = simhash.meet(spark.createDataFrame([(s,) for s in signed], "fp long"), slices=3)
+    links = simhash.meet(spark.createDataFrame([(s,) for s in signed], "fp long"), slices=4)
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
     root = {s: s for s in signed}
     for _ in range(len(signed)):
@@ -524,6 +524,26 @@ def test_ball_hashing_links_all_within_the_radius(spark):
     assert same(got) == same(root)
 
 
+def test_parts_of_values_follow_from_fingerprint_and_mask():
+    rng = np.random.default_rng(12)
+    some, masks = rng.integers(0, 2**63, 500, dtype=np.uint64), simhash.ball(2)
+    for slices in (1, 2, 8, 64):
+        whole = simhash.part_of((some[:, None] ^ masks).ravel(), slices).reshape(len(some), -1)
+        assert np.array_equal(whole, simhash.part_of(some, slices)[:, None] ^ simhash.part_of(masks, slices))
+        assert slices == 1 or np.bincount(whole.ravel()).max() < 1.2 * whole.size / slices
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    """Ids that repeat with unrelated texts lose nothing; ties are broken by text, whatever the partitions."""
+    a, b, c = ("the first text of all " * 3, "another that says nothing of it " * 3, "some third one, long enough to stand alone " * 3)
+    rows = [(5, a, 1), (5, b, 2), (6, c, 3), (6, c, 3), (7, a.upper(), 4), (None, b.title(), 5), (None, "x y z alone here", 6), (None, "X Y Z alone here", 7), (8, c, 9), (9, "q", 1), (9, "Q", 2)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _id int")
+    want = sorted(map(str, [(5, a, 1), (5, b, 2), (6, c, 3), (9, "Q", 2), (None, "X Y Z alone here", 7)]))
+    for n in (1, 4, 7):
+        kept = simhash.one_of_each(docs.repartition(n))
+        assert kept.columns == docs.columns and sorted(str(tuple(r)) for r in kept.collect()) == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(80)] + [(1000, k) for k in range(2000, 2040)] + [(7, 7)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).groupBy("root").count().collect()

@@ -9,7 +9,9 @@ each such link is verified by its bit distance.
 
 Shape of the work: exact copies share one fingerprint, so a group of copies counts once. The values
 leave the tasks as packed arrays by bucket (10 bytes a value), in `slices` rounds over disjoint
-parts of the value space, so that only one part's shuffle files exist at a time. Links, components
+parts of the value space, so that only one part's shuffle files exist at a time. A value's part is a
+few parities of its bits; parities add up under exclusive or, so a fingerprint's part and a mask's part
+tell the value's, and each round makes its own values only. Links, components
 and joins are DataFrames; the driver gets none of them.
 
 Edge cases: null text = empty; no word = fingerprint zero, linked like any other; fewer words than
@@ -20,7 +22,9 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import text_slices, texts_of, written
 from .components import components
@@ -37,6 +42,8 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Values that one task of the meeting stage should get.
 VALUES_PER_TASK = 1_000_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits whose parity is a bit of a value's part: alternating runs of 1, 2, 4, 8, 16 and 32 bits.
+_PARITIES = [np.uint64(sum(1 << b for b in range(64) if b >> i & 1)) for i in range(6)]
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
@@ -82,32 +89,43 @@ def ball(half: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(64), k)], dtype=np.uint64)
 
 
+def part_of(values: np.ndarray, slices: int) -> np.ndarray:
+    """The part of the value space: log2(slices) parities over fixed halves of the bits."""
+    out = np.zeros(len(values), dtype=np.int64)
+    for i in range(slices.bit_length() - 1):
+        out |= (np.bitwise_count(values & _PARITIES[i]) & 1).astype(np.int64) << i
+    return out
+
+
 def meet(fps: DataFrame, radius: int = RADIUS, slices: int = 8) -> DataFrame:
-    """Links (a, b) of distinct fingerprints, enough to connect all that differ in at most `radius` bits (an even number)."""
+    """Links (a, b) of distinct fingerprints, enough to connect all that differ in at most `radius` bits (an even number).
+    `slices` is a power of two."""
+    if slices & (slices - 1) or not 1 <= slices <= 1 << len(_PARITIES):
+        raise ValueError("the number of slices is a power of two")
     spark = fps.sparkSession
     masks = ball(radius // 2)
     n = fps.count()
     tasks = max(1, -(-n * len(masks) // (slices * VALUES_PER_TASK)), min(n * len(masks) // 100_000, spark.sparkContext.defaultParallelism))
-    found = None
-    for part in range(slices):
-        links = written(_meet_part(fps, masks, radius, part, slices, tasks), "links")
-        found = links if found is None else found.union(links)
-    return found.distinct()
+    spread = written(fps.select("fp").repartition(tasks, "fp"), "spread")  # a small table is few splits, but all tasks emit
+    links = [written(_meet_part(spread, masks, radius, part, slices, tasks), "links") for part in range(slices)]
+    return reduce(DataFrame.union, links).distinct()
 
 
 def _meet_part(fps: DataFrame, masks: np.ndarray, radius: int, part: int, slices: int, tasks: int) -> DataFrame:
-    codes = np.arange(len(masks), dtype=np.uint16)
+    own_part = part_of(masks, slices)
+    codes = [np.flatnonzero(own_part == k).astype(np.uint16) for k in range(slices)]
 
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            own = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for at in range(0, len(own), 512):
+            every = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for at in range(0, len(every), 4_096):
+                some = every[at : at + 4_096]
+                kind = part_of(some, slices) ^ part  # the part of the masks that lead into this round's
+                blocks = [(some[kind == k, None] ^ masks[codes[k]], codes[k]) for k in range(slices)]
+                value = np.concatenate([v.ravel() for v, _ in blocks])
+                code = np.concatenate([np.broadcast_to(c, v.shape).ravel() for v, c in blocks])
                 with np.errstate(over="ignore"):
-                    values = own[at : at + 512, None] ^ masks
-                    spread = values * _SPREAD
-                mine = (spread >> np.uint64(40)) % np.uint64(slices) == part
-                value, code = values[mine], np.broadcast_to(codes, values.shape)[mine]
-                bucket = ((spread[mine] >> np.uint64(44)) % np.uint64(tasks)).astype(np.int64)
+                    bucket = (((value * _SPREAD) >> np.uint64(44)) % np.uint64(tasks)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 value, code, bucket = value[order], code[order], bucket[order]
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -172,16 +190,30 @@ def _labelled(docs: DataFrame, radius: int, shingle: int, seed: int, slices: int
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, slices: int = 8) -> DataFrame:
-    """The documents that stand for their component: those whose id is the component's.
+    """One document of each component, with all its columns: the one with the smallest id.
 
-    Of rows with equal ids one stays; a component without any id keeps one row.
+    Ids may be null (these come last) or repeat, in one component or in several: of rows with the same id
+    and fingerprint the first by text, then by all other columns that can be sorted, is taken, so the
+    result is the same after a lost executor.
     """
     labelled = _labelled(docs, radius, shingle, seed, slices)
-    keep = written(labelled.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "representatives")
-    kept = docs.join(keep, "doc_id").drop("copies") if keep.where("copies > 1").isEmpty() else docs.join(keep, "doc_id").drop("copies").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return kept.select(docs.columns)
-    alone = labelled.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    one = with_fingerprint(nameless, "_fp", shingle, seed).join(alone, "_fp").dropDuplicates(["_root"])
-    return kept.select(docs.columns).union(one.select(docs.columns))
+    chosen = labelled.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r")).select("root", "r.doc_id", "r.fp")
+    repeated = labelled.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
+    known = written(chosen.join(repeated, "doc_id", "left").withColumn("odd", F.col("doc_id").isNull() | F.col("times").isNotNull()), "representatives")
+    id_, fp, root, rank = _free_names(docs, "id", "fp", "root", "rank")
+    own = F.col("doc_id").cast("long")
+    kept = docs.join(known.where("not odd").select(F.col("doc_id").alias(id_)), own == F.col(id_), "left_semi")
+    if known.where("odd").isEmpty():
+        return kept
+    odd = known.where("odd").select(F.col("root").alias(root), F.col("doc_id").alias(id_), F.col("fp").alias(f"{fp}2"))
+    rows = with_fingerprint(docs.join(odd.select(id_).distinct(), own.eqNullSafe(F.col(id_)), "left_semi"), fp, shingle, seed)
+    found = rows.join(odd, own.eqNullSafe(F.col(id_)) & (F.col(fp) == F.col(f"{fp}2")))
+    sortable = [f.name for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    first = F.row_number().over(Window.partitionBy(root).orderBy("text", *[F.col(f"`{c}`") for c in sortable]))
+    return kept.union(found.withColumn(rank, first).where(F.col(rank) == 1).select([F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of the documents has."""
+    lead = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in docs.columns))
+    return [lead + name for name in names]
