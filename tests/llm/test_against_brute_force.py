@@ -185,6 +185,56 @@ def test_hamming_index_finds_all():
     assert set(zip(query.tolist(), item.tolist(), strict=True)) == want
 
 
+def test_hamming_index_selects_by_blocks_and_group():
+    """Of the items of a size it looks at some 4 %, and finds all that are near."""
+    rng = np.random.default_rng(2)
+    own, kind = rng.integers(0, 2**63, 20_000, dtype=np.uint64), rng.integers(0, 4, 20_000)
+    index = decontaminate.HammingIndex(own, kind)
+    asked = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    asked[:100] = own[:100] ^ np.uint64(0x1041041041)  # 12 bits away
+    seen = 0
+    for values, starts in zip(index._split(asked), index.starts, strict=True):
+        slot = index._slot(values[:, None] ^ index.near, np.repeat(kind[:1], 300)[:, None])
+        seen += int((starts[slot + 1] - starts[slot]).sum())
+    assert seen < 0.06 * 300 * np.count_nonzero(kind == kind[0])
+    query, item = index.within(asked, kind[:300])
+    want = {(q, i) for q in range(300) for i in np.flatnonzero((np.bitwise_count(own ^ asked[q]) <= decontaminate.RADIUS) & (kind == kind[q])).tolist()}
+    assert set(zip(query.tolist(), item.tolist(), strict=True)) == want and {(i, i) for i in range(100)} <= want
+    empty = decontaminate.HammingIndex(own[:0])
+    assert len(empty.within(asked)[0]) == len(index.within(asked[:0])[0]) == 0
+
+
+def test_recall_on_edited_items(spark):
+    """Of windows that an exact comparison takes for similar, the radius may lose one in a hundred."""
+    rng, found, wanted = random.Random(21), 0, 0
+    items = [(r["item_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.1", "benchmark").collect()]
+    bench = decontaminate.Benchmark(items)
+    own = lambda t: [x for x in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) if x]
+    count = lambda v: Counter(tuple(v[j : j + 5]) for j in range(len(v) - 4))
+    for _ in range(6):
+        for item, text in items:
+            v = own(text)
+            edited = list(v)
+            for _ in range(rng.randrange(1, 4)):
+                edited[rng.choice((0, -1, rng.randrange(len(v))))] = f"zz{rng.randrange(1000)}"
+            a, b = count(v), count(edited)
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                wanted += 1
+                found += item in {m[0] for m in decontaminate.matches(" ".join(["before"] * 30 + edited + ["after"] * 30), bench, 0.8)}
+    assert wanted > 200 and found >= 0.99 * wanted
+
+
+def test_a_repeated_item_is_held_once_and_matches_each_time(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (2, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, text)] * 30 + [(None, text)] * 2, "item_id long, text string").repartition(4)
+    paths = decontaminate.benchmark_blocks(bench)
+    assert len(paths) == 1 and spark.read.parquet(paths[0]).count() == 2
+    got = Counter(r["item_id"] for r in decontaminate.contaminations(docs, bench).collect())
+    assert got == {7: 30, None: 2}
+    assert [r["doc_id"] for r in decontaminate.without_contamination(docs, bench, block_bytes=20).collect()] == [2]
+
+
 def test_secret_spans(spark, sf, texts):
     for r in queries.op6_secret_scans(spark, sf).collect():
         t, out = texts[r["doc_id"]], []
