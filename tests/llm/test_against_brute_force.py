@@ -623,14 +623,50 @@ def test_url_trees_learn(spark):
 def test_url_statistics_count_all_labelled_urls(spark, monkeypatch):
     labelled = spark.createDataFrame([(f"http://a{i}.site{i % 7}.{'biz' if i % 2 else 'info'}/p{i}", i % 2) for i in range(300)], "url string, label int")
     seen, own = [], urls.with_statistics
-    monkeypatch.setattr(urls, "with_statistics", lambda rows, tables: seen.append(dict(tables)) or own(rows, tables))
-    asked = spark.createDataFrame([(1, "http://x.site1.biz/")], "page_id long, url string")
-    assert urls.filter_urls(asked, labelled=labelled, train_urls=100).count() == 1
-    for tables in seen:
-        got = {r["suffix"]: (round(r["suffix_rate"], 9), round(np.expm1(r["suffix_log"]))) for r in tables["suffix"].collect()}
-        assert got == {"biz": (round(151 / 152, 9), 150), "info": (round(1 / 152, 9), 150)}
-        assert round(sum(np.expm1(r["domain_log"]) for r in tables["domain"].collect())) == 300
-    assert len(seen) == 2
+    monkeypatch.setattr(urls, "with_statistics", lambda rows, tables, **how: seen.append((rows, tables, how)) or own(rows, tables, **how))
+    asked = spark.createDataFrame([(1, "http://x.site1.biz/"), (2, "http://never.seen/")], "page_id long, url string")
+    assert urls.filter_urls(asked, labelled=labelled, train_urls=100).count() == 2
+    (rows, tables, how), (train, _, out) = seen[1], seen[0]
+    assert out == {"out_of_fold": True} and not how
+    got = {r["page_id"]: r for r in own(rows, tables).collect()}
+    assert (round(got[1]["suffix_rate"], 9), round(np.expm1(got[1]["suffix_log"]))) == (round(151 / 152, 9), 150)
+    assert (got[2]["suffix_rate"], got[2]["suffix_log"], got[2]["domain_rate"], got[2]["domain_log"]) == (0.5, 0.0, 0.5, 0.0)
+    every = urls.lexical(spark.createDataFrame([(u, *h) for u, h in ((r["url"], re.match(r".*?://([^/]*)(.*)", r["url"]).groups()) for r in labelled.collect())], "url string, host string, path string"))
+    fold = {r["url"]: r["fold"] for r in every.select("url", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(urls.FOLDS)).alias("fold")).collect()}
+    label = {r["url"]: r["label"] for r in labelled.collect()}
+    domain = {u: re.match(r".*?://[^/]*?([^./]*\.[^./]*)/", u)[1] for u in label}
+    for r in own(train, tables, out_of_fold=True).collect():  # nothing of a url's own fold
+        others = [label[u] for u in label if domain[u] == domain[r["url"]] and fold[u] != fold[r["url"]]]
+        assert (round(r["domain_rate"], 9), round(np.expm1(r["domain_log"]))) == (round((sum(others) + 1) / (len(others) + 2), 9), len(others))
+
+
+def test_labels_of_domains_seen_once_are_not_learned_by_heart(spark):
+    """Labels that follow nothing: trees that see a single url's own label in its domain's rate would look right in training only."""
+    rng = random.Random(1)
+    labelled = spark.createDataFrame([(f"http://d{i}.com/p", rng.randrange(2)) for i in range(600)], "url string, label int")
+    rows = urls.lexical(labelled.select("url", F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.lit("/p").alias("path"), F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("url", F.lit(1)), F.lit(urls.FOLDS)).alias("fold")))
+    rates = urls.with_statistics(rows, [("domain", urls.statistics(rows, "domain"))], out_of_fold=True)
+    assert {r["domain_rate"] for r in rates.collect()} == {0.5}
+
+
+def test_urls_of_held_out_hosts(spark):
+    """The rules' own verdicts as labels, whole hosts held out (the tables' hosts share three domains)."""
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    host, path = urls.host_and_path(F.col("url"))
+    hit = urls.rule_of(host, path, urls.RULES)
+    known = pages.select("page_id", "url", host.alias("host"), hit["verdict"].alias("verdict")).where("verdict is not null").withColumn("out", F.pmod(F.xxhash64("host"), F.lit(4)) == 0)
+    labelled = known.where("not out").select("url", (F.col("verdict") == "block").cast("int").alias("label"))
+    asked = known.where("out")
+    got = urls.filter_urls(asked.select("page_id", "url"), labelled=labelled).join(asked.select("page_id", F.col("verdict").alias("want")), "page_id")
+    row = got.agg(F.count("*").alias("n"), F.avg((F.col("tree_verdict") == F.col("want")).cast("int")).alias("right")).first()
+    assert row["n"] > 100 and row["right"] > 0.85, row
+    print(row)
+
+
+def test_two_labels_of_one_url_mean_block(spark):
+    labelled = spark.createDataFrame([("http://a.b/x", 0), ("http://a.b/x", 1), ("http://a.b/x", 0)], "url string, label int")
+    asked = spark.createDataFrame([(1, "http://c.d/")], "page_id long, url string")
+    assert urls.filter_urls(asked, labelled=labelled).first()["verdict"] == "block"
 
 
 def test_broken_archives_are_named(spark, tmp_path):

@@ -5,12 +5,14 @@ when the url's path starts with the rule's, and the longest rule wins. Urls that
 are judged by gradient-boosted trees over lexical features: lengths, depth, digit ratio, character
 entropy, parameter counts and suffix statistics. The trees are fitted on labelled urls, in the
 registered query those that the rules decide: a bounded sample (`train_urls`, the smallest hashes).
-The statistics by suffix and domain count all labelled urls, not only the sample.
+The statistics by suffix and domain count all labelled urls, not only the sample. While the trees
+learn, a url sees the statistics of the urls of other folds only (`FOLDS`, by the url's hash), never its own label:
+a suffix or domain that is known from one fold alone looks like one never seen, as it does on new urls.
 
 Edge cases: a null url, or one without "://", has an empty host and path and is judged by the trees
 like any other; upper case in hosts is lowered for A-Z only; repeated rows stay; without labelled
 urls, or with labels of one kind only, the trees' verdict is that kind ("allow" if there is none);
-further columns are ignored.
+a url with both labels counts as blocked; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
+#: Parts of the labelled urls, each of which sees the statistics of the others.
+FOLDS = 5
 FEATURES = ["url_length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "entropy", "parameters", "query_length", "hyphens", "suffix_rate", "suffix_log", "domain_rate", "domain_log"]
 
 
@@ -83,16 +87,21 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def statistics(labelled: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked urls and log count by `key`, over all labelled urls."""
-    return labelled.groupBy(key).agg(
-        ((F.sum("label") + 1.0) / (F.count("*") + 2.0)).alias(f"{key}_rate"),
-        F.log1p(F.count("*").cast("double")).alias(f"{key}_log"),
-    )
-
-
-def with_statistics(urls: DataFrame, tables: list[tuple[str, DataFrame]]) -> DataFrame:
-    for key, rates in tables:  # domains grow with the input: Spark chooses the join by size, AQE splits hot keys
-        urls = urls.join(rates, key, "left").fillna({f"{key}_rate": 0.5, f"{key}_log": 0.0})
+    """Blocked urls and all urls by `key` and fold, over all labelled urls."""
+    return labelled.groupBy(key, "fold").agg(F.sum("label").alias("blocked"), F.count("*").alias("urls"))
+
+
+def with_statistics(urls: DataFrame, tables: list[tuple[str, DataFrame]], out_of_fold: bool = False) -> DataFrame:
+    """Smoothed share of blocked urls and log count by each key: of all labelled urls, or of those of other folds than the row's."""
+    for key, counts in tables:  # domains grow with the input: Spark chooses the join by size, AQE splits hot keys
+        all_ = counts.groupBy(key).agg(F.sum("blocked").alias("blocked"), F.sum("urls").alias("urls"))
+        urls = urls.join(all_, key, "left")
+        blocked, n = F.coalesce("blocked", F.lit(0.0)), F.coalesce("urls", F.lit(0))
+        if out_of_fold:
+            own = counts.select(key, "fold", F.col("blocked").alias("own_blocked"), F.col("urls").alias("own_urls"))
+            urls = urls.join(own, [key, "fold"], "left")
+            blocked, n = blocked - F.coalesce("own_blocked", F.lit(0.0)), n - F.coalesce("own_urls", F.lit(0))
+        urls = urls.withColumns({f"{key}_rate": (blocked + 1.0) / (n + 2.0), f"{key}_log": F.log1p(n.cast("double"))}).drop("blocked", "urls", "own_blocked", "own_urls")
     return urls
 
 
@@ -108,14 +117,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         labels = rows.where("hit is not null").select("url", "host", "path", F.when(F.col("hit.verdict") == "block", 1.0).otherwise(0.0).alias("label"))
     else:
         labels = labelled.where("url is not null and label is not null").select("url", host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label"))
-    labels = written(labels.dropDuplicates(["url"]), "url-labels")
+    labels = labels.groupBy("url").agg(F.max(F.struct("label", "host", "path")).alias("l")).select("url", "l.*")
+    labels = written(labels.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS))), "url-labels")
     sample = written(labels.orderBy(F.xxhash64("url"), "url").limit(train_urls), "url-sample")
     kinds = [r[0] for r in sample.select("label").distinct().orderBy("label").collect()]  # 0 and 1 at most
     featured = lexical(rows)
     if len(kinds) == 2:
         tables = [(key, written(statistics(lexical(labels), key), f"url-{key}")) for key in ("suffix", "domain")]
         pack = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = written(with_statistics(lexical(sample), tables).select("url", "label", *FEATURES).orderBy(F.xxhash64("url"), "url"), "url-train")
+        train = written(with_statistics(lexical(sample), tables, out_of_fold=True).select("url", "label", *FEATURES).orderBy(F.xxhash64("url"), "url"), "url-train")
         model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, seed=7).fit(pack.transform(train))
         judged = model.transform(pack.transform(with_statistics(featured, tables))).withColumn("blocked", F.col("prediction") == 1.0)
     else:
