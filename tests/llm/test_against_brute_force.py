@@ -503,6 +503,31 @@ def test_packing(spark, sf, texts):
     assert len(used) <= 1.03 * total / 2048 + 1
 
 
+def test_sequences_are_the_documents_in_order(spark, sf):
+    """Also with ids that repeat or are null, and with texts of several pieces."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 5 == 0, None).otherwise(F.col("doc_id") % 7).alias("doc_id"), "text")
+    docs = docs.union(docs).union(spark.createDataFrame([(3, "so long a text " * 3_000)], "doc_id long, text string"))
+    pieces, places = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.sequences(pieces, places).collect()
+    assert sum(len(r["lengths"]) for r in got) == pieces.count() and all(len(r["ids"]) == 4 * sum(r["lengths"]) <= 4 * 2048 for r in got)
+    whole, cut_up = Counter(), 0
+    for r in got:
+        ids, at = np.frombuffer(r["ids"], dtype="<u4"), 0
+        for doc_id, n in zip(r["doc_ids"], r["lengths"], strict=True):
+            own, at = ids[at : at + n], at + n
+            if own[-1] == 0 and n < 2048:
+                whole[doc_id, zlib.crc32(own.tobytes())] += 1
+            else:
+                cut_up += 1
+    want = Counter()
+    for row in docs.collect():
+        ids = np.array([*t.encode(row["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        if len(ids) < 2048:
+            want[row["doc_id"], zlib.crc32(ids.tobytes())] += 1
+    assert whole == want and cut_up > 0
+
+
 def test_plans_place_everything_once():
     rng = random.Random(4)
     for room, n in ((64, 40), (128, 900), (2048, 1500), (2048, 1)):
@@ -682,6 +707,42 @@ def test_broken_archives_are_named(spark, tmp_path):
             list(warc.records_of(str(path)))
 
 
+def test_records_without_an_id_have_ids_of_their_own():
+    digest = "0" * 64
+    ids = lambda page: warc.headers(warc.record_bytes(page, "u", b"x", digest, None).partition(b"\r\n\r\n")[0])["warc-record-id"]
+    assert ids(None) != ids(None) and ids(4) == ids(4) != ids(5)
+    revisit = warc.headers(warc.record_bytes(9, "u", b"x", digest, 4).partition(b"\r\n\r\n")[0])
+    assert revisit["warc-refers-to"] == ids(4) != revisit["warc-record-id"]
+
+
+def test_the_network_is_a_plain_convolution():
+    """Scores against loops over words, widths and filters; texts shorter than a filter and without a word among them."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(
+        rng.normal(0, 1, (3 * toxicity.BUCKETS, toxicity.DIM)).astype(np.float32),
+        [rng.normal(0, 1, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS],
+        [rng.normal(0, 1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS],
+        rng.normal(0, 0.02, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32),
+        0.1,
+    )
+    texts = ["", "one", "Two words", "  a few more words, and é日本 of them ", "x" * 300 + " y", ". , !"]
+    rows, bounds = toxicity.features(texts)
+    want = []
+    for t in range(len(texts)):
+        own = [sum(model.table[i].astype(float) for i in rows[k]) for k in range(bounds[t], bounds[t + 1])]
+        best = []
+        for width, kernel, bias in zip(toxicity.WIDTHS, model.kernels, model.bias, strict=True):
+            for f in range(toxicity.FILTERS):
+                responses = [bias[f] + sum(float(own[i + j] @ kernel[j][:, f].astype(float)) for j in range(width)) for i in range(len(own) - width + 1)]
+                best.append(max([0.0, *responses]))
+        want.append(1 / (1 + np.exp(-(np.dot(best, model.out.astype(float)) + model.base))))
+    assert np.allclose(model.scores(texts), want, atol=1e-5)
+    split = np.concatenate([model.scores([t]) for t in texts])
+    assert np.allclose(split, want, atol=1e-5)  # a text's score does not depend on its neighbours
+    one = toxicity.words(["Toxic!"], toxicity.PUNCT)
+    assert toxicity.features(["toxic"])[0].tolist() == toxicity.features(["TOXIC!"])[0].tolist() and len(one.hashes) == 1
+
+
 def test_model_learns_by_parts_of_words():
     rng = random.Random(6)
     clean = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + rng.choice(["", "s", "ing"]) for _ in range(30))

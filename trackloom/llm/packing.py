@@ -230,7 +230,7 @@ def _best_fit(plan: Plan, bins: list[tuple[int, int, int]], small: dict[int, int
 
 
 def placed(pieces: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; ids stay in `pieces`."""
+    """doc_id, piece, start, length, rank (among pieces of the length), ids_crc32, sequence_id, offset of every piece; ids stay in `pieces`."""
     runs = np.array(sorted(plan.runs), dtype=np.int64).reshape(-1, 6)
     keys = (runs[:, 0] << 48) | runs[:, 1]
 
@@ -248,18 +248,23 @@ def placed(pieces: DataFrame, plan: Plan) -> DataFrame:
             at = rank - own[:, 1]
             columns = [batch.column(c) for c in ("doc_id", "piece", "start")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(length), batch.column("ids_crc32"), pa.array(own[:, 3] + at // own[:, 4]), pa.array(own[:, 5] + at % own[:, 4] * length)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                [*columns, pa.array(length), pa.array(rank), batch.column("ids_crc32"), pa.array(own[:, 3] + at // own[:, 4]), pa.array(own[:, 5] + at % own[:, 4] * length)],
+                ["doc_id", "piece", "start", "length", "rank", "ids_crc32", "sequence_id", "offset"],
             )
 
     narrow = pieces.mapInArrow(checksum, "doc_id long, piece int, start long, length int, part int, local long, ids_crc32 long")
+    ranked = with_rank(narrow, pieces)
+    return ranked.select("doc_id", "piece", "start", "length", "rank", "ids_crc32").mapInArrow(
+        place, "doc_id long, piece int, start long, length long, rank long, ids_crc32 long, sequence_id long, offset long"
+    )
+
+
+def with_rank(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Rows of pieces with their rank among all pieces of their length; length and rank name a piece."""
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
-    ranked = narrow.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local"))
-    return ranked.select("doc_id", "piece", "start", "length", "rank", "ids_crc32").mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    return rows.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("local"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 2048, groups: int = 24, small: float = 0.34) -> tuple[DataFrame, DataFrame]:
@@ -270,6 +275,19 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, room: int = 2048, gro
 
 
 def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
-    """The packed sequences themselves: sequence_id and its ids in order; no sequence exceeds its room."""
-    both = places.join(pieces.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
-    return both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
+    """The packed sequences themselves: sequence_id, ids (binary, 32 bits each, little-endian), doc_ids and lengths of its
+    pieces in order. Pieces meet their places by length and rank, which are unique whatever the ids of the documents."""
+    ranked = with_rank(pieces.select("doc_id", "length", "part", "local", "ids"), pieces).select("length", "rank", "ids")
+    both = places.select("sequence_id", "offset", "doc_id", "length", "rank").join(ranked, ["length", "rank"])
+    parts = both.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "length", "ids"))).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = batch.column("parts").to_pylist()
+            ids = [b"".join(np.frombuffer(p["ids"], dtype=f"<u{len(p['ids']) // p['length']}").astype("<u4").tobytes() for p in row) for row in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sequence_id"), pa.array(ids, pa.binary()), pa.array([[p["doc_id"] for p in row] for row in rows], pa.list_(pa.int64())), pa.array([[p["length"] for p in row] for row in rows], pa.list_(pa.int64()))],
+                ["sequence_id", "ids", "doc_ids", "lengths"],
+            )
+
+    return parts.mapInArrow(run, "sequence_id long, ids binary, doc_ids array<long>, lengths array<long>")

@@ -12,6 +12,9 @@ Files lie in the shared folder. Each is written under a temporary name and renam
 the list of files is itself a table written by Spark, so files of lost or repeated tasks are
 never read.
 
+A record's id follows from its page_id and payload; rows that are equal in both are copies of one record and
+share its id, records without a page_id get one of their own.
+
 Edge cases: null html = empty payload; a null url is an empty target; rows with equal page_id and
 equal payload are all responses when that id is the smallest; null page_ids come last (a group with
 no other id has responses only); an empty table gives no records; a broken or cut archive raises an
@@ -60,8 +63,9 @@ def with_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return rows.join(shared, "digest", "left")  # large payload groups: Spark splits skewed sides of this join
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _record_id(page_id: int | None, digest: str) -> str:
+    own = uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}")
+    return f"<urn:uuid:{own}>"
 
 
 def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, first: int | None) -> bytes:
@@ -70,14 +74,14 @@ def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, fir
     head = [
         "WARC/1.0",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page_id)}",
+        f"WARC-Record-ID: {_record_id(page_id, digest)}",
         "WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url),
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(first)}", f"X-Refers-To-Page: {first}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(first, digest)}", f"X-Refers-To-Page: {first}"]
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
