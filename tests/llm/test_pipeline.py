@@ -166,3 +166,10 @@ def test_empty_tables(spark, corpus, tmp_path):
     docs = table(spark, corpus, "documents").where("doc_id < 20")
     for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:4]:  # without labels and items nothing goes
         assert stage(spark, docs, str(tmp_path)).count() == docs.count(), name
+
+
+def test_the_entry_does_not_hide_a_broken_module():
+    from tests.test_session import BLOCK, run
+
+    done = run('BLOCKED = ["trackloom.llm.tokens"]\n' + BLOCK)
+    assert done.returncode and "trackloom.llm.tokens" in done.stderr

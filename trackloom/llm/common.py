@@ -8,13 +8,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch, written
+from ..session import release, scratch, written
 
 #: Bytes of text that one numpy step works on; memory of a task follows this, not the batch.
 SLICE_BYTES = 1 << 20
 
 
-__all__ = ["SLICE_BYTES", "scratch", "table", "text_slices", "texts_of", "written"]
+__all__ = ["SLICE_BYTES", "release", "scratch", "table", "text_slices", "texts_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

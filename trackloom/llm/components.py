@@ -3,7 +3,7 @@
 Each round first links every node's larger neighbours to the smallest node around it, then every
 node's smaller neighbours likewise; the edges end as stars around the smallest node. No node's
 neighbours are ever gathered: a node's minimum is an aggregate with partial sums, and it is joined
-back to the edges, where Spark splits skewed keys. Each round is a written table.
+back to the edges, where Spark splits skewed keys. Each round is a written table; the one before it is deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = written(pairs, "edges")
     state = _state(now)
     for _ in range(rounds):
-        now = written(_small_star(_large_star(now)), "edges")
+        last, now = now, written(_small_star(_large_star(now)), "edges")
+        release(last)
         before, state = state, _state(now)
         if state == before:
             break

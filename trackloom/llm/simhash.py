@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_slices, texts_of, written
+from .common import release, text_slices, texts_of, written
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -108,6 +108,7 @@ def meet(fps: DataFrame, radius: int = RADIUS, slices: int = 8) -> DataFrame:
     tasks = max(1, -(-n * len(masks) // (slices * VALUES_PER_TASK)), min(n * len(masks) // 100_000, spark.sparkContext.defaultParallelism))
     spread = written(fps.select("fp").repartition(tasks, "fp"), "spread")  # a small table is few splits, but all tasks emit
     links = [written(_meet_part(spread, masks, radius, part, slices, tasks), "links") for part in range(slices)]
+    release(spread)
     return reduce(DataFrame.union, links).distinct()
 
 
