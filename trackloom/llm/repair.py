@@ -39,7 +39,7 @@ SHARD_TOKENS = 2_000_000
 #: Places below which a pair is left alone: a rule costs two symbols and a length, about 6 bytes, a place saves about 2.
 LEAST_COUNT = 4
 #: A round takes all pairs at least 1 / ROUND_SHARE as frequent as the most frequent one.
-ROUND_SHARE = 4
+ROUND_SHARE = 8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MAGIC = b"RPAIR\x02\0\0"
 _HEAD = struct.Struct("<8sIIQIIIQ")  # magic, vocabulary, end id, documents, rules, bits a symbol, bytes a length, symbols
@@ -85,17 +85,16 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
     number = np.full(len(s), -1)  # of the pair that begins at a place
     known, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
-    def count(at: np.ndarray) -> None:
-        """Numbers the pairs at places where pairs are new."""
+    def count(at: np.ndarray | slice, then: np.ndarray | slice) -> None:
+        """Numbers the pairs at places where pairs are new; a pair with an end counts as never."""
         nonlocal known, counts
-        left, right = s[at], s[at + 1]
-        inner = (left != vocabulary) & (right != vocabulary)
-        if inner.any():
-            own, keys, times = _numbered((left[inner].astype(np.uint64) << np.uint64(32)) | right[inner], least)
-            number[at[inner]] = np.where(own >= 0, own + len(known), -1)
+        if len(s[at]):
+            own, keys, times = _numbered((s[at].astype(np.uint64) << np.uint64(32)) | s[then], least)
+            times[(keys >> np.uint64(32) == vocabulary) | (keys & np.uint64(0xFFFFFFFF) == vocabulary)] = 0
+            number[at] = np.where(own >= 0, own + len(known), -1) if len(known) else own
             known, counts = np.concatenate([known, keys]), np.concatenate([counts, times])
 
-    count(np.arange(len(s) - 1))
+    count(slice(0, -1), slice(1, None))
     while len(counts) and (most := int(counts.max())) >= least:
         chosen = np.flatnonzero(counts >= max(least, most // share))
         chosen = chosen[np.lexsort((known[chosen], -counts[chosen]))]
@@ -131,7 +130,8 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
         at = at - np.arange(len(at))
         fresh = np.zeros(len(s), dtype=bool)
         fresh[at], fresh[at - 1] = True, True
-        count(np.flatnonzero(fresh[:-1]))
+        at = np.flatnonzero(fresh[:-1])
+        count(at, at + 1)
     keys = np.concatenate(rules)
     return s[:-1], np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 

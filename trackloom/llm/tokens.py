@@ -20,7 +20,7 @@ import numpy as np
 #: Text that one call of `encode` should get: new pieces that are not remembered are encoded once a call.
 STEP_BYTES = 4 << 20
 #: Distinct pieces that a task remembers; further ones are encoded again when they come again.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _CLASS = bytes(b"."[0] if b < 128 and not chr(b).isalnum() and not chr(b).isspace() else b" "[0] if b in b"\t\n\v\f\r " else b"a"[0] for b in range(256))
 _CONTROL = bytes([*range(9), *range(14, 32), 127])
 _ODD = re.compile(r"[^\w\x00-\x7f]")
@@ -79,6 +79,8 @@ class Encoder:
 
     def _joins(self, piece: bytes) -> bool:
         """Whether a piece can stand in a row with others: one word, at most one space before it, no mark inside."""
+        if self.cut == "space":  # always one word
+            return self.mark is not None and b"|" not in piece
         core = piece[1:] if piece[:1] == b" " else piece
         return self.mark is not None and piece not in self.whole and core.split() == [core] and self.between.strip(b" ") not in piece
 
