@@ -83,7 +83,12 @@ def test_event_windows_must_fit(spark):
 
 
 def test_short_track_has_no_comparison_window(spark):
-    assert windows.best_observed_window(frames(spark, [(0, 1, 0), (0.4, 1, 0)]), F.col("x")).count() == 0
+    short = windows.best_observed_window(frames(spark, [(0, 1, 0), (0.4, 1, 0)]), F.col("x")).first()
+    assert (short["start"], short["skip_reason"]) == (None, "window_outside_track")
+    exact = windows.best_observed_window(frames(spark, [(0, 1, 0), (0.49995, 1, 0)]), F.col("x")).first()
+    assert exact["skip_reason"] is None and exact["fraction"] == 1.0
+    coasted = windows.best_observed_window(frames(spark, [(0, 1, 0), (0.2, 0, 0), (0.4, 0, 0), (0.6, 0, 0), (0.8, 0, 0), (1.0, 1, 0)]), F.col("x")).first()
+    assert coasted["skip_reason"] == "comparison_window_unobserved"
 
 
 def test_intents_and_confidence(spark):
@@ -145,3 +150,72 @@ def test_row_order_does_not_matter(spark, sf):
     mixed = rows.orderBy(F.xxhash64("frame")).repartition(3)
     for f in (temporal.coast_runs, temporal.gradient, quality.track_quality):
         assert sorted(map(str, f(rows).collect())) == sorted(map(str, f(mixed).collect()))
+
+
+def test_a_long_track_takes_seconds(spark):
+    """Filling, as-of joins and interpolation grow with the track's length, not with its square."""
+    import time
+
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("seq"), F.lit(1).cast("long").alias("track"), F.col("id").alias("frame"), (F.col("id") / 9).alias("t"), (F.col("id") % 1000 == 7).alias("observed"), F.lit(5).alias("points"), (F.col("id") / 9).alias("x"), F.lit(0.9).alias("confidence"))
+    known, others = rows.where("observed"), rows.where("not observed")
+    began = time.monotonic()
+    filled = temporal.nearest_fill(rows, F.col("x"), F.col("observed")).agg(F.count("*"), F.count_if(F.col("origin") == "own")).first()
+    assert tuple(filled) == (n, n // 1000)
+    nearest = temporal.asof_nearest(others, known, F.col("x")).agg(F.count("*"), F.max("gap")).first()
+    assert nearest[0] == n - n // 1000 and 55 < nearest[1] < 111
+    inner = temporal.interpolate(others, known, F.col("x")).join(others.select("frame", "t"), "frame").where("t > 1 and t < 22000")
+    assert inner.agg(F.max(F.abs(F.col("value") - F.col("t")))).first()[0] < 1e-6
+    window = windows.best_observed_window(rows, F.col("x"), length=1.0, least=0.1).first()
+    assert window["skip_reason"] is None and window["fraction"] >= 0.1
+    assert time.monotonic() - began < 40
+
+
+def test_frames_of_equal_time_are_in_order_of_their_number(spark):
+    rows = [(0, 1, 5, 1.0, True, 3, 9.0, 0.5), (0, 1, 4, 1.0, False, -1, 7.0, 0.5), (0, 1, 3, 0.0, True, 3, 0.0, 0.5)]
+    for order in (rows, rows[::-1]):
+        got = temporal.nearest_fill(frames(spark, order), F.col("x"), F.col("frame") == 4).orderBy("frame").collect()
+        assert [r["origin"] for r in got] == ["filled", "own", "filled"]
+        assert [(r["n_frames"], r["internal"]) for r in temporal.coast_runs(frames(spark, order)).collect()] == [(1, True)]
+
+
+def test_nearest_of_any_type_with_its_gap(spark):
+    signal = frames(spark, [(0, 1, 350), (10, 1, 10)])
+    asked = frames(spark, [(4, 1, 0), (6, 1, 0), (99, 1, 0)])
+    got = temporal.asof_nearest(asked, signal, F.when(F.col("x") > 180, "left").otherwise("right")).orderBy("frame").collect()
+    assert [(r["match_value"], r["gap"]) for r in got] == [("left", 4.0), ("right", 4.0), ("right", 89.0)]
+    none = temporal.asof_nearest(asked, signal.where("false"), F.col("x")).collect()
+    assert len(none) == 3 and all(r["match_value"] is None and r["gap"] is None for r in none)
+
+
+def test_speed_is_that_of_all_coordinates(spark):
+    rows = spark.createDataFrame([(1, 1, 0, 0.0, True, 5, 0.9, 0.0, 0.0, 0.0), (1, 1, 1, 2.0, True, 5, 0.9, 2.0, 3.0, 6.0), (1, 1, 2, 2.0, True, 5, 0.9, 99.0, 0.0, 0.0)], "seq long, track long, frame long, t double, observed boolean, points int, confidence double, x double, y double, z double")
+    assert [(r["frame"], r["speed"]) for r in temporal.speeds(rows).collect()] == [(1, 3.5)]  # time stands still in the last step
+    assert quality.track_metrics(rows).first()["max_speed"] == 3.5
+    path = temporal.paths(rows.where("frame < 2")).first()
+    assert (path["n_observed"], path["path"], path["longest_step"]) == (2, 7.0, 7.0)
+
+
+def test_an_anchor_is_observed_but_no_measurement(spark):
+    """Five observed frames of six, one of them an anchor; confidences of all five count."""
+    rows = [(0, 1, i, float(i), i != 3, -1 if i in (2, 3) else 9, 0.0, [0.1, 0.2, 0.9, 0.0, 0.9, 0.9][i]) for i in range(6)]
+    row = quality.track_metrics(frames(spark, rows)).first()
+    assert (row["n_observed"], row["n_measured"], row["observed_fraction"], row["coverage"]) == (5, 4, pytest.approx(5 / 6), pytest.approx(4 / 6))
+    assert row["median_confidence"] == 0.9  # 0.55 without the anchor
+    found = quality.track_quality(frames(spark, rows), quality.Thresholds(coverage=0.7)).first()
+    assert found["flags"] == "LOW_COVERAGE" and found["tier"] == "marginal"
+
+
+def test_flags_compare_rounded_metrics(spark):
+    assert metrics(spark, coverage=0.4996)["found"] == [] and metrics(spark, coverage=0.4994)["found"] == ["LOW_COVERAGE"]
+    assert metrics(spark, duration=2.996)["found"] == [] and metrics(spark, max_speed=3.504)["found"] == []
+    assert metrics(spark, max_speed=3.506)["found"] == ["JITTER"]
+
+
+def test_windows_of_crossers_and_others(spark):
+    rows = frames(spark, [(0, 1, i, i / 10, True, 5, 1.0, 0.9) for i in range(60)] + [(0, 2, i, i / 10, True, 5, float(i), 0.9) for i in range(60)] + [(0, 3, 0, 0.0, True, 5, 1.0, 0.9)])
+    actions = spark.createDataFrame([(1, True, 3.0, False, 0.0, 5.9), (2, False, None, None, 0.0, 5.9), (3, False, None, None, 0.0, 0.0), (4, None, None, None, 0.0, 0.0)], "track long, crosses boolean, crossing_t double, crossing_observed boolean, t0 double, t1 double")
+    got = sorted((r["track"], r["kind"], r["horizon"], None if r["end"] is None else round(r["end"], 6), r["skip_reason"]) for r in windows.propose(rows, actions, F.abs(F.col("x") - 30)).collect() if r["track"] != 1)
+    assert got == [(2, "closest_approach", None, 3.0, None), (3, "closest_approach", None, None, "window_outside_track")]
+    before = sorted((r["horizon"], round(r["end"], 6)) for r in windows.propose(rows, actions, F.col("x")).where("track = 1").collect())
+    assert before == [(1.0, 2.0), (1.5, 1.5), (2.0, 1.0)]

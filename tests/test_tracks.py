@@ -66,6 +66,44 @@ def test_continuation(spark, start, x, height, accepted):
         assert (edges[0]["gap"], edges[0]["residual"]) == pytest.approx((1, 0.4))
 
 
+def test_overlapping_fragments_are_not_led_back(spark):
+    """The second begins 0.2 s before the first ends: the first's last place counts, not where it was then."""
+    ends = spark.createDataFrame([(0, 1, 9, 0.0, -10.0, 10.0, 0.0, 1.7, 10.0), (0, 2, 9, 9.8, 0.5, 20.0, 9.0, 1.7, 1.0)], ENDS)
+    edge = stitching.continuation_edges(ends).first()
+    assert (edge["gap"], edge["residual"]) == (pytest.approx(-0.2), pytest.approx(0.5))  # led back it would be 2.5 and no edge
+
+
+def test_time_that_stands_still_takes_the_nominal_step():
+    z, seen = np.array([[0.0], [1.0], [2.0]]), np.ones(3, dtype=bool)
+    same, nominal = tracking.smooth(np.array([0.0, 0.0, 0.0]), z, seen, M), tracking.smooth(np.arange(3) * M.nominal_dt, z, seen, M)
+    assert np.allclose(same[0], nominal[0]) and np.allclose(same[1], nominal[1])
+
+
+def test_merge_reasons_spans_and_counters(spark):
+    tracks = spark.createDataFrame([(i, i % 2 == 0, None, "determined", 10.0, 8.0, 11.0, i == 7, i != 9) for i in range(10)], "key long, auto_crosses boolean, auto_time double, status string, keyframe double, first_t double, last_t double, disputed boolean, has_action boolean")
+    reviews = spark.createDataFrame([(0, True, True, 0.5, False), (1, True, True, 3.0, False), (2, True, True, None, True), (3, True, True, None, False), (4, True, None, None, False), (5, True, False, None, False), (6, False, None, None, False), (42, True, True, 1.0, False)], "key long, answered boolean, crosses boolean, seconds double, before boolean")
+    merged = verdicts.merge(tracks.where("has_action"), reviews)
+    got = {r["key"]: (r["status"], r["crosses"], r["crossing_time"], r["reason"], r["outside_span"]) for r in merged.collect()}
+    assert got == {
+        0: ("determined", True, 10.5, None, False),
+        1: ("determined", True, 13.0, None, True),
+        2: ("undetermined", True, None, "crossing_started_before_observation", False),
+        3: ("undetermined", True, None, "human_gave_no_crossing_time", False),
+        4: ("undetermined", None, None, "human_uncertain", False),
+        5: ("determined", False, None, None, False),
+        6: ("determined", True, None, None, False),
+        7: ("determined", False, None, None, False),
+        8: ("determined", True, None, None, False),
+    }
+    assert verdicts.counters(merged, tracks).first().asDict() == {
+        "human_verified": 6, "human_uncertain": 1, "human_cross": 4, "flipped_no_to_cross": 2, "cross_without_anchorable_t_c": 2, "human_no_cross": 1,
+        "flipped_cross_to_no": 0, "pv_disputed_unreviewed": 1, "geometry_kept": 3, "written": 9, "outside_span": 1, "no_action_record": 1,
+    }
+    assert [r["key"] for r in verdicts.unmatched(reviews, tracks).collect()] == [42]
+    late = reviews.where(verdicts.needs_time(F.col("crosses"), F.col("seconds"), F.col("before"))).select("key").collect()
+    assert [r["key"] for r in late] == [3]
+
+
 def test_chains_take_each_follower_once(spark):
     edges = [(0, 1, 3, 0.5, 0.2, 1.0, 2.0), (0, 2, 3, 0.4, 0.1, 1.5, 2.0), (0, 2, 4, 0.4, 0.3, 1.5, 2.1), (0, 3, 5, 0.4, 0.3, 3.0, 3.5)]
     rows = spark.createDataFrame(edges, "seq long, track long, follower long, gap double, residual double, ends double, starts double")
@@ -105,8 +143,8 @@ def test_verdict_merge(spark):
     assert got == {
         0: ("determined", False, None),
         1: ("determined", True, 13.5),
-        2: ("undetermined", None, None),
-        3: ("undetermined", None, None),
+        2: ("undetermined", True, None),  # the crossing is known, its time is not
+        3: ("undetermined", True, None),
         4: ("undetermined", None, None),
         5: ("determined", True, 1.0),
     }

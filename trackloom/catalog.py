@@ -36,25 +36,26 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 # ---- track quality ------------------------------------------------------------------------------
 
-LIMITS = quality.Thresholds(coverage=0.75, duration=25.0, points=45, confidence=0.3, speed=15_000.0, fast=60_000.0)
+LIMITS = quality.Thresholds(coverage=0.6, duration=25.0, points=45, confidence=0.3, speed=15_000.0, fast=60_000.0)
 
+STEP_SQL = "sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2) + power(z - lag(z) OVER w, 2))"
 METRICS_SQL = f"""{FRAMES_SQL},
-steps AS (SELECT track, t - lag(t) OVER w AS dt, abs(x - lag(x) OVER w) AS dx FROM frames WINDOW w AS (PARTITION BY track ORDER BY t)),
+steps AS (SELECT track, t - lag(t) OVER w AS dt, {STEP_SQL} AS dx FROM frames WINDOW w AS (PARTITION BY track ORDER BY t, frame)),
 fast AS (SELECT track, max(dx / dt) AS max_speed FROM steps WHERE dt > 0 GROUP BY track),
-marked AS (SELECT track, t, observed, sum(observed::INT) OVER (PARTITION BY track ORDER BY t) AS run, sum(observed::INT) OVER (PARTITION BY track) AS all_seen FROM frames),
+marked AS (SELECT track, t, observed, sum(observed::INT) OVER (PARTITION BY track ORDER BY t, frame) AS run, sum(observed::INT) OVER (PARTITION BY track) AS all_seen FROM frames),
 runs AS (SELECT track, run::BIGINT AS run, count(*) AS n_frames, min(t) AS t_start, max(t) AS t_end, run > 0 AND run < any_value(all_seen) AS internal FROM marked WHERE NOT observed GROUP BY track, run),
 coasts AS (SELECT track, max(n_frames) AS longest_coast, count(*) AS n_coasts FROM runs GROUP BY track),
 base AS (SELECT seq, track, count(*) AS n_frames, count(*) FILTER (observed) AS n_observed, count(*) FILTER (observed AND points >= 0) AS n_measured,
-    avg(observed::INT) AS coverage, max(t) - min(t) AS duration,
+    avg(observed::INT) AS observed_fraction, count(*) FILTER (observed AND points >= 0) / count(*) AS coverage, max(t) - min(t) AS duration,
     coalesce(CAST(trunc(median(points) FILTER (observed AND points >= 0)) AS INT), 0) AS median_points,
-    coalesce(median(confidence) FILTER (observed AND points >= 0), 0.0) AS median_confidence
+    coalesce(median(confidence) FILTER (observed), 0.0) AS median_confidence
   FROM frames GROUP BY seq, track),
 metrics AS (SELECT base.*, coalesce(longest_coast, 0) AS longest_coast, coalesce(n_coasts, 0) AS n_coasts, coalesce(max_speed, 0.0) AS max_speed
   FROM base LEFT JOIN coasts USING (track) LEFT JOIN fast USING (track)),
 flagged AS (SELECT *, list_filter([CASE WHEN n_measured = 0 THEN 'EMPTY' END,
-    CASE WHEN n_measured > 0 AND coverage < {LIMITS.coverage} THEN 'LOW_COVERAGE' END, CASE WHEN duration < {LIMITS.duration} THEN 'SHORT' END,
-    CASE WHEN median_points < {LIMITS.points} THEN 'SPARSE_LIFT' END, CASE WHEN median_confidence < {LIMITS.confidence} THEN 'LOW_CONF' END,
-    CASE WHEN max_speed > {LIMITS.speed} THEN 'JITTER' END], lambda f: f IS NOT NULL) AS found FROM metrics),
+    CASE WHEN n_measured > 0 AND round(coverage, 3) < {LIMITS.coverage} THEN 'LOW_COVERAGE' END, CASE WHEN round(duration, 2) < {LIMITS.duration} THEN 'SHORT' END,
+    CASE WHEN median_points < {LIMITS.points} THEN 'SPARSE_LIFT' END, CASE WHEN round(median_confidence, 3) < {LIMITS.confidence} THEN 'LOW_CONF' END,
+    CASE WHEN round(max_speed, 2) > {LIMITS.speed} THEN 'JITTER' END], lambda f: f IS NOT NULL) AS found FROM metrics),
 tracks AS (SELECT * EXCLUDE (found), array_to_string(found, '|') AS flags, CAST(len(found) AS INT) AS n_flags,
     CASE WHEN list_has_any(found, ['EMPTY', 'JITTER']) THEN 'bad' WHEN list_has_any(found, ['LOW_COVERAGE', 'SPARSE_LIFT', 'LOW_CONF']) THEN 'marginal' ELSE 'good' END AS tier
   FROM flagged)"""
@@ -65,7 +66,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {METRICS_SQL}
-SELECT seq, track, n_frames, n_observed, n_measured, round(coverage, 6) AS coverage, round(duration, 6) AS duration, median_points,
+SELECT seq, track, n_frames, n_observed, n_measured, round(observed_fraction, 6) AS observed_fraction, round(coverage, 6) AS coverage, round(duration, 6) AS duration, median_points,
   round(median_confidence, 6) AS median_confidence, longest_coast, n_coasts, round(max_speed, 6) AS max_speed, flags, n_flags, tier FROM tracks""")
 def track_quality(spark, sf_dir):
     return rounded(_quality(spark, sf_dir))
@@ -92,7 +93,7 @@ def flag_counts(spark, sf_dir):
 
 @query(f"""WITH {METRICS_SQL},
 cut AS (SELECT list_filter([CASE WHEN contains(flags, 'JITTER') THEN 'jitter' END, CASE WHEN tier = 'bad' THEN 'bad_tier' END,
-  CASE WHEN max_speed > {LIMITS.fast} THEN 'fast' END], lambda r: r IS NOT NULL) AS reasons FROM tracks)
+  CASE WHEN round(max_speed, 2) > {LIMITS.fast} THEN 'fast' END], lambda r: r IS NOT NULL) AS reasons FROM tracks)
 SELECT entry, count(*) AS n FROM (SELECT CASE WHEN len(reasons) > 0 THEN 'dropped' ELSE 'kept' END AS entry FROM cut
   UNION ALL SELECT 'reason:' || unnest(reasons) FROM cut) GROUP BY entry""")
 def cut_manifest(spark, sf_dir):
@@ -121,24 +122,24 @@ def bridged_gap(spark, sf_dir):
     return rounded(temporal.longest_bridged(frames(spark, sf_dir)))
 
 
-@query(f"""WITH {FRAMES_SQL}, s AS (SELECT track, frame, t - lag(t) OVER w AS dt, abs(x - lag(x) OVER w) AS dx FROM frames WINDOW w AS (PARTITION BY track ORDER BY t))
+@query(f"""WITH {FRAMES_SQL}, s AS (SELECT track, frame, t - lag(t) OVER w AS dt, {STEP_SQL} AS dx FROM frames WINDOW w AS (PARTITION BY track ORDER BY t, frame))
 SELECT track, frame, round(dt, 6) AS dt, round(dx / dt, 4) AS speed FROM s WHERE dt > 0""")
 def interframe_speed(spark, sf_dir):
     return temporal.speeds(frames(spark, sf_dir)).select("track", "frame", F.round("dt", 6).alias("dt"), F.round("speed", 4).alias("speed"))
 
 
 @query(f"""WITH {FRAMES_SQL},
-n AS (SELECT track, frame, x, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd, lag(x) OVER w AS b, lead(x) OVER w AS a FROM frames WINDOW w AS (PARTITION BY track ORDER BY t))
+n AS (SELECT track, frame, x, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd, lag(x) OVER w AS b, lead(x) OVER w AS a FROM frames WINDOW w AS (PARTITION BY track ORDER BY t, frame))
 SELECT track, frame, round(coalesce((hs * hs * a + (hd * hd - hs * hs) * x - hd * hd * b) / (hs * hd * (hs + hd)), (a - x) / hd, (x - b) / hs), 4) AS velocity FROM n""")
 def velocity_gradient(spark, sf_dir):
     return rounded(temporal.gradient(frames(spark, sf_dir)), 4)
 
 
 @query(f"""WITH {FRAMES_SQL},
-p AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t) AS place FROM frames),
+p AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, frame) AS place FROM frames),
 k AS (SELECT *, CASE WHEN kind = 'purchase' THEN place END AS own_place, CASE WHEN kind = 'purchase' THEN x END AS own FROM p),
 f AS (SELECT *, last_value(own_place IGNORE NULLS) OVER b AS bp, last_value(own IGNORE NULLS) OVER b AS bv, first_value(own_place IGNORE NULLS) OVER a AS ap, first_value(own IGNORE NULLS) OVER a AS av
-  FROM k WINDOW b AS (PARTITION BY track ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY track ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  FROM k WINDOW b AS (PARTITION BY track ORDER BY t, frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY track ORDER BY t, frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT track, frame, coalesce(CASE WHEN ap IS NULL OR place - bp <= ap - place THEN bv ELSE av END, 0.0) AS value,
   CASE WHEN own IS NOT NULL THEN 'own' WHEN bp IS NULL AND ap IS NULL THEN 'undefined' ELSE 'filled' END AS origin FROM f""")
 def nearest_fill(spark, sf_dir):
@@ -166,7 +167,7 @@ def asof_backward(spark, sf_dir):
 b AS (SELECT l.track, l.frame, l.t, r.t AS bt, r.x AS bv FROM l ASOF LEFT JOIN r ON l.track = r.track AND l.t >= r.t),
 a AS (SELECT b.*, r.t AS nt, r.x AS av FROM b ASOF LEFT JOIN r ON b.track = r.track AND b.t < r.t),
 m AS (SELECT track, frame, t, CASE WHEN nt IS NULL OR t - bt <= nt - t THEN bt ELSE nt END AS mt, CASE WHEN nt IS NULL OR t - bt <= nt - t THEN bv ELSE av END AS mv FROM a)
-SELECT track, frame, round(mt, 6) AS match_t, mv AS match_value FROM m WHERE abs(t - mt) <= 0.25""")
+SELECT track, frame, round(mt, 6) AS match_t, mv AS match_value, round(abs(t - mt), 6) AS gap FROM m WHERE abs(t - mt) <= 0.25""")
 def asof_nearest_tol(spark, sf_dir):
     rows = frames(spark, sf_dir)
     return rounded(temporal.asof_nearest(rows.where("kind = 'purchase'"), rows.where("kind = 'click'"), F.col("x"), 0.25))
@@ -225,14 +226,19 @@ def tte_windows(spark, sf_dir):
     return rounded(_proposals(frames(spark, sf_dir)))
 
 
-@query(f"""WITH {FRAMES_SQL}, spans AS (SELECT track, min(t) AS t0, max(t) AS t1 FROM frames GROUP BY track),
+CLOSEST_SQL = f"""ends AS (SELECT track, min(t) AS t0, max(t) AS t1 FROM frames GROUP BY track),
 p AS (SELECT f.track, f.frame AS "window", abs(f.x - 50) AS distance, f.t AS moment, least(greatest(f.t, t0 + {LENGTH}), t1) AS "end"
-  FROM frames f JOIN spans USING (track) WHERE observed AND t1 - t0 >= {LENGTH}),
+  FROM frames f JOIN ends USING (track) WHERE observed AND t1 - t0 >= {LENGTH} - 0.0001),
 w AS (SELECT *, "end" - {LENGTH}::DOUBLE AS start FROM p),
 s AS (SELECT w.track, w."window", any_value(distance) AS distance, any_value(moment) AS moment, any_value(start) AS start, any_value("end") AS "end", avg(f.observed::INT) AS fraction
-  FROM w JOIN frames f ON f.track = w.track AND f.t >= w.start - 0.0001 AND f.t <= w."end" + 0.0001 GROUP BY w.track, w."window")
-SELECT track, "window", round(distance, 6) AS distance, round(start, 6) AS start, round("end", 6) AS "end", round(fraction, 6) AS fraction
-FROM s WHERE fraction >= 0.7 QUALIFY row_number() OVER (PARTITION BY track ORDER BY s.distance, moment, "window") = 1""")
+  FROM w JOIN frames f ON f.track = w.track AND f.t >= w.start - 0.0001 AND f.t <= w."end" + 0.0001 GROUP BY w.track, w."window"),
+best AS (SELECT * FROM s WHERE fraction >= 0.7 QUALIFY row_number() OVER (PARTITION BY track ORDER BY s.distance, moment, "window") = 1),
+closest AS (SELECT e.track, "window", distance, start, "end", fraction,
+  CASE WHEN t1 - t0 < {LENGTH} - 0.0001 THEN 'window_outside_track' WHEN b.track IS NULL THEN 'comparison_window_unobserved' END AS skip_reason FROM ends e LEFT JOIN best b ON b.track = e.track)"""
+
+
+@query(f"""WITH {FRAMES_SQL}, {CLOSEST_SQL}
+SELECT track, "window", round(distance, 6) AS distance, round(start, 6) AS start, round("end", 6) AS "end", round(fraction, 6) AS fraction, skip_reason FROM closest""")
 def closest_observed_window(spark, sf_dir):
     return rounded(windows.best_observed_window(frames(spark, sf_dir), F.abs(F.col("x") - 50), length=LENGTH))
 
@@ -310,14 +316,17 @@ def funnel(spark, sf_dir):
     )
 
 
-MASSES_SQL = f"""{SAMPLES_SQL}, few AS (SELECT * FROM samples WHERE seq % 4 <> 3),
-masses AS (SELECT s_suppkey AS seq, coalesce(n_samples, 0) AS n_samples, coalesce(n_tte, 0) AS n_tte FROM supplier
-  LEFT JOIN (SELECT seq, count(*) AS n_samples, count(*) FILTER (tte) AS n_tte FROM few GROUP BY seq) ON seq = s_suppkey)"""
+#: Suppliers, and numbers that no supplier has: sequences without samples.
+SEQUENCES_SQL = "(SELECT s_suppkey AS seq FROM supplier UNION ALL SELECT -s_suppkey FROM supplier)"
+MASSES_SQL = f"""{SAMPLES_SQL},
+masses AS (SELECT w.seq, coalesce(n_samples, 0) AS n_samples, coalesce(n_tte, 0) AS n_tte FROM {SEQUENCES_SQL} w
+  LEFT JOIN (SELECT seq, count(*) AS n_samples, count(*) FILTER (tte) AS n_tte FROM samples GROUP BY seq) s ON s.seq = w.seq)"""
 
 
 def _masses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sequences = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"))
-    return stats.masses(sequences, samples(spark, sf_dir).where(F.col("seq") % 4 != 3))
+    own = F.col("s_suppkey")
+    sequences = table(spark, sf_dir, "supplier").select(F.explode(F.array(own, -own)).alias("seq"))
+    return stats.masses(sequences, samples(spark, sf_dir))
 
 
 def _split_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,13 +372,18 @@ def split_deal(spark, sf_dir):
 # ---- reviewers' verdicts ------------------------------------------------------------------------
 
 REVIEW_SQL = """tracks AS (SELECT doc_id AS key, n_chars % 3 = 0 AS auto_crosses, CASE WHEN n_chars % 3 = 0 THEN n_chars / 10.0::DOUBLE END AS auto_time,
-    CASE WHEN n_chars % 11 = 0 THEN 'undetermined' ELSE 'determined' END AS status, CAST(n_chars AS DOUBLE) AS keyframe FROM documents),
+    CASE WHEN n_chars % 11 = 0 THEN 'undetermined' ELSE 'determined' END AS status, CAST(n_chars AS DOUBLE) AS keyframe, n_chars - 5.0::DOUBLE AS first_t, n_chars + 1.0::DOUBLE AS last_t,
+    n_chars % 7 = 0 AS disputed, n_chars % 13 <> 0 AS has_action FROM documents),
 reviews AS (SELECT doc_id AS key, quality = 1 AS yes, max(toxic) = 1 AS unsure, doc_id % 4 AS how FROM labels GROUP BY doc_id, quality),
-said AS (SELECT key, CASE WHEN unsure THEN NULL ELSE yes END AS crosses, CASE how WHEN 1 THEN 1.5 WHEN 3 THEN -0.5 END::DOUBLE AS seconds, how = 0 AS "before" FROM reviews),
-j AS (SELECT t.*, s.key IS NOT NULL AS reviewed, s.crosses AS said, s.seconds, coalesce(s.crosses AND s.seconds IS NOT NULL AND NOT s."before", false) AS timed FROM tracks t LEFT JOIN said s USING (key)),
-m AS (SELECT *, CASE WHEN NOT reviewed THEN status WHEN said IS NULL THEN 'undetermined' WHEN NOT said OR timed THEN 'determined' ELSE 'undetermined' END AS new_status FROM j),
-v AS (SELECT *, CASE WHEN NOT reviewed THEN auto_crosses WHEN new_status = 'determined' THEN said END AS crosses, CASE WHEN NOT reviewed THEN auto_time WHEN timed THEN keyframe + seconds END AS crossing_time FROM m),
-merged AS (SELECT key, new_status AS status, crosses, crossing_time, reviewed, reviewed AND auto_crosses IS DISTINCT FROM crosses AS overrode FROM v)"""
+said AS (SELECT key, true AS reviewed, CASE WHEN unsure THEN NULL ELSE yes END AS said, CASE how WHEN 1 THEN 1.5 WHEN 3 THEN -0.5 END::DOUBLE AS seconds, how = 0 AS "before" FROM reviews),
+j AS (SELECT t.*, coalesce(s.reviewed, false) AS reviewed, s.said, s.seconds, s."before" FROM (SELECT * FROM tracks WHERE has_action) t LEFT JOIN said s USING (key)),
+merged AS (SELECT key, reviewed, first_t, last_t, auto_crosses, disputed AND NOT reviewed AS disputed,
+    CASE WHEN NOT reviewed THEN status WHEN said IS NULL OR (said AND seconds IS NULL) THEN 'undetermined' ELSE 'determined' END AS status,
+    CASE WHEN NOT reviewed THEN auto_crosses ELSE said END AS crosses,
+    CASE WHEN NOT reviewed THEN auto_time WHEN said AND seconds IS NOT NULL THEN keyframe + seconds END AS crossing_time,
+    CASE WHEN NOT reviewed THEN NULL WHEN said IS NULL THEN 'human_uncertain' WHEN said AND seconds IS NULL AND "before" THEN 'crossing_started_before_observation'
+      WHEN said AND seconds IS NULL THEN 'human_gave_no_crossing_time' END AS reason FROM j),
+marked AS (SELECT *, coalesce(reviewed AND crossing_time IS NOT NULL AND NOT crossing_time BETWEEN first_t AND last_t, false) AS outside_span FROM merged)"""
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,6 +394,10 @@ def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 3 == 0, n / 10.0).alias("auto_time"),
         F.when(n % 11 == 0, "undetermined").otherwise("determined").alias("status"),
         n.cast("double").alias("keyframe"),
+        (n - 5.0).alias("first_t"),
+        (n + 1.0).alias("last_t"),
+        (n % 7 == 0).alias("disputed"),
+        (n % 13 != 0).alias("has_action"),
     )
 
 
@@ -396,21 +414,36 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _worksheet(spark, sf_dir).select("key", verdicts.answer(F.col("said")).alias("a"), verdicts.offset(F.col("offset")).alias("o")).select("key", "a.*", "o.*")
 
 
-@query(f"WITH {REVIEW_SQL} SELECT key, status, crosses, round(crossing_time, 6) AS crossing_time, reviewed, overrode FROM merged")
+@query(f"WITH {REVIEW_SQL} SELECT key, status, crosses, round(crossing_time, 6) AS crossing_time, reviewed, reason, outside_span, disputed, auto_crosses FROM marked")
 def verdict_merge(spark, sf_dir):
-    return rounded(verdicts.merge(_tracks(spark, sf_dir), _reviews(spark, sf_dir)).withColumn("overrode", F.col("overrode").isNotNull()))
+    return rounded(verdicts.merge(_tracks(spark, sf_dir).where("has_action"), _reviews(spark, sf_dir)).drop("overrode"))
 
 
-@query(f"""WITH {REVIEW_SQL} SELECT count(*) AS n_tracks, count(*) FILTER (reviewed) AS n_reviewed, count(*) FILTER (overrode) AS n_overrode,
-  count(*) FILTER (status = 'determined') AS n_determined, count(*) FILTER (status = 'undetermined') AS n_undetermined,
-  count(*) FILTER (crosses) AS n_crossing, count(*) FILTER (crossing_time IS NOT NULL) AS n_timed FROM merged""")
+@query(f"""WITH {REVIEW_SQL} SELECT count(*) FILTER (reviewed) AS human_verified, count(*) FILTER (reason = 'human_uncertain') AS human_uncertain, count(*) FILTER (reviewed AND crosses) AS human_cross,
+  count(*) FILTER (reviewed AND crosses AND NOT auto_crosses) AS flipped_no_to_cross, count(*) FILTER (reason IN ('crossing_started_before_observation', 'human_gave_no_crossing_time')) AS cross_without_anchorable_t_c,
+  count(*) FILTER (reviewed AND NOT crosses) AS human_no_cross, count(*) FILTER (reviewed AND NOT crosses AND auto_crosses) AS flipped_cross_to_no, count(*) FILTER (disputed) AS pv_disputed_unreviewed,
+  count(*) FILTER (NOT reviewed) AS geometry_kept, count(*) AS written, count(*) FILTER (outside_span) AS outside_span, (SELECT count(*) FROM tracks WHERE NOT has_action) AS no_action_record FROM marked""")
 def merge_counters(spark, sf_dir):
-    return verdicts.counters(verdicts.merge(_tracks(spark, sf_dir), _reviews(spark, sf_dir)))
+    tracks = _tracks(spark, sf_dir)
+    return verdicts.counters(verdicts.merge(tracks.where("has_action"), _reviews(spark, sf_dir)), tracks)
+
+
+@query(f"WITH {REVIEW_SQL} SELECT key, status, crosses AS now_crosses, auto_crosses AS was_crosses FROM marked WHERE reviewed AND auto_crosses IS DISTINCT FROM crosses")
+def overridden_verdicts(spark, sf_dir):
+    merged = verdicts.merge(_tracks(spark, sf_dir).where("has_action"), _reviews(spark, sf_dir))
+    return merged.where("overrode is not null and not (overrode.crosses <=> crosses)").select("key", "status", F.col("crosses").alias("now_crosses"), F.col("overrode.crosses").alias("was_crosses"))
+
+
+@query(f"WITH {REVIEW_SQL} SELECT key FROM said WHERE said AND seconds IS NULL AND NOT \"before\"")
+def untimed_crossings(spark, sf_dir):
+    return _reviews(spark, sf_dir).where(verdicts.needs_time(F.col("crosses"), F.col("seconds"), F.col("before"))).select("key")
 
 
-@query("SELECT doc_id AS key FROM documents EXCEPT SELECT doc_id FROM labels")
+@query("SELECT DISTINCT doc_id AS key FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def unmatched_keys(spark, sf_dir):
-    return verdicts.unmatched(_tracks(spark, sf_dir), _reviews(spark, sf_dir))
+    """Reviews of documents that are not among the tracks of the tier that is merged (here a language)."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("key"))
+    return verdicts.unmatched(_reviews(spark, sf_dir), docs)
 
 
 @query("SELECT doc_id AS key FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM documents WHERE n_chars > 2000")
@@ -441,7 +474,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t DESC, frame DES
 e AS (SELECT seq, track, count(*) AS n, min(t) AS first_t, arg_min(x, t) AS first_x, max(t) AS last_t, arg_max(x, t) AS last_x,
     min(t) FILTER (latest <= 5) AS tail_t, arg_min(x, t) FILTER (latest <= 5) AS tail_x, median(points) AS height FROM r GROUP BY seq, track),
 v AS (SELECT *, CASE WHEN last_t = tail_t THEN 0.0 ELSE (last_x - tail_x) / (last_t - tail_t) END AS velocity FROM e),
-p AS (SELECT a.seq, a.track, b.track AS follower, b.first_t - a.last_t AS gap, abs(a.last_x + a.velocity * (b.first_t - a.last_t) - b.first_x) AS residual
+p AS (SELECT a.seq, a.track, b.track AS follower, b.first_t - a.last_t AS gap, abs(a.last_x + a.velocity * greatest(b.first_t - a.last_t, 0) - b.first_x) AS residual
   FROM v a JOIN v b ON a.seq = b.seq AND a.track <> b.track AND b.first_t > a.first_t AND abs(a.height - b.height) <= 20)
 SELECT seq, track, follower, round(gap, 6) AS gap, round(residual, 6) AS residual FROM p WHERE gap >= -0.3 AND gap <= 2 AND residual <= 30 + 20 * greatest(gap, 0)""")
 def continuation_edges(spark, sf_dir):
@@ -544,7 +577,7 @@ _PIXELS = "900.0 * x / (abs(z) + 5) + 960.0 AS u, 910.0 * y / (abs(z) + 5) + 540
 
 
 @query(f"""WITH {POINTS_SQL}, p AS (SELECT label AS scan, vec_id, x, y, z, {_PIXELS} FROM points),
-b AS (SELECT scan, vec_id AS box, u - 250 AS x1, v - 250 AS y1, u + 250 AS x2, v + 250 AS y2 FROM p WHERE vec_id % 20 = 0),
+b AS (SELECT scan, vec_id AS box, u - 250 AS x1, v - 250 AS y1, u + 250 AS x2, v + 250 AS y2 FROM p),
 i AS (SELECT b.scan, b.box, p.x, p.y, p.z, sqrt(p.x * p.x + p.y * p.y) AS r FROM b JOIN p ON p.scan = b.scan
   AND p.u BETWEEN x1 + 0.2 * (x2 - x1) AND x2 - 0.2 * (x2 - x1) AND p.v BETWEEN y1 + 0.1 * (y2 - y1) AND y1 + 0.9 * (y2 - y1)),
 n AS (SELECT scan, box, quantile_cont(r, 0.15) AS near, count(*) AS n_all FROM i GROUP BY scan, box),
@@ -555,7 +588,7 @@ SELECT b.scan, b.box, round(CASE WHEN k >= 3 THEN sx ELSE ax END, 6) AS x, round
 def frustum_lift(spark, sf_dir):
     depth = F.abs("z") + 5
     p = points(spark, sf_dir).select(F.col("label").alias("scan"), "vec_id", "x", "y", "z", (900.0 * F.col("x") / depth + 960.0).alias("u"), (910.0 * F.col("y") / depth + 540.0).alias("v"))
-    b = p.where("vec_id % 20 = 0").select("scan", F.col("vec_id").alias("box"), *[(F.col(c) + d).alias(n) for n, c, d in (("x1", "u", -250), ("y1", "v", -250), ("x2", "u", 250), ("y2", "v", 250))])
+    b = p.select("scan", F.col("vec_id").alias("box"), *[(F.col(c) + d).alias(n) for n, c, d in (("x1", "u", -250), ("y1", "v", -250), ("x2", "u", 250), ("y2", "v", 250))])
     return rounded(lifting.lift(p, b))
 
 
@@ -632,5 +665,5 @@ def streaming_windowed_counts(spark, sf_dir):
 def streaming_births(spark, sf_dir):
     events = online.event_stream(spark, f"{sf_dir}/events.parquet")
     seen, day = F.col("event_type") != "error", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000.0)
-    stepped = events.select((F.col("user_id") % 30).alias("seq"), (F.floor(day * 4) / 4).alias("t"), F.when(seen, F.col("value")).alias("x"), F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"))
+    stepped = events.select(F.floor(F.col("user_id") / 50).alias("seq"), (F.floor(day * 4) / 4).alias("t"), F.when(seen, F.col("value")).alias("x"), F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"))
     return rounded(online.drained(online.born_stream(stepped, MOTION), "births"))

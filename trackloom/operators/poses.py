@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .temporal import neighbours
 
 
 def rotation_to_quaternion(m: np.ndarray) -> np.ndarray:
@@ -52,12 +53,10 @@ def poses_at(moments: DataFrame, poses: DataFrame) -> DataFrame:
 
     One merged timeline finds both neighbours; only the arc itself runs in numpy, on whole batches.
     """
-    a = moments.select("sequence_id", "t", F.lit(None).cast("struct<t:double,pose:array<double>>").alias("r"), F.lit(1).alias("side"))
-    b = poses.select("sequence_id", F.col("ts").alias("t"), F.struct(F.col("ts").alias("t"), F.col("pose")).alias("r"), F.lit(0).alias("side"))
-    line = Window.partitionBy("sequence_id").orderBy("t", "side")
-    both = a.unionByName(b).withColumns({"b": F.last("r", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "a": F.first("r", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))})
-    near = both.where("side = 1").select("sequence_id", "t", F.coalesce("b", "a").alias("lo"), F.coalesce("a", "b").alias("hi")).where("lo is not null")
-    flat = near.select("sequence_id", "t", F.col("lo.t").alias("t0"), F.col("hi.t").alias("t1"), F.col("lo.pose").alias("p0"), F.col("hi.pose").alias("p1"))
+    left = moments.select("sequence_id", "t").withColumn("frame", F.lit(0))
+    both = neighbours(left, poses.withColumn("t", F.col("ts")), F.col("pose"), "sequence_id")
+    near = both.select("sequence_id", "t", F.coalesce("b", "a").alias("lo"), F.coalesce("a", "b").alias("hi")).where("lo is not null")
+    flat = near.select("sequence_id", "t", F.col("lo.t").alias("t0"), F.col("hi.t").alias("t1"), F.col("lo.v").alias("p0"), F.col("hi.v").alias("p1"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -51,8 +51,9 @@ def continuation_edges(ends: DataFrame, gates: Gates = Gates()) -> DataFrame:
     a = ends.select("seq", *[F.col(c).alias(f"a_{c}") for c in ends.columns if c != "seq"]).withColumn("bucket", F.explode(F.sequence(bucket(F.col("a_last_t") - gates.overlap), bucket(F.col("a_last_t") + gates.gap))))
     b = ends.select("seq", *[F.col(c).alias(f"b_{c}") for c in ends.columns if c != "seq"]).withColumn("bucket", bucket(F.col("b_first_t")))
     gap = F.col("b_first_t") - F.col("a_last_t")
-    miss = F.abs(F.col("a_last_x") + F.col("a_velocity") * gap - F.col("b_first_x"))
-    allowed = gates.residual + gates.residual_per_second * F.greatest(gap, F.lit(0.0))
+    ahead = F.greatest(gap, F.lit(0.0))  # fragments that overlap are compared as they are, not led back in time
+    miss = F.abs(F.col("a_last_x") + F.col("a_velocity") * ahead - F.col("b_first_x"))
+    allowed = gates.residual + gates.residual_per_second * ahead
     pairs = a.join(b, ["seq", "bucket"]).where((F.col("a_track") != F.col("b_track")) & (F.col("b_first_t") > F.col("a_first_t")) & (gap >= -gates.overlap) & (gap <= gates.gap))
     return pairs.where((F.abs(F.col("a_height") - F.col("b_height")) <= gates.height) & (miss <= allowed)).select(
         "seq", F.col("a_track").alias("track"), F.col("b_track").alias("follower"), gap.alias("gap"), miss.alias("residual"), F.col("a_last_t").alias("ends"), F.col("b_first_t").alias("starts")

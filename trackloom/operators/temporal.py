@@ -1,7 +1,8 @@
 """Operators over frames in time order within a track.
 
-All take a frames DataFrame with the columns track and t (seconds) and use window functions, so a
-track is sorted and streamed, never gathered into one row. A track is bounded by its clip.
+All take a frames DataFrame with the columns track, frame and t (seconds) and use window functions, so a
+track is sorted and streamed, never gathered into one row; frames of equal time are ordered by `frame`.
+Windows look back only, over the order or its reverse, so their cost grows with the track's length.
 """
 
 from __future__ import annotations
@@ -13,7 +14,21 @@ from pyspark.sql.window import Window, WindowSpec
 
 
 def in_time() -> WindowSpec:
-    return Window.partitionBy("track").orderBy("t")
+    return Window.partitionBy("track").orderBy("t", "frame")
+
+
+def back_in_time() -> WindowSpec:
+    return Window.partitionBy("track").orderBy(F.desc("t"), F.desc("frame"))
+
+
+def axes(frames: DataFrame) -> list[str]:
+    """The coordinates that the frames have."""
+    return [c for c in ("x", "y", "z") if c in frames.columns]
+
+
+def step_length(names: list[str]) -> Column:
+    """Distance from the frame before."""
+    return F.sqrt(sum(((F.col(c) - F.lag(c).over(in_time())) ** 2 for c in names), F.lit(0.0)))
 
 
 def coast_runs(frames: DataFrame) -> DataFrame:
@@ -24,6 +39,7 @@ def coast_runs(frames: DataFrame) -> DataFrame:
     seen = F.col("observed").cast("int")
     marked = frames.select(
         "track",
+        "frame",
         "t",
         "observed",
         F.sum(seen).over(in_time()).alias("run"),
@@ -39,10 +55,16 @@ def longest_bridged(frames: DataFrame) -> DataFrame:
     return best.select("track", F.col("b.n_frames").alias("gap_frames"), (F.col("b.t_end") - F.col("b.t_start")).alias("gap_seconds"))
 
 
-def speeds(frames: DataFrame, value: str = "x") -> DataFrame:
-    """Absolute change by second from the frame before, where time moved on."""
-    dt, dx = F.col("t") - F.lag("t").over(in_time()), F.col(value) - F.lag(value).over(in_time())
-    return frames.withColumns({"dt": dt, "dx": dx}).where("dt > 0").select("track", "frame", "dt", (F.abs("dx") / F.col("dt")).alias("speed"))
+def speeds(frames: DataFrame) -> DataFrame:
+    """Length of the step from the frame before by second, over all coordinates, where time moved on."""
+    dt = F.col("t") - F.lag("t").over(in_time())
+    return frames.withColumns({"dt": dt, "step": step_length(axes(frames))}).where("dt > 0").select("track", "frame", "dt", (F.col("step") / F.col("dt")).alias("speed"))
+
+
+def paths(frames: DataFrame) -> DataFrame:
+    """Over the observed frames of each track: their number, the length of the path and its longest step."""
+    steps = frames.where("observed").withColumn("step", step_length(axes(frames)))
+    return steps.groupBy("track").agg(F.count("*").alias("n_observed"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"), F.coalesce(F.max("step"), F.lit(0.0)).alias("longest_step"))
 
 
 def gradient(frames: DataFrame, value: str = "x") -> DataFrame:
@@ -60,7 +82,7 @@ def nearest_fill(frames: DataFrame, value: Column, known: Column) -> DataFrame:
     place = F.row_number().over(in_time())
     rows = frames.withColumn("place", place).withColumn("own", F.when(known, F.struct(F.col("place"), value.alias("v"))))
     before = F.last("own", ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("own", ignorenulls=True).over(in_time().rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("own", ignorenulls=True).over(back_in_time().rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"b": before, "a": after})
     back, ahead = F.col("place") - F.col("b.place"), F.col("a.place") - F.col("place")
     chosen = F.when(F.col("a").isNull() | (back <= ahead), F.col("b")).otherwise(F.col("a"))
@@ -82,37 +104,39 @@ def first_true(frames: DataFrame, condition: Column, spans: bool = False) -> Dat
     return found.select("track", *onset, *(["t0", "t1"] if spans else []))
 
 
-def _timeline(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
-    """Both sides in one column of times; right rows carry their value, and stand before left rows of the same time."""
-    a = left.select("track", "t", F.col("frame"), F.lit(None).cast("struct<t:double,v:double>").alias("r"), F.lit(1).alias("side"))
-    b = right.select("track", "t", F.lit(None).cast("long").alias("frame"), F.struct(F.col("t"), value.cast("double").alias("v")).alias("r"), F.lit(0).alias("side"))
-    return a.unionByName(b)
-
-
-def _neighbours(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
-    """For each left frame the last right row at or before it (b) and the first after it (a)."""
-    line = _timeline(left, right, value)
-    line_order = Window.partitionBy("track").orderBy("t", "side")
+def neighbours(left: DataFrame, right: DataFrame, value: Column, key: str = "track") -> DataFrame:
+    """The left rows (key, t, frame) with the last right row at or before them (b) and the first after them (a), each
+    struct<t, v>. Both sides stand in one column of times, right rows before left ones of the same time."""
+    own = right.select(key, "t", *(["frame"] if "frame" in right.columns else []), F.struct(F.col("t").alias("t"), value.alias("v")).alias("r"), F.lit(0).alias("side"))
+    line = left.select(key, "t", "frame", F.lit(1).alias("side")).unionByName(own, allowMissingColumns=True)
+    order = ["t", "side", "frame"]
+    ahead, back = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     both = line.withColumns(
         {
-            "b": F.last("r", ignorenulls=True).over(line_order.rowsBetween(Window.unboundedPreceding, 0)),
-            "a": F.first("r", ignorenulls=True).over(line_order.rowsBetween(1, Window.unboundedFollowing)),
+            "b": F.last("r", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)),
+            "a": F.last("r", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
-    return both.where("side = 1")
+    return both.where("side = 1").drop("r", "side")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
     """For each left frame the value of the last right row at or before it (null without one)."""
-    return _neighbours(left, right, value).select("track", "frame", F.col("b.t").alias("match_t"), F.col("b.v").alias("match_value"))
+    return neighbours(left, right, value).select("track", "frame", F.col("b.t").alias("match_t"), F.col("b.v").alias("match_value"))
+
 
+def asof_nearest(left: DataFrame, right: DataFrame, value: Column, tolerance: float | None = None) -> DataFrame:
+    """The nearest right row, the earlier of equals, with its value (of any type) and the gap in time.
 
-def asof_nearest(left: DataFrame, right: DataFrame, value: Column, tolerance: float) -> DataFrame:
-    """The nearest right row within the tolerance, the earlier of equals; left frames without one are dropped."""
+    With a tolerance, left frames without a right row so near are dropped; without one all stay, with nulls
+    where there is no right row at all.
+    """
     back, ahead = F.col("t") - F.col("b.t"), F.col("a.t") - F.col("t")
     chosen = F.when(F.col("a").isNull() | (back <= ahead), F.col("b")).otherwise(F.col("a"))
-    found = _neighbours(left, right, value).withColumn("m", chosen)
-    return found.where(F.abs(F.col("t") - F.col("m.t")) <= tolerance).select("track", "frame", F.col("m.t").alias("match_t"), F.col("m.v").alias("match_value"))
+    found = neighbours(left, right, value).withColumn("m", chosen).withColumn("gap", F.abs(F.col("t") - F.col("m.t")))
+    if tolerance is not None:
+        found = found.where(F.col("gap") <= tolerance)
+    return found.select("track", "frame", F.col("m.t").alias("match_t"), F.col("m.v").alias("match_value"), "gap")
 
 
 def interpolate(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
@@ -120,7 +144,7 @@ def interpolate(left: DataFrame, right: DataFrame, value: Column) -> DataFrame:
     share = (F.col("t") - F.col("b.t")) / (F.col("a.t") - F.col("b.t"))
     between = F.col("b.v") + share * (F.col("a.v") - F.col("b.v"))
     at = F.when(F.col("b").isNull(), F.col("a.v")).when(F.col("a").isNull() | (F.col("b.t") == F.col("t")), F.col("b.v")).otherwise(between)
-    return _neighbours(left, right, value).select("track", "frame", at.alias("value"))
+    return neighbours(left, right, value).select("track", "frame", at.alias("value"))
 
 
 def _bucketed(windows: DataFrame, frames: DataFrame, slack: float, width: float, how: str) -> DataFrame:

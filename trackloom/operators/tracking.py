@@ -30,7 +30,8 @@ class Motion:
 
 
 def _step(dt: float, m: Motion) -> tuple[np.ndarray, np.ndarray]:
-    """Transition and process noise for one axis."""
+    """Transition and process noise for one axis; where time does not move on, the nominal step is taken."""
+    dt = dt if dt > 0 else m.nominal_dt
     push = np.array([dt * dt / 2, dt])
     noise = m.noise_velocity**2 * np.outer(push, push)
     noise[0, 0] += m.noise_position**2

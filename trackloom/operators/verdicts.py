@@ -28,50 +28,71 @@ def offset(text: Column) -> Column:
     return F.struct(seconds.alias("seconds"), (F.lower(said) == SENTINEL).alias("before"))
 
 
+def needs_time(crosses: Column, seconds: Column, before: Column) -> Column:
+    """A reviewed crossing that no window can be anchored to until someone adds its time."""
+    return F.coalesce(crosses & seconds.isNull() & ~F.coalesce(before, F.lit(False)), F.lit(False))
+
+
 def merge(tracks: DataFrame, reviews: DataFrame) -> DataFrame:
     """Automatic verdicts overridden by reviews (key; answered, crosses, seconds, before).
 
-    A reviewed crossing without a time is undetermined; everything the review replaced is kept in
-    `overrode`; tracks without a review are unchanged.
+    A review that cannot tell makes the track undetermined, with no verdict. A reviewed crossing without a time is
+    undetermined too, but stays a crossing; the reason says which. A time outside the tracked span
+    (first_t .. last_t, where the tracks have them) is flagged and not moved. What the review replaced is kept in `overrode`; tracks
+    without a review are unchanged, and `disputed` ones (where the tracks tell) stay marked.
     """
+    has = lambda name, kind: F.col(name) if name in tracks.columns else F.lit(None).cast(kind)
     joined = tracks.join(reviews, "key", "left")
     reviewed = F.coalesce("answered", F.lit(False))
-    timed = F.col("crosses") & F.col("seconds").isNotNull() & ~F.coalesce("before", F.lit(False))
-    status = (
-        F.when(~reviewed, F.col("status"))
-        .when(F.col("crosses").isNull(), "undetermined")
-        .when(~F.col("crosses") | timed, "determined")
-        .otherwise("undetermined")
-    )
-    verdict = F.when(~reviewed, F.col("auto_crosses")).when(status == "determined", F.col("crosses"))
+    said, before = F.when(reviewed, F.col("crosses")), F.coalesce("before", F.lit(False))
+    timed = said & F.col("seconds").isNotNull()
+    status = F.when(~reviewed, F.col("status")).when(F.coalesce(~said | timed, F.lit(False)), "determined").otherwise("undetermined")
+    verdict = F.when(~reviewed, F.col("auto_crosses")).otherwise(said)
     moment = F.when(~reviewed, F.col("auto_time")).when(timed, F.col("keyframe") + F.col("seconds"))
-    changed = reviewed & ~F.col("auto_crosses").eqNullSafe(verdict)
-    return joined.select(
+    reason = F.when(reviewed & said.isNull(), "human_uncertain").when(said & ~timed, F.when(before, "crossing_started_before_observation").otherwise("human_gave_no_crossing_time"))
+    outside = timed & ~F.col("crossing_time").between(has("first_t", "double"), has("last_t", "double"))
+    changed = F.struct(F.col("auto_crosses").alias("crosses"), F.col("auto_time").alias("time"), F.col("auto_status").alias("status"))
+    own = joined.withColumns({"said": said, "new_status": status, "verdict": verdict, "crossing_time": moment, "reason": reason, "reviewed": reviewed})
+    return own.withColumn("auto_status", F.col("status")).select(
         "key",
-        status.alias("status"),
-        verdict.alias("crosses"),
-        moment.alias("crossing_time"),
-        reviewed.alias("reviewed"),
-        F.when(changed, F.struct(F.col("auto_crosses").alias("crosses"), F.col("auto_time").alias("time"), F.col("status").alias("status"))).alias("overrode"),
+        F.col("new_status").alias("status"),
+        F.col("verdict").alias("crosses"),
+        "crossing_time",
+        "reviewed",
+        "reason",
+        F.coalesce(outside, F.lit(False)).alias("outside_span"),
+        F.coalesce(has("disputed", "boolean") & ~F.col("reviewed"), F.lit(False)).alias("disputed"),
+        F.coalesce("auto_crosses", F.lit(False)).alias("auto_crosses"),
+        F.when(F.col("reviewed"), changed).alias("overrode"),
     )
 
 
-def counters(merged: DataFrame) -> DataFrame:
-    """One row of counts over merged verdicts."""
-    return merged.agg(
-        F.count("*").alias("n_tracks"),
-        F.count_if("reviewed").alias("n_reviewed"),
-        F.count_if(F.col("overrode").isNotNull()).alias("n_overrode"),
-        F.count_if(F.col("status") == "determined").alias("n_determined"),
-        F.count_if(F.col("status") == "undetermined").alias("n_undetermined"),
-        F.count_if(F.coalesce("crosses", F.lit(False))).alias("n_crossing"),
-        F.count_if(F.col("crossing_time").isNotNull()).alias("n_timed"),
+def counters(merged: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
+    """One row of counts over merged verdicts; `no_action_record` counts tracks that have none (`tracks` with has_action)."""
+    seen = F.col("reviewed")
+    yes, no = seen & F.coalesce("crosses", F.lit(False)), seen & ~F.coalesce("crosses", F.lit(True))
+    out = merged.agg(
+        F.count_if(seen).alias("human_verified"),
+        F.count_if(F.col("reason") == "human_uncertain").alias("human_uncertain"),
+        F.count_if(yes).alias("human_cross"),
+        F.count_if(yes & ~F.col("auto_crosses")).alias("flipped_no_to_cross"),
+        F.count_if(yes & (F.col("status") == "undetermined")).alias("cross_without_anchorable_t_c"),
+        F.count_if(no).alias("human_no_cross"),
+        F.count_if(no & F.col("auto_crosses")).alias("flipped_cross_to_no"),
+        F.count_if("disputed").alias("pv_disputed_unreviewed"),
+        F.count_if(~seen).alias("geometry_kept"),
+        F.count("*").alias("written"),
+        F.count_if("outside_span").alias("outside_span"),
     )
+    if tracks is None:
+        return out
+    missing = tracks.agg(F.count_if(~F.col("has_action")).alias("no_action_record"))
+    return out.withColumn("one", F.lit(1)).join(missing.withColumn("one", F.lit(1)), "one").drop("one")  # two single rows
 
 
 def unmatched(reviews: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Keys of reviews without a track."""
-    return reviews.select("key").join(tracks.select("key"), "key", "left_anti")
+    """Keys of reviews without a track, each once."""
+    return reviews.select("key").join(tracks.select("key"), "key", "left_anti").distinct()
 
 
 def overlap(first: DataFrame, second: DataFrame) -> DataFrame:

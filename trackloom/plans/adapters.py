@@ -1,7 +1,8 @@
 """The driver's tables in the shapes that the operators take.
 
-frames     one row for each frame of a track, from `events`: a user is a track, thirty sequences, a day
-           stands for a second, an error is a frame without observation
+frames     one row for each frame of a track, from `events`: a user is a track, fifty users in a row are a
+           sequence (so a sequence stays as large as it is while tables grow), a day stands for a second, an
+           error is a frame without observation, a signup an anchor (observed, but no measurement)
 samples    one row for each sample of an index, from `lineitem`
 verdicts   answers of reviewers, from `documents` and `labels`
 points     coordinates, from `embeddings`
@@ -22,26 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = F.col("event_type") != "error"
+    seen, k = F.col("event_type") != "error", F.get_json_object("props", "$.k")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 30).alias("seq"),
+        F.floor(F.col("user_id") / 50).alias("seq"),
         F.col("user_id").alias("track"),
         F.col("event_id").alias("frame"),
         micros(F.col("ts")).alias("t_us"),
         (micros(F.col("ts")) / F.lit(float(DAY_US))).alias("t"),
         seen.alias("observed"),
-        F.when(seen, F.get_json_object("props", "$.k").cast("int")).otherwise(-1).alias("points"),
+        F.when(seen & (F.col("event_type") != "signup"), k.cast("int")).otherwise(-1).alias("points"),
         F.col("value").alias("x"),
+        k.cast("double").alias("y"),
+        (F.col("value") / 8).alias("z"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"),
         F.col("event_type").alias("kind"),
     )
 
 
 FRAMES_SQL = """frames AS (
-  SELECT user_id % 30 AS seq, user_id AS track, event_id AS frame, epoch_us(ts) AS t_us, epoch_us(ts) / 86400000000.0::DOUBLE AS t,
+  SELECT user_id // 50 AS seq, user_id AS track, event_id AS frame, epoch_us(ts) AS t_us, epoch_us(ts) / 86400000000.0::DOUBLE AS t,
     event_type <> 'error' AS observed,
-    CASE WHEN event_type <> 'error' THEN CAST(props->>'k' AS INT) ELSE -1 END AS points,
-    value AS x, least(value / 100, 1.0) AS confidence, event_type AS kind
+    CASE WHEN event_type NOT IN ('error', 'signup') THEN CAST(props->>'k' AS INT) ELSE -1 END AS points,
+    value AS x, CAST(props->>'k' AS DOUBLE) AS y, value / 8 AS z, least(value / 100, 1.0) AS confidence, event_type AS kind
   FROM events)"""
 
 

@@ -36,8 +36,8 @@ def working_set(spark: SparkSession, path: str, most: int | None = None) -> Data
 
 def key_of_file(name: Column) -> tuple[Column, Column]:
     """sequence and pedestrian of `{sequence}_{pedestrian}.json`."""
-    stem = F.regexp_replace(name, r"\.json$", "")
-    return F.substring_index(stem, "_", 1), F.expr("substring(regexp_replace(file_name, '\\\\.json$', ''), instr(file_name, '_') + 1)")
+    pattern = r"^([^_]*)_(.*?)(\.json)?$"
+    return F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
 
 
 def boxes_3d(objects: DataFrame, kind: str = "Pedestrian") -> DataFrame:
