@@ -667,3 +667,6 @@ def streaming_births(spark, sf_dir):
     seen, day = F.col("event_type") != "error", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000.0)
     stepped = events.select(F.floor(F.col("user_id") / 50).alias("seq"), (F.floor(day * 4) / 4).alias("t"), F.when(seen, F.col("value")).alias("x"), F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"))
     return rounded(online.drained(online.born_stream(stepped, MOTION), "births"))
+
+
+from . import assembled  # noqa: E402,F401  the other registered queries

@@ -48,6 +48,15 @@ FRAMES_SQL = """frames AS (
   FROM events)"""
 
 
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a sequence's sensors: views are scans, clicks and purchases images."""
+    own = frames(spark, sf_dir).where("kind in ('view', 'click', 'purchase')")
+    return own.select("seq", "t", F.when(F.col("kind") == "view", "lidar").otherwise("camera").alias("sensor"))
+
+
+SENSORS_SQL = "sensors AS (SELECT seq, t, CASE WHEN kind = 'view' THEN 'lidar' ELSE 'camera' END AS sensor FROM frames WHERE kind IN ('view', 'click', 'purchase'))"
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tier gold unless the return flag is N, crossing by quantity, splits 7/1/2 by sequence; sequences ending in 9 of 100 have none."""
     seq = F.col("l_suppkey")
