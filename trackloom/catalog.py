@@ -669,4 +669,4 @@ def streaming_births(spark, sf_dir):
     return rounded(online.drained(online.born_stream(stepped, MOTION), "births"))
 
 
-from . import assembled  # noqa: E402,F401  the other registered queries
+from . import assembled, spaces  # noqa: E402,F401  the other registered queries

@@ -40,8 +40,7 @@ def fisheye(x: Column, y: Column, z: Column, k: Sequence[float], fx: float, fy:
     """Pixel of a camera-frame point: an odd polynomial of the angle from the axis."""
     r = F.sqrt(x * x + y * y)
     theta = F.atan2(r, z)
-    t2 = theta * theta
-    bent = theta * (F.lit(1.0) + t2 * (F.lit(k[0]) + t2 * (F.lit(k[1]) + t2 * (F.lit(k[2]) + t2 * F.lit(k[3])))))
+    bent = sum((F.lit(c) * F.pow(theta, F.lit(3.0 + 2 * i)) for i, c in enumerate(k)), theta)
     scale = F.when(r < 1e-9, F.lit(0.0)).otherwise(bent / F.greatest(r, F.lit(1e-9)))
     return F.lit(fx) * x * scale + F.lit(cx), F.lit(fy) * y * scale + F.lit(cy)
 
@@ -84,3 +83,75 @@ def bounding_box(points: Column, width: int, height: int) -> Column:
 
 def range_xy(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
+
+
+def rigid(yaw: Column, x: Column, y: Column, z: Column) -> Column:
+    """A row-major 4x4 array: a turn about the vertical axis, then a shift."""
+    zero, one, c, s = F.lit(0.0), F.lit(1.0), F.cos(yaw), F.sin(yaw)
+    return F.array(c, -s, zero, x, s, c, zero, y, zero, zero, one, z, zero, zero, zero, one)
+
+
+def compose(a: Column, b: Column) -> Column:
+    """The 4x4 product: first b, then a. So world <- sensor is compose(world <- vehicle, vehicle <- sensor).
+    Matrices should be columns of the rows, not expressions, which would be written out many times."""
+    at = lambda m, i, j: F.element_at(m, 4 * i + j + 1)
+    return F.array(*[sum((at(a, i, k) * at(b, k, j) for k in range(1, 4)), at(a, i, 0) * at(b, 0, j)) for i in range(4) for j in range(4)])
+
+
+def inverse(pose: Column) -> Column:
+    """The inverse of a rigid 4x4: the turn transposed, the shift turned back. So camera <- lidar is compose(inverse(camera), lidar)."""
+    m = lambda i, j: F.element_at(pose, 4 * i + j + 1)
+    rows = [[m(0, i), m(1, i), m(2, i), -(m(0, i) * m(0, 3) + m(1, i) * m(1, 3) + m(2, i) * m(2, 3))] for i in range(3)]
+    return F.array(*[c for row in rows for c in row], F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+
+
+def to_pixel(camera: Column, x: Column, y: Column, z: Column, lens: dict, width: int, height: int) -> Column:
+    """struct<u, v, depth> of a point through a camera <- point transform (a column); null where the image does not show it."""
+    px, py, pz = transform(camera, x, y, z)
+    u, v = fisheye(px, py, pz, **lens)
+    return F.when(visible(u, v, pz, width, height), F.struct(u.alias("u"), v.alias("v"), pz.alias("depth")))
+
+
+def box_in_image(box: Column, camera: Column, lens: dict, width: int, height: int) -> Column:
+    """struct<box struct<x1, y1, x2, y2> in tenths of pixels, n_visible> of the corners (`corners`) of a box: the range of those that the
+    image shows, clipped to it; a null box where it shows none."""
+    shown = F.filter(F.transform(box, lambda p: to_pixel(camera, p["x"], p["y"], p["z"], lens, width, height)), lambda p: p.isNotNull())
+    own = bounding_box(shown, width, height)
+    tenths = F.when(own.isNotNull(), F.struct(*[F.round(own[c], 1).alias(c) for c in ("x1", "y1", "x2", "y2")]))
+    return F.struct(tenths.alias("box"), F.size(shown).alias("n_visible"))
+
+
+def heading_corners(cx: Column, cy: Column, cz: Column, length: Column, width: Column, height: Column, hx: Column, hy: Column) -> Column:
+    """The eight corners of a box along a heading vector (along +x where it stands still): the ground ring, then the top one."""
+    size = F.sqrt(hx * hx + hy * hy)
+    c, s = F.when(size > 1e-9, hx / size).otherwise(1.0), F.when(size > 1e-9, hy / size).otherwise(0.0)
+
+    def corner(a: float, b: float, h: float) -> Column:
+        dx, dy = length * (a / 2), width * (b / 2)
+        return F.struct((cx + dx * c - dy * s).alias("x"), (cy + dx * s + dy * c).alias("y"), (cz + height * (h / 2)).alias("z"))
+
+    return F.array(*[corner(a, b, h) for h in (-1.0, 1.0) for a, b in ((1.0, 1.0), (1.0, -1.0), (-1.0, -1.0), (-1.0, 1.0))])
+
+
+def in_turned_box(x: Column, y: Column, z: Column, centre: tuple[Column, Column, Column], sizes: tuple[Column, Column, Column], q: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether a point is in a box with the turn of a unit quaternion (scalar first), borders included."""
+    w, i, j, k = q
+    d = [p - c for p, c in zip((x, y, z), centre, strict=True)]
+    columns = [  # the box's axes in space
+        (1 - 2 * (j * j + k * k), 2 * (i * j + k * w), 2 * (i * k - j * w)),
+        (2 * (i * j - k * w), 1 - 2 * (i * i + k * k), 2 * (j * k + i * w)),
+        (2 * (i * k + j * w), 2 * (j * k - i * w), 1 - 2 * (i * i + j * j)),
+    ]
+    inside = [F.abs(a[0] * d[0] + a[1] * d[1] + a[2] * d[2]) <= size / 2 for a, size in zip(columns, sizes, strict=True)]
+    return inside[0] & inside[1] & inside[2]
+
+
+def polygon_space(low_x: Column, low_y: Column, high_x: Column, high_y: Column, width: int, height: int, metres: float = 200.0) -> Column:
+    """Whether coordinates of such a range are pixels of an image or metres around a vehicle; null where they can be neither."""
+    pixels = (low_x >= 0) & (low_y >= 0) & (high_x <= width) & (high_y <= height) & ((high_x > metres) | (high_y > metres))
+    near = (F.greatest(F.abs(low_x), F.abs(high_x)) <= metres) & (F.greatest(F.abs(low_y), F.abs(high_y)) <= metres)
+    return F.when(pixels, "pixel").when(near, "metric")
+
+
+def box_area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.greatest(x2 - x1, F.lit(0.0)) * F.greatest(y2 - y1, F.lit(0.0))
