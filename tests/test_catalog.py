@@ -16,6 +16,11 @@ def test_query_without_sql_gives_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
+def test_births_as_a_stream_are_those_of_the_batch(spark, sf):
+    rows = [sorted(tuple(r) for r in catalog.QUERIES[n](spark, sf).select("seq", "track", "t", "observed").collect()) for n in ("birth_tracks", "streaming_births")]
+    assert rows[0] == rows[1]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())

@@ -115,17 +115,37 @@ def test_consumer_side(spark):
     assert samples.select(index.sample_id(F.lit("7"), F.lit("p"), F.lit(1_500_600))).first()[0] == "7_p_1501"
 
 
+def born_inputs(spark, folder, parts):
+    """Candidates with the moment that closes their step (a ninth of a second), one file a part, read one file a micro-batch."""
+    for i, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, "seq long, t double, x double, y double")
+        df.withColumn("closes", F.timestamp_micros(((F.col("t") + 1 / 9) * 1e6).cast("long") + F.lit(1_700_000_000_000_000))).coalesce(1).write.parquet(f"{folder}/{i:03d}")
+    return spark.readStream.schema("seq long, t double, x double, y double, closes timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
 def test_stream_births_equal_batch(spark, tmp_path):
-    """Tracks that retire inside the stream are those of one pass over the frames."""
-    from trackloom.operators.tracking import Births, Motion
+    """Whatever the files: steps cut across many of them, and files out of time order within the delay; tracks that are still
+    active at the end come out as well."""
+    import random
+
+    from trackloom.operators.tracking import born_tracks
+    from trackloom.streaming import online
+
+    rows = [(1, i / 9, 0.0, 0.0) for i in range(12)] + [(1, i / 9, 40.0 + i / 50, 0.0) for i in range(20)] + [(1, 12 / 9 + i / 9, None, None) for i in range(8)] + [(2, i / 9, 5.0, 5.0) for i in range(12)]
+    want = sorted(tuple(r)[:4] for r in born_tracks(spark.createDataFrame(rows, "seq long, t double, x double, y double")).select("seq", "track", "t", "observed").collect())
+    assert len({r[:2] for r in want}) == 3
+    rng = random.Random(2)
+    ordered = sorted(rows, key=lambda r: r[1])
+    mixed = rng.sample(rows, len(rows))
+    for name, parts, delay in (("one", [rows], "1 second"), ("ordered", [ordered[k : k + 7] for k in range(0, len(rows), 7)], "0 seconds"), ("mixed", [mixed[k : k + 9] for k in range(0, len(rows), 9)], "10 seconds")):
+        got = online.all_born(born_inputs(spark, tmp_path / name, parts), delay=delay)
+        assert sorted(tuple(r)[:4] for r in got.select("seq", "track", "t", "observed").collect()) == want, name
+
+
+def test_stream_births_retire_while_the_stream_runs(spark, tmp_path):
     from trackloom.streaming import online
 
-    rows = [(1, i / 9, 0.0, 0.0) for i in range(12)] + [(1, 12 / 9 + i / 9, None, None) for i in range(8)] + [(2, i / 9, 5.0, 5.0) for i in range(12)]
-    for part, keep in enumerate((lambda r: r[1] < 1, lambda r: r[1] >= 1)):
-        spark.createDataFrame([r for r in rows if keep(r)], "seq long, t double, x double, y double").coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
-    stream = spark.readStream.schema("seq long, t double, x double, y double").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in/*"))
-    got = online.drained(online.born_stream(stream), "test-births")
-    births, want = Births(Motion()), []
-    for t in sorted({r[1] for r in rows if r[0] == 1}):
-        want += births.frame(t, np.array([r[2:] for r in rows if r[0] == 1 and r[1] == t and r[2] is not None]).reshape(-1, 2))
-    assert got.count() == sum(len(x.trimmed()) for x in want) == 12
+    rows = [(1, i / 9, 0.0, 0.0) for i in range(12)] + [(1, 12 / 9 + i / 9, None, None) for i in range(8)]
+    stream = born_inputs(spark, tmp_path / "in", [rows[:12], rows[12:], [(1, 99.0, None, None)], [(1, 99.5, None, None)]])
+    got = online.drained(online.born_stream(stream.withWatermark("closes", "0 seconds")), "test-births")
+    assert got.count() == 12

@@ -499,7 +499,7 @@ def kalman_rts_tracks(spark, sf_dir):
 def birth_tracks(spark, sf_dir):
     """Candidates of one sequence share a time step of a quarter day."""
     rows = frames(spark, sf_dir)
-    stepped = rows.select("seq", (F.floor(F.col("t") * 4) / 4).alias("t"), F.when(F.col("observed"), F.col("x")).alias("x"), F.when(F.col("observed"), F.col("points").cast("double")).alias("y"))
+    stepped = rows.select("seq", (F.floor(F.col("t") * 4) / 4).alias("t"), F.when(F.col("observed"), F.col("x")).alias("x"), F.when(F.col("observed"), F.col("y")).alias("y"))
     return rounded(tracking.born_tracks(stepped, MOTION))
 
 
@@ -663,10 +663,13 @@ def streaming_windowed_counts(spark, sf_dir):
 
 @query()
 def streaming_births(spark, sf_dir):
+    """A step is a quarter day; files of the table may be in any order within its month."""
     events = online.event_stream(spark, f"{sf_dir}/events.parquet")
     seen, day = F.col("event_type") != "error", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000.0)
-    stepped = events.select(F.floor(F.col("user_id") / 50).alias("seq"), (F.floor(day * 4) / 4).alias("t"), F.when(seen, F.col("value")).alias("x"), F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"))
-    return rounded(online.drained(online.born_stream(stepped, MOTION), "births"))
+    step = F.floor(day * 4) / 4
+    closes = F.timestamp_micros(((step + 0.25) * F.lit(86_400_000_000.0)).cast("long")).alias("closes")
+    stepped = events.select(F.floor(F.col("user_id") / 50).alias("seq"), step.alias("t"), closes, F.when(seen, F.col("value")).alias("x"), F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"))
+    return rounded(online.all_born(stepped, MOTION, "40 days"))
 
 
 from . import assembled, spaces  # noqa: E402,F401  the other registered queries

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,34 +31,77 @@ def windowed_counts(events: DataFrame, length: str, delay: str, by: str = "event
     return own.select(F.unix_micros("window.start").alias("start_us"), by, "n", "total")
 
 
+def _taken(births: Births, steps: dict, ready: list[float]) -> list:
+    """Takes complete steps in time order; the tracks that retire."""
+    out = []
+    for t in ready:
+        rows = np.array(sorted(p for p in steps.pop(t)[1] if p is not None), dtype=float).reshape(-1, 2)
+        out += births.frame(t, rows)
+    return out
+
+
+def _rows(seq: int, first: int, tracks: list) -> list[tuple]:
+    return [(seq, first + k, float(a), bool(b), float(p[0]), float(p[1])) for k, track in enumerate(tracks) for a, b, p in track.trimmed()]
+
+
 def born_stream(candidates: DataFrame, motion: Motion = Motion()) -> DataFrame:
-    """Tracks as they retire, unsmoothed, from a stream of candidates (seq, t, x, y).
+    """Tracks as they retire, unsmoothed, from a stream of candidates (seq, t, closes, x, y) with a watermark on `closes`.
 
-    State is the active tracks of a sequence. Frames of a micro-batch are taken in time order; frames
-    that are not after the last one taken are late and dropped.
+    `closes` is the moment when the step t of its candidates is complete. Candidates are held until the watermark
+    has passed it, so neither the files' order nor where micro-batches cut a step matters; a step that was
+    taken is closed, and candidates that come for it after all are counted as late. State is the active tracks and held steps of a sequence.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        births, last, emitted = pickle.loads(state.get[0]) if state.exists else (Births(motion), float("-inf"), 0)
-        rows = []
-        for t, frame in pd.concat(list(frames)).sort_values("t").groupby("t"):
-            if t <= last:
-                continue
-            last = float(t)
-            for track in births.frame(last, frame.dropna(subset=["x"]).sort_values(["x", "y"])[["x", "y"]].to_numpy()):
-                rows += [(int(key[0]), emitted, float(a), bool(b), float(p[0]), float(p[1])) for a, b, p in track.trimmed()]
-                emitted += 1
-        state.update((pickle.dumps((births, last, emitted)),))
-        yield pd.DataFrame(rows, columns=["seq", "track", "t", "observed", "x", "y"])
-
-    return candidates.groupBy("seq").applyInPandasWithState(run, BORN, "held binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, name: str) -> DataFrame:
+        births, steps, last, emitted, late = pickle.loads(state.get[0]) if state.exists else (Births(motion), {}, float("-inf"), 0, 0)
+        if not state.hasTimedOut:
+            for rows in frames:
+                for t, closes, x, y in zip(rows["t"], rows["closes"], rows["x"], rows["y"], strict=True):
+                    if t <= last:
+                        late += 1
+                    else:
+                        steps.setdefault(float(t), (closes.timestamp() * 1000, []))[1].append(None if pd.isna(x) else (x, y))
+        mark = state.getCurrentWatermarkMs()
+        ready = sorted(t for t, (closes, _) in steps.items() if closes <= mark)
+        done = _taken(births, steps, ready)
+        last = ready[-1] if ready else last
+        state.update((pickle.dumps((births, steps, last, emitted + len(done), late)),))
+        if steps:
+            state.setTimeoutTimestamp(int(max(mark + 1, min(closes for closes, _ in steps.values()))))
+        yield pd.DataFrame(_rows(int(key[0]), emitted, done), columns=["seq", "track", "t", "observed", "x", "y"])
+
+    return candidates.groupBy("seq").applyInPandasWithState(run, BORN, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def finished(spark: SparkSession, state: str) -> DataFrame:
+    """What a stream of births still holds when its input has ended: the held steps are taken, then the tracks that are active and
+    confirmed come out. The state is read by Spark's own reader of checkpoints."""
+    held = spark.read.format("statestore").load(state).select(F.col("key.seq").alias("seq"), F.col("value.groupState.held").alias("held"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for seq, data in zip(rows["seq"], rows["held"], strict=True):
+                births, steps, _, emitted, _ = pickle.loads(data)
+                out += _rows(int(seq), emitted, [*_taken(births, steps, sorted(steps)), *births.rest()])
+            yield pd.DataFrame(out, columns=["seq", "track", "t", "observed", "x", "y"])
+
+    return held.mapInPandas(run, BORN)
+
+
+def all_born(candidates: DataFrame, motion: Motion = Motion(), delay: str = "1 day") -> DataFrame:
+    """All tracks of a stream that ends with what is there now: those that retired while it ran, and those that were left."""
+    spark = candidates.sparkSession
+    state = scratch(spark, "births-state")
+    retired = drained(born_stream(candidates.withWatermark("closes", delay), motion), "births", state)
+    return retired.unionByName(finished(spark, state))
+
+
+def drained(stream: DataFrame, name: str, state: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now, and returns what it wrote to the shared folder."""
     spark = stream.sparkSession
     out = scratch(spark, name)
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state or scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()
