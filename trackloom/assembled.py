@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import METRICS_SQL, _quality, query, rounded
-from .operators import actions, assembly, quality, temporal
-from .plans.adapters import FRAMES_SQL, SENSORS_SQL, frames, sensors
+from .functions.time import sequence_key
+from .operators import actions, assembly, quality, splits, stitching, temporal
+from .plans.adapters import FRAMES_SQL, SENSORS_SQL, frames, sensors, table
+from .sources import documents
 
 # ---- actions and samples ------------------------------------------------------------------------
 
@@ -132,3 +134,68 @@ SELECT occlusion, count(*) AS n_tracks, round(avg(coverage), 6) AS coverage FROM
 def coverage_by_occlusion(spark, sf_dir):
     kinds = frames(spark, sf_dir).groupBy("track").agg(F.min_by("kind", F.struct("t", "frame")).alias("occlusion"))
     return rounded(quality.mean_coverage(_quality(spark, sf_dir).join(kinds, "track"), "occlusion"))
+
+
+# ---- keys, roles, splits, schedules -------------------------------------------------------------
+
+
+@query("SELECT doc_id, lpad(CAST(doc_id AS VARCHAR), 6, '0') AS sequence, coalesce(lang, '') || '_' || coalesce(source, '') AS pedestrian FROM documents")
+def file_keys(spark, sf_dir):
+    """Names of track documents taken apart: the sequence up to the first underscore, the pedestrian after it."""
+    name = F.concat(sequence_key(F.col("doc_id").cast("string")), F.lit("_"), F.coalesce("lang", F.lit("")), F.lit("_"), F.coalesce("source", F.lit("")), F.lit(".json"))
+    sequence, pedestrian = documents.key_of_file(name)
+    return table(spark, sf_dir, "documents").select("doc_id", sequence.alias("sequence"), pedestrian.alias("pedestrian"))
+
+
+@query("""WITH tracks AS (SELECT doc_id AS key, n_chars % 3 = 0 AS gold, doc_id // 4 AS chain, doc_id % 4 = 0 AS main FROM documents WHERE n_chars % 19 <> 0),
+mains AS (SELECT chain, key AS into_key, gold AS main_gold FROM tracks WHERE main)
+SELECT key, gold, CASE WHEN main OR gold OR into_key IS NULL THEN 'keep' WHEN main_gold THEN 'drop' ELSE 'fold' END AS fate, CASE WHEN NOT main AND NOT gold AND NOT main_gold THEN into_key END AS "into" FROM tracks LEFT JOIN mains USING (chain)""")
+def resolved_tracks(spark, sf_dir):
+    """Tracks after the cut (every nineteenth length), with what becomes of them in groups of four ids."""
+    n, key = F.col("n_chars"), F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    cut = docs.where(n % 19 == 0).select(key.alias("key"))
+    tracks = docs.select(key.alias("key"), (n % 3 == 0).alias("gold")).join(cut, "key", "left_anti")
+    members = docs.select(F.floor(key / 4).alias("chain"), key.alias("key"), (key % 4 == 0).alias("primary"))
+    return stitching.resolve(tracks, members)
+
+
+@query("""WITH known AS (SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 10 < 7 THEN 'train' WHEN s_suppkey % 10 = 7 THEN 'val' ELSE 'test' END AS split FROM supplier WHERE s_suppkey % 3 <> 1),
+wanted AS (SELECT s_suppkey AS seq FROM supplier UNION SELECT l_suppkey + 5 FROM lineitem)
+SELECT seq, split, split IS NULL AS fresh FROM wanted LEFT JOIN known USING (seq)""")
+def inherited_splits(spark, sf_dir):
+    """Sequences of the working set and of the samples with the split that is frozen for them; fresh ones have none yet."""
+    own = F.col("s_suppkey")
+    suppliers = table(spark, sf_dir, "supplier")
+    known = suppliers.where(own % 3 != 1).select(own.alias("seq"), F.when(own % 10 < 7, "train").when(own % 10 == 7, "val").otherwise("test").alias("split"))
+    wanted = splits.working_set(suppliers.select(own.alias("seq")), table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") + 5).alias("seq")))
+    return splits.inherit(wanted, known)
+
+
+@query(f"""WITH {FRAMES_SQL}, l AS (SELECT * FROM frames WHERE kind = 'purchase'), r AS (SELECT * FROM frames WHERE kind <> 'purchase'),
+b AS (SELECT l.track, l.frame, l.t, r.t AS bt, r.kind AS bv FROM l ASOF LEFT JOIN r ON l.track = r.track AND l.t >= r.t),
+a AS (SELECT b.*, r.t AS nt, r.kind AS av FROM b ASOF LEFT JOIN r ON b.track = r.track AND b.t < r.t)
+SELECT track, frame, CASE WHEN nt IS NULL OR t - bt <= nt - t THEN bv ELSE av END AS signal, round(CASE WHEN nt IS NULL OR t - bt <= nt - t THEN t - bt ELSE nt - t END, 6) AS gap FROM a""")
+def signals_at_times(spark, sf_dir):
+    """The categorical signal nearest to each moment, without a tolerance."""
+    rows = frames(spark, sf_dir)
+    found = temporal.asof_nearest(rows.where("kind = 'purchase'"), rows.where("kind <> 'purchase'"), F.col("kind"))
+    return rounded(found.select("track", "frame", F.col("match_value").alias("signal"), "gap"))
+
+
+@query(f"""WITH {FRAMES_SQL}, g AS (SELECT seq, t - lag(t) OVER (PARTITION BY seq ORDER BY t, frame) AS gap FROM frames)
+SELECT seq, count(*) AS n_records, round(max(gap), 6) AS longest_gap, coalesce(max(gap) <= 0.5, true) AS steady FROM g GROUP BY seq""")
+def sensor_gaps(spark, sf_dir):
+    return rounded(temporal.gaps(frames(spark, sf_dir), "seq", 0.5))
+
+
+@query(f"""WITH {FRAMES_SQL}, k AS (SELECT track, (min(t) + max(t)) / 2 AS moment FROM frames GROUP BY track),
+s AS (SELECT f.track, f.frame, f.t FROM frames f JOIN k USING (track) WHERE kind = 'view' AND abs(f.t - moment) <= 5), i AS (SELECT * FROM frames WHERE kind = 'click'),
+b AS (SELECT s.*, i.t AS bt, i.frame AS bf FROM s ASOF LEFT JOIN i ON s.track = i.track AND s.t >= i.t), a AS (SELECT b.*, i.t AS nt, i.frame AS nf FROM b ASOF LEFT JOIN i ON b.track = i.track AND b.t < i.t)
+SELECT track, frame, CASE WHEN bt IS NULL THEN nf WHEN nt IS NULL OR t - bt <= nt - t THEN bf ELSE nf END AS image FROM a""")
+def frame_schedule(spark, sf_dir):
+    """Scans around each track's middle, each with the nearest image."""
+    rows = frames(spark, sf_dir)
+    middle = rows.groupBy("track").agg(((F.min("t") + F.max("t")) / 2).alias("moment"))
+    scans = rows.where("kind = 'view'").join(middle, "track").where(F.abs(F.col("t") - F.col("moment")) <= 5)
+    return temporal.asof_nearest(scans, rows.where("kind = 'click'"), F.col("frame")).select("track", "frame", F.col("match_value").alias("image"))

@@ -60,3 +60,13 @@ def best_deal(masses: DataFrame, seeds: Sequence[int] = range(64), ratios: dict[
     all_deals = each.groupBy("seed").applyInPandas(run, "seq long, split string, seed int, score double")
     best = all_deals.groupBy("seed").agg(F.min("score").alias("score")).agg(F.min(F.struct("score", "seed")).alias("b")).select(F.col("b.seed").alias("seed"))
     return all_deals.join(F.broadcast(best), "seed").select("seq", "split", "seed", "score")
+
+
+def working_set(listed: DataFrame, sampled: DataFrame) -> DataFrame:
+    """All sequences that are listed or have samples, each once."""
+    return listed.select("seq").union(sampled.select("seq")).distinct()
+
+
+def inherit(wanted: DataFrame, frozen: DataFrame) -> DataFrame:
+    """The sequences with their frozen split; `fresh` ones are not in the frozen map and have none yet."""
+    return wanted.select("seq").join(frozen.select("seq", "split"), "seq", "left").withColumn("fresh", F.col("split").isNull())

@@ -176,3 +176,10 @@ def observed_fraction(windows: DataFrame, frames: DataFrame, slack: float = 1e-4
         .groupBy("track", "window")
         .agg(*[F.first(c).alias(c) for c in others], F.count_if(hit).alias("n_frames"), F.avg(F.when(hit, F.col("observed").cast("int"))).alias("fraction"))
     )
+
+
+def gaps(records: DataFrame, key: str, limit: float) -> DataFrame:
+    """Records of each key (t, frame), their longest gap in time (null for one record), and whether no gap is beyond the limit."""
+    gap = F.col("t") - F.lag("t").over(Window.partitionBy(key).orderBy("t", "frame"))
+    own = records.select(key, gap.alias("gap")).groupBy(key).agg(F.count("*").alias("n_records"), F.max("gap").alias("longest_gap"))
+    return own.withColumn("steady", F.coalesce(F.col("longest_gap") <= limit, F.lit(True)))
