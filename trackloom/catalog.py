@@ -661,6 +661,20 @@ def streaming_windowed_counts(spark, sf_dir):
     return rounded(online.drained(counts, "stream"), 4)
 
 
+@query("""WITH e AS (SELECT epoch_us(ts) AS us, event_type FROM events), w AS (SELECT us // 21600000000 * 21600000000 - 21600000000 * k AS start_us, event_type FROM e, (VALUES (0), (1)) s(k)),
+g AS (SELECT start_us, event_type, count(*) AS n FROM w GROUP BY 1, 2) SELECT * FROM g WHERE start_us + 43200000000 <= (SELECT max(us) - 3600000000 FROM e)""")
+def streaming_sliding_counts(spark, sf_dir):
+    counts = online.windowed_counts(online.event_stream(spark, f"{sf_dir}/events.parquet"), "12 hours", "1 hour", slide="6 hours")
+    return online.drained(counts, "sliding").drop("total")
+
+
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), b AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) >= 43200000000, true) AS fresh FROM e),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY us) AS place FROM b), g AS (SELECT user_id, min(us) AS start_us, max(us) + 43200000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, place)
+SELECT * FROM g WHERE end_us <= (SELECT max(us) - 3600000000 FROM e)""")
+def streaming_sessions(spark, sf_dir):
+    return online.drained(online.sessions(online.event_stream(spark, f"{sf_dir}/events.parquet"), "12 hours", "1 hour"), "sessions")
+
+
 @query()
 def streaming_births(spark, sf_dir):
     """A step is a quarter day; files of the table may be in any order within its month."""

@@ -24,13 +24,20 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def windowed_counts(events: DataFrame, length: str, delay: str, by: str = "event_type") -> DataFrame:
-    """Counts and sums in tumbling windows; a window is final once the watermark has passed it, later rows are dropped."""
+def windowed_counts(events: DataFrame, length: str, delay: str, by: str = "event_type", slide: str | None = None) -> DataFrame:
+    """Counts and sums in tumbling windows, or in sliding ones with `slide`; a window is final once the watermark has passed it, later rows are dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    own = timed.groupBy(F.window("ts", length), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    own = timed.groupBy(F.window("ts", length, slide), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return own.select(F.unix_micros("window.start").alias("start_us"), by, "n", "total")
 
 
+def sessions(events: DataFrame, quiet: str, delay: str, by: str = "user_id") -> DataFrame:
+    """Runs of events of a key without a pause of `quiet`; a session is final once the watermark has passed its end."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    own = timed.groupBy(F.session_window("ts", quiet), by).agg(F.count("*").alias("n"))
+    return own.select(by, F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
+
+
 def _taken(births: Births, steps: dict, ready: list[float]) -> list:
     """Takes complete steps in time order; the tracks that retire."""
     out = []
