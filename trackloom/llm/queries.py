@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, repair, secrets, simhash, toxicity, warc
+from . import chat, filteraudit, firstfit, packing, repair, secrets, simhash, toxicity, vectorcodes, warc
 from .common import table
 from .decontaminate import contaminations
 from .quality import quality_rules
@@ -55,6 +55,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.digest(vectorcodes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.survivors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return firstfit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -66,10 +78,14 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_first_fit_packing": op13_first_fit_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op12_filter_audit": filteraudit.ORACLE,
 }
