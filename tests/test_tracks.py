@@ -54,12 +54,13 @@ def test_born_tracks(spark):
     assert sorted((r["track"], r["n"], r["o"]) for r in got.groupBy("track").agg(F.count("*").alias("n"), F.count_if("observed").alias("o")).collect()) == [(0, 12, 12), (1, 12, 12)]
 
 
-ENDS = "seq long, track long, n_measured long, first_t double, first_x double, last_t double, last_x double, height double, velocity double"
+ENDS = "seq long, track long, n_measured long, first_t double, first_x double, first_y double, last_t double, last_x double, last_y double, height double, velocity_x double, velocity_y double"
 
 
-@pytest.mark.parametrize(("start", "x", "height", "accepted"), [(11.0, 1.4, 1.7, True), (11.0, 1.4, 2.4, False), (12.1, 2.1, 1.7, False), (9.6, 0.0, 1.7, False), (11.0, 3.1, 1.7, False)])
-def test_continuation(spark, start, x, height, accepted):
-    ends = spark.createDataFrame([(0, 1, 9, 0.0, -10.0, 10.0, 0.0, 1.7, 1.0), (0, 2, 9, start, x, 20.0, 9.0, height, 1.0)], ENDS)
+@pytest.mark.parametrize(("start", "x", "y", "height", "accepted"), [(11.0, 1.4, 0.0, 1.7, True), (11.0, 1.4, 0.0, 2.4, False), (12.1, 2.1, 0.0, 1.7, False), (9.6, 0.0, 0.0, 1.7, False), (11.0, 3.1, 0.0, 1.7, False), (11.0, 1.4, 2.5, 1.7, False)])
+def test_continuation(spark, start, x, y, height, accepted):
+    """The last case is far in y alone."""
+    ends = spark.createDataFrame([(0, 1, 9, 0.0, -10.0, 0.0, 10.0, 0.0, 0.0, 1.7, 1.0, 0.0), (0, 2, 9, start, x, y, 20.0, 9.0, 0.0, height, 1.0, 0.0)], ENDS)
     edges = stitching.continuation_edges(ends).collect()
     assert bool(edges) is accepted
     if accepted:
@@ -68,7 +69,7 @@ def test_continuation(spark, start, x, height, accepted):
 
 def test_overlapping_fragments_are_not_led_back(spark):
     """The second begins 0.2 s before the first ends: the first's last place counts, not where it was then."""
-    ends = spark.createDataFrame([(0, 1, 9, 0.0, -10.0, 10.0, 0.0, 1.7, 10.0), (0, 2, 9, 9.8, 0.5, 20.0, 9.0, 1.7, 1.0)], ENDS)
+    ends = spark.createDataFrame([(0, 1, 9, 0.0, -10.0, 0.0, 10.0, 0.0, 0.0, 1.7, 10.0, 0.0), (0, 2, 9, 9.8, 0.5, 0.0, 20.0, 9.0, 0.0, 1.7, 1.0, 0.0)], ENDS)
     edge = stitching.continuation_edges(ends).first()
     assert (edge["gap"], edge["residual"]) == (pytest.approx(-0.2), pytest.approx(0.5))  # led back it would be 2.5 and no edge
 
@@ -120,10 +121,42 @@ def test_frame_merge(spark):
 
 
 def test_resolve(spark):
-    tracks = [("g1", True), ("s1", False), ("s2", False), ("s3", False), ("g2", True), ("g3", True), ("s4", False), ("x", False)]
-    groups = [(1, "g1", True), (1, "s1", False), (2, "s2", True), (2, "s3", False), (3, "g2", True), (3, "g3", False), (4, "gone", True), (4, "s4", False)]
-    got = stitching.resolve(spark.createDataFrame(tracks, "key string, gold boolean"), spark.createDataFrame(groups, "chain long, key string, primary boolean"))
-    assert {r["key"]: (r["fate"], r["into"]) for r in got.collect()} == {"g1": ("keep", None), "s1": ("drop", None), "s2": ("keep", None), "s3": ("fold", "s2"), "g2": ("keep", None), "g3": ("keep", None), "s4": ("keep", None), "x": ("keep", None)}
+    """Every combination of a member's and the primary's tier, with the primary there or cut."""
+    tracks = [("g1", True), ("s1", False), ("s2", False), ("s3", False), ("g2", True), ("g3", True), ("s4", False), ("s5", False), ("g5", True), ("u", None), ("x", False)]
+    groups = [(1, "g1", True, True), (1, "s1", False, True), (2, "s2", True, False), (2, "s3", False, False), (2, "u", False, False), (3, "g2", True, True), (3, "g3", False, True), (4, "gone silver", True, False), (4, "s4", False, False), (5, "gone gold", True, True), (5, "s5", False, True), (5, "g5", False, True)]
+    got = stitching.resolve(spark.createDataFrame(tracks, "key string, gold boolean"), spark.createDataFrame(groups, "chain long, key string, primary boolean, primary_gold boolean"))
+    fates = {k: ("keep", None) for k, _ in tracks} | {"s1": ("drop", None), "s3": ("fold", "s2"), "s5": ("drop", None)}
+    assert {r["key"]: (r["fate"], r["into"]) for r in got.collect()} == fates
+
+
+def test_proposals_and_fold(spark):
+    """Three silver fragments in a row, the middle one is seen most; a gold track takes over another; one stands alone."""
+    rows = [(0, tr, 10 * tr + i, t, t * 1_000_000, True, 20, float(t) + x, 0.0, anchor) for tr, times, x, anchor in ((1, (0, 1, 2), 0, False), (2, (3, 4, 5, 6), 0, False), (3, (7, 8), 0, False), (4, (0, 1), 500, False), (5, (2, 3), 500, True), (6, (0, 1), 900, False)) for i, t in enumerate(times)]
+    rows += [(0, 3, 99, 6, 6_000_000, False, -1, 6.0, 0.0, False), (0, 5, 98, 4, 4_000_000, True, -1, 504.0, 0.0, True)]
+    frames = spark.createDataFrame([(a, b, c, float(d), *e) for a, b, c, d, *e in rows], "seq long, track long, frame long, t double, t_us long, observed boolean, points int, x double, y double, anchor boolean")
+    ends = stitching.track_ends(frames)
+    groups = stitching.proposals(stitching.continuation_edges(ends), ends)
+    got = {r["chain"]: r for r in groups.collect()}
+    assert {c: (r["primary_id"], r["primary_gold"], r["member_ids"], r["fragment_ids"]) for c, r in got.items()} == {1: (2, False, [1, 2, 3], [1, 3]), 4: (5, True, [4, 5], [4])}
+    assert [tuple(x) for x in got[1]["links"]] == [(1, 2, 1.0, 0.0, 2.0), (2, 3, 1.0, 0.0, 2.0)]
+    members = stitching.members_of(groups)
+    tracks = ends.select(F.col("track").alias("key"), "gold")
+    resolved = stitching.resolve(tracks, members)
+    folded = stitching.fold(frames, resolved, members)
+    out = {}
+    for r in folded.collect():
+        out.setdefault(r["track"], []).append((r["t"], r["came_from"], r["observed"]))
+    assert {k: len(v) for k, v in out.items()} == {2: 9, 5: 3, 6: 2} and (6.0, 2, True) in out[2] and (6.0, 3, False) not in out[2]
+    stats = {r["track"]: r for r in stitching.fold_stats(folded, resolved, members).collect()}
+    assert stats[2]["stitched_from"] == [1, 3] and stats[2]["n_observed"] == 9 and stats[5]["stitched_from"] is None
+    alone = stitching.fold(frames, stitching.resolve(tracks, members.where("false")), members.where("false"))
+    assert alone.count() == frames.count()
+
+
+def test_long_chains_are_walked(spark):
+    links = spark.range(70).selectExpr("0L as seq", "id as track", "id + 1 as follower").where("track <> 40")
+    got = {r["track"]: (r["chain"], r["place"]) for r in stitching.walk(links).collect()}
+    assert got == {i: (0, i) if i <= 40 else (41, i - 41) for i in range(71)}
 
 
 def test_answers_and_offsets(spark):

@@ -148,15 +148,17 @@ def file_keys(spark, sf_dir):
 
 
 @query("""WITH tracks AS (SELECT doc_id AS key, n_chars % 3 = 0 AS gold, doc_id // 4 AS chain, doc_id % 4 = 0 AS main FROM documents WHERE n_chars % 19 <> 0),
-mains AS (SELECT chain, key AS into_key, gold AS main_gold FROM tracks WHERE main)
-SELECT key, gold, CASE WHEN main OR gold OR into_key IS NULL THEN 'keep' WHEN main_gold THEN 'drop' ELSE 'fold' END AS fate, CASE WHEN NOT main AND NOT gold AND NOT main_gold THEN into_key END AS "into" FROM tracks LEFT JOIN mains USING (chain)""")
+mains AS (SELECT doc_id // 4 AS chain, doc_id AS main_key, n_chars % 3 = 0 AS main_gold, n_chars % 19 = 0 AS main_cut FROM documents WHERE doc_id % 4 = 0),
+fates AS (SELECT key, gold, CASE WHEN main OR gold THEN 'keep' WHEN main_gold THEN 'drop' WHEN main_cut THEN 'keep' ELSE 'fold' END AS fate, main_key FROM tracks JOIN mains USING (chain))
+SELECT key, gold, fate, CASE WHEN fate = 'fold' THEN main_key END AS "into" FROM fates""")
 def resolved_tracks(spark, sf_dir):
-    """Tracks after the cut (every nineteenth length), with what becomes of them in groups of four ids."""
+    """Tracks after the cut (every nineteenth length), with what becomes of them in groups of four ids; the groups know whether their primary was gold."""
     n, key = F.col("n_chars"), F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
     cut = docs.where(n % 19 == 0).select(key.alias("key"))
     tracks = docs.select(key.alias("key"), (n % 3 == 0).alias("gold")).join(cut, "key", "left_anti")
-    members = docs.select(F.floor(key / 4).alias("chain"), key.alias("key"), (key % 4 == 0).alias("primary"))
+    tier = docs.where(key % 4 == 0).select(F.floor(key / 4).alias("chain"), (n % 3 == 0).alias("primary_gold"))
+    members = docs.select(F.floor(key / 4).alias("chain"), key.alias("key"), (key % 4 == 0).alias("primary")).join(tier, "chain")
     return stitching.resolve(tracks, members)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from .functions import geometry as G
 from .operators import integrity, lifting, quality, scoring, spatial, splits, stats, stitching, temporal, tracking, verdicts, windows
 from .plans.adapters import FRAMES_SQL, POINTS_SQL, SAMPLES_SQL, frames, points, samples, table
+from .session import written
 from .streaming import online
 
 QUERIES: dict = {}
@@ -455,11 +456,54 @@ def batch_overlap_check(spark, sf_dir):
 # ---- stitching and tracking ---------------------------------------------------------------------
 
 GATES = stitching.Gates(gap=2.0, overlap=0.3, residual=30.0, residual_per_second=20.0, height=20.0)
+#: Tracks cut every five days, so that there is something to stitch; gold where a signup is among the frames, cut as junk where no frame has 60 points.
+FRAGMENTS_SQL = f"""{FRAMES_SQL}, fragments AS (SELECT * REPLACE (track * 1000 + CAST(floor(t / 5) AS BIGINT) % 1000 AS track) FROM frames),
+r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t DESC, frame DESC) AS latest FROM fragments WHERE observed AND points >= 0),
+e AS (SELECT seq, track, count(*) AS n, min(t) AS first_t, arg_min(x, (t, frame)) AS first_x, arg_min("y", (t, frame)) AS first_y, max(t) AS last_t, arg_max(x, (t, frame)) AS last_x, arg_max("y", (t, frame)) AS last_y,
+    min(t) FILTER (latest <= 5) AS tail_t, arg_min(x, (t, frame)) FILTER (latest <= 5) AS tail_x, arg_min("y", (t, frame)) FILTER (latest <= 5) AS tail_y, median(points) AS height FROM r GROUP BY seq, track),
+tiers AS (SELECT track, bool_or(kind = 'signup') AS gold, coalesce(max(points), -1) < 60 AS junk FROM fragments GROUP BY track),
+v AS (SELECT *, CASE WHEN last_t = tail_t THEN 0.0 ELSE (last_x - tail_x) / (last_t - tail_t) END AS vx, CASE WHEN last_t = tail_t THEN 0.0 ELSE (last_y - tail_y) / (last_t - tail_t) END AS vy FROM e JOIN tiers USING (track)),
+p AS (SELECT a.seq, a.track, b.track AS follower, b.first_t - a.last_t AS gap, sqrt(power(a.last_x + a.vx * greatest(b.first_t - a.last_t, 0) - b.first_x, 2) + power(a.last_y + a.vy * greatest(b.first_t - a.last_t, 0) - b.first_y, 2)) AS residual,
+    a.last_t AS ends, b.first_t AS starts FROM v a JOIN v b ON a.seq = b.seq AND a.track <> b.track AND b.first_t > a.first_t AND abs(a.height - b.height) <= {GATES.height}),
+edges AS (SELECT *, {GATES.residual} + {GATES.residual_per_second} * greatest(gap, 0) AS allowed FROM p WHERE gap >= -{GATES.overlap} AND gap <= {GATES.gap} AND residual <= {GATES.residual} + {GATES.residual_per_second} * greatest(gap, 0))"""
+#: Successors track by track with the list of those taken, then chains link by link.
+CHAINS_SQL = f"""{FRAGMENTS_SQL},
+wishes AS (SELECT seq, track, any_value(ends) AS ends, list(follower ORDER BY round(residual, 3), starts, follower) AS followers FROM edges GROUP BY seq, track),
+turns AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY ends, track) AS turn FROM wishes),
+greedy AS (SELECT DISTINCT seq, 0::BIGINT AS turn, []::BIGINT[] AS taken, NULL::BIGINT AS track, NULL::BIGINT AS follower FROM turns
+  UNION ALL SELECT seq, turn, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END, track, f
+  FROM (SELECT g.seq, g.taken, t.turn, t.track, list_filter(t.followers, lambda x: NOT list_contains(g.taken, x))[1] AS f FROM greedy g JOIN turns t ON t.seq = g.seq AND t.turn = g.turn + 1)),
+links AS (SELECT g.seq, g.track, g.follower, edges.gap, edges.residual, edges.allowed FROM greedy g JOIN edges USING (track, follower) WHERE g.follower IS NOT NULL),
+chains AS (SELECT seq, track AS chain, 0 AS place, track FROM links WHERE track NOT IN (SELECT follower FROM links)
+  UNION ALL SELECT c.seq, c.chain, c.place + 1, l.follower FROM chains c JOIN links l ON l.track = c.track),
+members AS (SELECT c.*, gold, n, max_by(c.track, (gold, n, -place)) OVER (PARTITION BY c.seq, chain) AS primary_id FROM chains c JOIN v ON v.track = c.track)"""
+FOLD_SQL = f"""{CHAINS_SQL},
+groups AS (SELECT m.*, t.gold AS primary_gold, t.junk AS primary_cut FROM members m JOIN tiers t ON t.track = primary_id),
+fates AS (SELECT t.track, place, CASE WHEN track = primary_id OR t.gold OR primary_id IS NULL THEN 'keep' WHEN primary_gold THEN 'drop' WHEN primary_cut THEN 'keep' ELSE 'fold' END AS fate, primary_id
+  FROM tiers t LEFT JOIN (SELECT track, place, primary_id, primary_gold, primary_cut FROM groups) g USING (track) WHERE NOT junk),
+came AS (SELECT primary_id AS track, string_agg(track::VARCHAR, ',' ORDER BY place) AS stitched_from FROM fates WHERE fate = 'fold' GROUP BY primary_id),
+own AS (SELECT CASE WHEN fate = 'fold' THEN primary_id ELSE f.track END AS track, f.track AS came_from, f.frame, f.t, f.t_us, f.observed, f.points, CASE WHEN fate = 'fold' THEN place ELSE -1 END AS rank FROM fragments f JOIN fates USING (track) WHERE fate <> 'drop'),
+folded AS (SELECT * FROM own WHERE track NOT IN (SELECT track FROM came)
+  UNION ALL SELECT * FROM own WHERE track IN (SELECT track FROM came) QUALIFY row_number() OVER (PARTITION BY track, t_us ORDER BY observed DESC, points DESC, rank, frame) = 1)"""
 
 
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks cut every five days, so that there is something to stitch."""
-    return frames(spark, sf_dir).withColumn("track", F.col("track") * 1000 + F.floor(F.col("t") / 5) % 1000)
+    rows = frames(spark, sf_dir).withColumn("anchor", F.col("kind") == "signup")
+    return rows.withColumn("track", F.col("track") * 1000 + F.floor(F.col("t") / 5) % 1000)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    ends = written(stitching.track_ends(_fragments(spark, sf_dir), GATES), "track-ends")
+    return stitching.continuation_edges(ends, GATES), ends
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Folded frames, fates and members of the fragments that were not cut."""
+    rows = _fragments(spark, sf_dir)
+    members = written(stitching.members_of(stitching.proposals(*_edges(spark, sf_dir))), "members")
+    tiers = rows.groupBy(F.col("track").alias("key")).agg(F.bool_or("anchor").alias("gold"), F.max("points").alias("most"))
+    resolved = written(stitching.resolve(tiers.where("most >= 60").drop("most"), members), "fates")
+    return stitching.fold(rows, resolved, members), resolved, members
 
 
 @query(f"""WITH {FRAMES_SQL}, coarse AS (SELECT track, t_us // 43200000000 AS t_us, observed, points, frame % 3 AS rank, frame FROM frames)
@@ -469,22 +513,40 @@ def frame_merge_dedupe(spark, sf_dir):
     return stitching.merge_frames(coarse)
 
 
-@query(f"""WITH {FRAMES_SQL}, fragments AS (SELECT * REPLACE (track * 1000 + CAST(floor(t / 5) AS BIGINT) % 1000 AS track) FROM frames WHERE observed AND points >= 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t DESC, frame DESC) AS latest FROM fragments),
-e AS (SELECT seq, track, count(*) AS n, min(t) AS first_t, arg_min(x, t) AS first_x, max(t) AS last_t, arg_max(x, t) AS last_x,
-    min(t) FILTER (latest <= 5) AS tail_t, arg_min(x, t) FILTER (latest <= 5) AS tail_x, median(points) AS height FROM r GROUP BY seq, track),
-v AS (SELECT *, CASE WHEN last_t = tail_t THEN 0.0 ELSE (last_x - tail_x) / (last_t - tail_t) END AS velocity FROM e),
-p AS (SELECT a.seq, a.track, b.track AS follower, b.first_t - a.last_t AS gap, abs(a.last_x + a.velocity * greatest(b.first_t - a.last_t, 0) - b.first_x) AS residual
-  FROM v a JOIN v b ON a.seq = b.seq AND a.track <> b.track AND b.first_t > a.first_t AND abs(a.height - b.height) <= 20)
-SELECT seq, track, follower, round(gap, 6) AS gap, round(residual, 6) AS residual FROM p WHERE gap >= -0.3 AND gap <= 2 AND residual <= 30 + 20 * greatest(gap, 0)""")
+@query(f"WITH {FRAGMENTS_SQL} SELECT seq, track, follower, round(gap, 6) AS gap, round(residual, 6) AS residual, round(allowed, 6) AS allowed FROM edges")
 def continuation_edges(spark, sf_dir):
-    edges = stitching.continuation_edges(stitching.track_ends(_fragments(spark, sf_dir), GATES), GATES)
-    return rounded(edges.drop("ends", "starts"))
+    return rounded(_edges(spark, sf_dir)[0].drop("ends", "starts"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CHAINS_SQL} SELECT * FROM chains")
 def stitch_chains(spark, sf_dir):
-    return stitching.chains(stitching.continuation_edges(stitching.track_ends(_fragments(spark, sf_dir), GATES), GATES))
+    return stitching.chains(_edges(spark, sf_dir)[0])
+
+
+@query(f"""WITH RECURSIVE {CHAINS_SQL} SELECT seq, chain, any_value(primary_id) AS primary_id, any_value(g.gold) AS primary_gold, string_agg(m.track::VARCHAR, ',' ORDER BY place) AS member_ids,
+  string_agg(m.track::VARCHAR, ',' ORDER BY place) FILTER (m.track <> primary_id) AS fragment_ids, count(*) - 1 AS n_links FROM members m JOIN tiers g ON g.track = primary_id GROUP BY seq, chain""")
+def stitch_proposals(spark, sf_dir):
+    groups = stitching.proposals(*_edges(spark, sf_dir))
+    ids = [F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("member_ids", "fragment_ids")]
+    return groups.select("seq", "chain", "primary_id", "primary_gold", *ids, F.size("links").cast("long").alias("n_links"))
+
+
+@query(f"""WITH RECURSIVE {CHAINS_SQL} SELECT c.seq, chain, place, l.track AS "from", l.follower AS "to", round(gap, 3) AS gap, round(residual, 3) AS residual, round(allowed, 3) AS allowed FROM links l JOIN chains c ON c.track = l.track""")
+def stitch_evidence(spark, sf_dir):
+    groups = stitching.proposals(*_edges(spark, sf_dir))
+    return groups.select("seq", "chain", F.posexplode("links").alias("place", "link")).select("seq", "chain", "place", "link.*")
+
+
+@query(f"WITH RECURSIVE {FOLD_SQL} SELECT track, came_from, frame, round(t, 6) AS t, observed, points FROM folded")
+def folded_frames(spark, sf_dir):
+    return rounded(_folded(spark, sf_dir)[0].select("track", "came_from", "frame", "t", "observed", "points"))
+
+
+@query(f"""WITH RECURSIVE {FOLD_SQL} SELECT track, count(*) AS n_frames, count(*) FILTER (observed) AS n_observed, count(*) FILTER (NOT observed) AS n_coasted, round(avg(observed::INT), 4) AS observed_fraction, any_value(stitched_from) AS stitched_from
+FROM folded LEFT JOIN came USING (track) GROUP BY track""")
+def folded_tracks(spark, sf_dir):
+    stats = stitching.fold_stats(*_folded(spark, sf_dir))
+    return stats.withColumn("stitched_from", F.when(F.col("stitched_from").isNotNull(), F.concat_ws(",", F.col("stitched_from").cast("array<string>"))))
 
 
 MOTION = tracking.Motion(nominal_dt=0.3, noise_position=5.0, noise_velocity=20.0, first_position=20.0, first_velocity=50.0, measurement=20.0)
