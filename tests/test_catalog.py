@@ -16,9 +16,13 @@ def test_query_without_sql_gives_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-def test_births_as_a_stream_are_those_of_the_batch(spark, sf):
-    rows = [sorted(tuple(r) for r in catalog.QUERIES[n](spark, sf).select("seq", "track", "t", "observed").collect()) for n in ("birth_tracks", "streaming_births")]
-    assert rows[0] == rows[1]
+def test_births_as_a_stream_are_those_of_the_batch(spark):
+    """Equal rows, and nine of ten leave the stream itself."""
+    sf = "/root/testdata/sf0.01"
+    stream = catalog.QUERIES["streaming_births"](spark, sf).toPandas()
+    batch = catalog.QUERIES["birth_tracks"](spark, sf).toPandas()
+    assert_equal(stream.drop(columns=["streamed", "late"]), batch)
+    assert not stream["late"].any() and stream["streamed"].mean() >= 0.9
 
 
 def test_entry(spark):

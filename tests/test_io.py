@@ -115,12 +115,37 @@ def test_consumer_side(spark):
     assert samples.select(index.sample_id(F.lit("7"), F.lit("p"), F.lit(1_500_600))).first()[0] == "7_p_1501"
 
 
+CANDIDATES = "seq long, t double, x double, y double, z double"
+
+
 def born_inputs(spark, folder, parts):
     """Candidates with the moment that closes their step (a ninth of a second), one file a part, read one file a micro-batch."""
     for i, rows in enumerate(parts):
-        df = spark.createDataFrame(rows, "seq long, t double, x double, y double")
-        df.withColumn("closes", F.timestamp_micros(((F.col("t") + 1 / 9) * 1e6).cast("long") + F.lit(1_700_000_000_000_000))).coalesce(1).write.parquet(f"{folder}/{i:03d}")
-    return spark.readStream.schema("seq long, t double, x double, y double, closes timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+        add_part(spark, folder, i, rows)
+    return spark.readStream.schema(f"{CANDIDATES}, closes timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def add_part(spark, folder, i, rows):
+    df = spark.createDataFrame(rows, CANDIDATES)
+    df.withColumn("closes", F.timestamp_micros(((F.col("t") + 1 / 9) * 1e6).cast("long") + F.lit(1_700_000_000_000_000))).coalesce(1).write.parquet(f"{folder}/{i:03d}")
+
+
+def at(*rows):
+    return [(s, t, x, None if x is None else 0.0, None if x is None else 1.0) for s, t, x in rows]
+
+
+def tracks_of(*frames):
+    rows = [tuple(r) for f in frames for r in f.where("not late").drop("late").collect()]
+    return sorted((*r[:4], *(round(v, 9) for v in r[4:])) for r in rows)
+
+
+def batch_births(spark, rows):
+    from trackloom.operators.tracking import born_tracks
+
+    return sorted((*r[:4], *(round(v, 9) for v in r[4:])) for r in map(tuple, born_tracks(spark.createDataFrame(rows, CANDIDATES)).collect()))
+
+
+WALKS = [*at(*[(1, i / 9, 0.0) for i in range(12)], *[(1, i / 9, 40.0 + i / 50) for i in range(20)], *[(1, 12 / 9 + i / 9, None) for i in range(8)], *[(2, i / 9, 5.0) for i in range(12)])]
 
 
 def test_stream_births_equal_batch(spark, tmp_path):
@@ -128,24 +153,48 @@ def test_stream_births_equal_batch(spark, tmp_path):
     active at the end come out as well."""
     import random
 
-    from trackloom.operators.tracking import born_tracks
     from trackloom.streaming import online
 
-    rows = [(1, i / 9, 0.0, 0.0) for i in range(12)] + [(1, i / 9, 40.0 + i / 50, 0.0) for i in range(20)] + [(1, 12 / 9 + i / 9, None, None) for i in range(8)] + [(2, i / 9, 5.0, 5.0) for i in range(12)]
-    want = sorted(tuple(r)[:4] for r in born_tracks(spark.createDataFrame(rows, "seq long, t double, x double, y double")).select("seq", "track", "t", "observed").collect())
+    want = batch_births(spark, WALKS)
     assert len({r[:2] for r in want}) == 3
     rng = random.Random(2)
-    ordered = sorted(rows, key=lambda r: r[1])
-    mixed = rng.sample(rows, len(rows))
-    for name, parts, delay in (("one", [rows], "1 second"), ("ordered", [ordered[k : k + 7] for k in range(0, len(rows), 7)], "0 seconds"), ("mixed", [mixed[k : k + 9] for k in range(0, len(rows), 9)], "10 seconds")):
+    ordered = sorted(WALKS, key=lambda r: r[1])
+    mixed = rng.sample(WALKS, len(WALKS))
+    for name, parts, delay in (("one", [WALKS], "1 second"), ("ordered", [ordered[k : k + 17] for k in range(0, len(WALKS), 17)], "0 seconds"), ("mixed", [mixed[k : k + 19] for k in range(0, len(WALKS), 19)], "10 seconds")):
         got = online.all_born(born_inputs(spark, tmp_path / name, parts), delay=delay)
-        assert sorted(tuple(r)[:4] for r in got.select("seq", "track", "t", "observed").collect()) == want, name
+        assert tracks_of(*got) == want, name
+        assert all(f.where("late").count() == 0 for f in got)
 
 
 def test_stream_births_retire_while_the_stream_runs(spark, tmp_path):
     from trackloom.streaming import online
 
-    rows = [(1, i / 9, 0.0, 0.0) for i in range(12)] + [(1, 12 / 9 + i / 9, None, None) for i in range(8)]
-    stream = born_inputs(spark, tmp_path / "in", [rows[:12], rows[12:], [(1, 99.0, None, None)], [(1, 99.5, None, None)]])
+    rows = at(*[(1, i / 9, 0.0) for i in range(12)], *[(1, 12 / 9 + i / 9, None) for i in range(8)])
+    stream = born_inputs(spark, tmp_path / "in", [rows[:12], rows[12:], at((1, 99.0, None))])
     got = online.drained(online.born_stream(stream.withWatermark("closes", "0 seconds")), "test-births")
     assert got.count() == 12
+
+
+def test_late_candidates_come_out(spark, tmp_path):
+    """A candidate of a step that was taken is a row of its own and changes no track."""
+    from trackloom.streaming import online
+
+    rows = at(*[(1, i / 9, 0.0) for i in range(12)], *[(1, 12 / 9 + i / 9, None) for i in range(8)])
+    stream = born_inputs(spark, tmp_path / "in", [rows, at((1, 50.0, None)), at((1, 2 / 9, 7.0), (1, 3 / 9, None)), at((1, 60.0, None))])
+    streamed, rest = online.all_born(stream, delay="0 seconds")
+    late = sorted((r["seq"], r["track"], round(r["t"], 6), r["x"]) for r in streamed.where("late").collect())
+    assert [(s, k, t, None if x is None or x != x else x) for s, k, t, x in late] == [(1, None, round(2 / 9, 6), 7.0), (1, None, round(3 / 9, 6), None)]
+    assert tracks_of(streamed, rest) == batch_births(spark, rows)
+
+
+def test_births_go_on_after_a_restart(spark, tmp_path):
+    """The stream ends in the middle of tracks and of a step; a new one takes over its state and writes the rest."""
+    from trackloom.streaming import online
+
+    ordered = sorted(WALKS, key=lambda r: r[1])
+    state, out = f"file://{tmp_path}/state", f"file://{tmp_path}/out"
+    for k, parts in enumerate((ordered[:25], ordered[25:])):
+        add_part(spark, tmp_path / "in", k, parts)
+        stream = spark.readStream.schema(f"{CANDIDATES}, closes timestamp").parquet(f"{tmp_path}/in/*")
+        got = online.drained(online.born_stream(stream.withWatermark("closes", "1 second")), "restart", state, out)
+    assert tracks_of(got, online.finished(spark, state, stream)) == batch_births(spark, WALKS)

@@ -2,12 +2,15 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from trackloom.operators import integrity, scoring, splits, stats, stitching, tracking, verdicts
+from tests import plain_tracking as plain
+from trackloom import catalog
+from trackloom.operators import guarded, integrity, scoring, splits, stats, stitching, tracking, verdicts
 
 M = tracking.Motion()
 
@@ -27,33 +30,119 @@ def test_stationary_track_stays(n, place, dt):
     assert np.allclose(x, place, atol=1e-8)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000))
+def test_many_tracks_are_smoothed_as_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 12, rng.integers(1, 9))
+    n = int(sizes.sum())
+    t, z, seen = np.round(rng.uniform(0, 5, n), 1), rng.normal(size=(n, 3)), rng.random(n) < 0.6
+    ends = np.cumsum(sizes)
+    for lo, hi in zip(ends - sizes, ends, strict=True):
+        t[lo:hi].sort()
+    place, confidence = tracking.smooth_all(sizes, t, z, seen, M)
+    for lo, hi in zip(ends - sizes, ends, strict=True):
+        p, c = plain.smooth(t[lo:hi], z[lo:hi], seen[lo:hi], M)
+        assert np.allclose(place[lo:hi], p, atol=1e-9) and np.allclose(confidence[lo:hi], c, atol=1e-9)
+    assert tracking.smooth_all(np.zeros(0, dtype=np.int64), t[:0], z[:0], seen[:0], M)[0].shape == (0, 3)
+
+
+def test_smooth_tracks_of_any_length(spark):
+    """Tracks that end within a step of rows, go over several, or have no measurement at all."""
+    rng = np.random.default_rng(1)
+    rows = [(k, k * 1000 + i, i / 9, bool(k != 3 and rng.random() < 0.7), *map(float, rng.normal(size=3))) for k, n in ((1, 5), (2, 90), (3, 7), (4, 1), (5, 40)) for i in range(n)]
+    frames = spark.createDataFrame(rows, "track long, frame long, t double, observed boolean, x double, y double, z double").repartition(3)
+    want = {}
+    for k in range(1, 6):
+        own = [r for r in rows if r[0] == k]
+        place, c = plain.smooth(np.array([r[2] for r in own]), np.array([r[4:] for r in own]), np.array([r[3] for r in own]), M)
+        want |= {r[1]: (*p, e) for r, p, e in zip(own, place.tolist(), c.tolist(), strict=True)}
+    got = {r["frame"]: (r["x"], r["y"], r["z"], r["confidence"]) for r in tracking.smooth_tracks(frames).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    batches = pa.table({"track": [1] * 5 + [2] * 90 + [3] * 7}).to_batches(max_chunksize=8)
+    tables = [t.column("track").to_pylist() for t in tracking.whole_groups(iter(batches), "track", rows=10)]
+    assert sum(tables, []) == [1] * 5 + [2] * 90 + [3] * 7 and sum(len(set(t)) for t in tables) == 3
+
+
 def test_pass_stops_after_the_last_miss():
-    log = tracking.directed_pass(np.arange(10) / 9, [np.zeros((0, 2))] * 10, np.zeros(2), M)
-    assert len(log) == 5 and not any(seen for _, seen, _ in log)
+    none = [np.zeros((0, 3))] * 10
+    log = tracking.directed_passes(np.arange(10) / 9, none, none, np.array([-1]), np.zeros((1, 3)), M)
+    assert len(log["frame"]) == 5 and not log["seen"].any()
 
 
-def test_anchored_track_goes_both_ways():
-    times = np.arange(11) / 9
-    found = [np.array([[i / 9, 0.0]]) for i in range(11)]
-    log = tracking.anchored_track(times, found, times[5], np.array([5 / 9, 0.0]), M)
-    assert len(log) == 11 and all(seen for _, seen, _ in log)
-    assert [t for t, _, _ in log] == pytest.approx(times.tolist())
+def test_anchored_track_goes_both_ways(spark):
+    pool = spark.createDataFrame([(1, i / 9, i / 9, 0.0, 0.0, 7) for i in range(11) if i != 8] + [(1, 8 / 9, None, None, None, None), (1, 0.0, 400.0, 0.0, 0.0, 9)] + [(2, 0.0, 1.0, 1.0, 1.0, 3)], "seq long, t double, x double, y double, z double, points int")
+    anchors = spark.createDataFrame([(1, "a", 5 / 9 + 0.01, 5 / 9, 0.0, 0.0), (3, "no frames", 0.0, 0.0, 0.0, 0.0)], "seq long, key string, t double, x double, y double, z double")
+    got = sorted(tracking.anchored_tracks(pool, anchors).collect(), key=lambda r: r["t"])
+    assert [r["method"] for r in got] == ["backward"] * 5 + ["anchor"] + ["forward"] * 5 and {r["key"] for r in got} == {"a"}
+    assert [r["observed"] for r in got] == [i != 8 for i in range(11)] and [r["points"] for r in got] == [7] * 5 + [-1] + [7, 7, -1, 7, 7]
+    assert got[8]["confidence"] == 0 and np.allclose([r["x"] for r in got], np.arange(11) / 9, atol=0.05)
 
 
 @pytest.mark.parametrize(("times", "kept"), [((0, 1, 2), False), ((0, 0.3, 0.6, 0.9), False), ((0, 0.3, 0.6, 1.0), True)])
 def test_births_need_support_and_time(times, kept):
     births = tracking.Births(M)
     for t in times:
-        births.frame(t, np.zeros((1, 2)))
+        births.frame(t, np.zeros((1, 3)))
     assert bool(births.rest()) is kept
 
 
 def test_born_tracks(spark):
-    rows = [(1, i / 9, 0.0, 0.0) for i in range(12)] + [(1, i / 9, 50.0, 0.0) for i in range(12)] + [(1, 12 / 9 + i / 9, None, None) for i in range(3)]
-    got = tracking.born_tracks(spark.createDataFrame(rows, "seq long, t double, x double, y double"), M)
+    rows = [(1, i / 9, 0.0, 0.0, 0.0) for i in range(12)] + [(1, i / 9, 50.0, 0.0, 0.0) for i in range(12)] + [(1, 12 / 9 + i / 9, None, None, None) for i in range(3)]
+    got = tracking.born_tracks(spark.createDataFrame(rows, "seq long, t double, x double, y double, z double"), M)
     assert sorted((r["track"], r["n"], r["o"]) for r in got.groupBy("track").agg(F.count("*").alias("n"), F.count_if("observed").alias("o")).collect()) == [(0, 12, 12), (1, 12, 12)]
 
 
+def test_birth_query_equals_the_plain_tracker(spark, sf):
+    """All rows of the registered query, step by step with one matrix a track."""
+    clips = {}
+    for r in catalog._stepped(spark, sf).collect():
+        clips.setdefault((r["seq"], r["clip"]), {}).setdefault(r["t"], []).append((r["x"], r["y"], r["z"]))
+    want = {}
+    for clip, steps in clips.items():
+        for row in plain.born([(t, [p for p in steps[t] if p[0] is not None]) for t in sorted(steps)], catalog.MOTION):
+            want[*clip, *row[:2]] = row[2:]
+    got = {(r["seq"], r["clip"], r["track"], r["t"]): (r["observed"], r["x"], r["y"], r["z"], r["confidence"]) for r in tracking.born_tracks(catalog._stepped(spark, sf), catalog.MOTION, by=("seq", "clip")).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want) and len(want) > 100
+
+
+def test_anchored_query_equals_the_plain_tracker(spark, sf):
+    rows = catalog._stepped(spark, sf).withColumn("seq", F.col("seq") * 100_000 + F.col("clip")).collect()
+    want = {}
+    for seq in {r["seq"] for r in rows}:
+        steps = {}
+        for r in rows:
+            if r["seq"] == seq and r["kind"] != "signup":
+                own = steps.setdefault(r["t"], [])
+                if r["x"] is not None:
+                    own.append((r["x"], r["y"], r["z"]))
+        times = np.array(sorted(steps))
+        found = [np.array(sorted(steps[t])).reshape(-1, 3) for t in times]
+        for r in rows:
+            if r["seq"] == seq and r["kind"] == "signup" and len(times):
+                log = plain.anchored_track(times, found, r["t"], np.array([r["x"], r["y"], r["z"]]), catalog.MOTION)
+                place, c = plain.smooth(np.array([e[0] for e in log]), np.array([e[2] for e in log]), np.array([e[1] for e in log]), catalog.MOTION)
+                want |= {(seq, r["frame"], round(e[0], 3)): (e[1], *p, k) for e, p, k in zip(log, place.tolist(), c.tolist(), strict=True)}
+    got = {(r["seq"], r["key"], r["t"]): (r["observed"], r["x"], r["y"], r["z"], r["confidence"]) for r in catalog.QUERIES["anchored_tracks"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=2e-3) for k in want) and len(want) > 100
+
+
+def test_a_broken_clip_fails_alone(spark):
+    def own(table):
+        if 3 in table.column("v").to_pylist():
+            raise ZeroDivisionError("three")
+        return table.select(["seq", "v"])
+
+    rows = spark.createDataFrame([(i // 4, i) for i in range(12)], "seq long, v long")
+    done = guarded.apply(rows, ["seq"], own, "seq long, v long")
+    assert sorted(r["v"] for r in done.results.collect()) == list(range(4, 12)) and done.results.columns == ["seq", "v"]
+    assert [tuple(r) for r in done.failures.collect()] == [(0, "ZeroDivisionError('three')")]
+    assert [tuple(r) for r in guarded.report(done).collect()] == [("ZeroDivisionError('three')", 1)]
+    fine = guarded.apply(rows.where("v > 3"), ["seq"], own, "seq long, v long")
+    assert fine.failures.count() == 0 and fine.results.count() == 8
+    assert guarded.apply(rows.where("false"), ["seq"], own, "seq long, v long").results.count() == 0
+
+
 ENDS = "seq long, track long, n_measured long, first_t double, first_x double, first_y double, last_t double, last_x double, last_y double, height double, velocity_x double, velocity_y double"
 
 

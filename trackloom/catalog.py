@@ -6,13 +6,14 @@ not suit these tables (window lengths, thresholds) is passed here, and the defau
 
 from __future__ import annotations
 
-
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import geometry as G
-from .operators import integrity, lifting, quality, scoring, spatial, splits, stats, stitching, temporal, tracking, verdicts, windows
+from .operators import guarded, integrity, lifting, quality, scoring, spatial, splits, stats, stitching, temporal, tracking, verdicts, windows
 from .plans.adapters import FRAMES_SQL, POINTS_SQL, SAMPLES_SQL, frames, points, samples, table
 from .session import written
 from .streaming import online
@@ -552,17 +553,88 @@ def folded_tracks(spark, sf_dir):
 MOTION = tracking.Motion(nominal_dt=0.3, noise_position=5.0, noise_velocity=20.0, first_position=20.0, first_velocity=50.0, measurement=20.0)
 
 
-@query()
+#: Filter and smoother frame by frame: one covariance (p, q, r) for the three axes.
+_NEXT = "CASE WHEN f.n = 1 OR f.t <= s.t THEN 0.3::DOUBLE ELSE f.t - s.t END"
+KALMAN_SQL = f"""{FRAMES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY t, frame) AS n FROM frames),
+seed AS (SELECT track, coalesce(arg_min(x, n) FILTER (observed), arg_min(x, n)) AS x, coalesce(arg_min("y", n) FILTER (observed), arg_min("y", n)) AS y, coalesce(arg_min(z, n) FILTER (observed), arg_min(z, n)) AS z FROM f GROUP BY track),
+forward AS (SELECT track, 0::BIGINT AS n, NULL::BIGINT AS frame, 0.0::DOUBLE AS t, x, y, z, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS vz, 400.0::DOUBLE AS p, 0.0::DOUBLE AS q, 2500.0::DOUBLE AS r,
+    0.0::DOUBLE AS dt, x AS px, y AS py, z AS pz, 0.0::DOUBLE AS pvx, 0.0::DOUBLE AS pvy, 0.0::DOUBLE AS pvz, 0.0::DOUBLE AS pp, 0.0::DOUBLE AS pq, 0.0::DOUBLE AS pr, 0.0::DOUBLE AS confidence FROM seed
+  UNION ALL SELECT track, n, frame, t, px + g * ox AS x, py + g * oy AS y, pz + g * oz AS z, pvx + h * ox AS vx, pvy + h * oy AS vy, pvz + h * oz AS vz, pp - g * pp AS p, pq - g * pq AS q, pr - h * pq AS r, dt, px, py, pz, pvx, pvy, pvz, pp, pq, pr,
+    CASE WHEN observed THEN exp(-0.5::DOUBLE * least((ox * ox + oy * oy + oz * oz) / (pp + 400), 25.0::DOUBLE)) ELSE 0.0::DOUBLE END AS confidence
+  FROM (SELECT *, CASE WHEN observed THEN pp / (pp + 400) ELSE 0.0::DOUBLE END AS g, CASE WHEN observed THEN pq / (pp + 400) ELSE 0.0::DOUBLE END AS h, zx - px AS ox, zy - py AS oy, zz - pz AS oz
+    FROM (SELECT track, n, frame, t, observed, zx, zy, zz, dt, x + dt * vx AS px, y + dt * vy AS py, z + dt * vz AS pz, vx AS pvx, vy AS pvy, vz AS pvz,
+        p + 2 * dt * q + dt * dt * r + 400 * dt * dt * dt * dt / 4 + 25 AS pp, q + dt * r + 400 * dt * dt * dt / 2 AS pq, r + 400 * dt * dt AS pr
+      FROM (SELECT f.track, f.n, f.frame, f.t, f.observed, f.x AS zx, f."y" AS zy, f.z AS zz, s.x, s.y, s.z, s.vx, s.vy, s.vz, s.p, s.q, s.r, {_NEXT} AS dt FROM forward s JOIN f ON f.track = s.track AND f.n = s.n + 1)))),
+size AS (SELECT track, max(n) AS n FROM f GROUP BY track),
+back AS (SELECT w.track, w.n, w.frame, w.t, w.x, w.y, w.z, w.vx, w.vy, w.vz, w.confidence FROM forward w JOIN size USING (track, n)
+  UNION ALL SELECT track, n, frame, t, x + a * ox + b * ovx AS x, y + a * oy + b * ovy AS y, z + a * oz + b * ovz AS z, vx + c * ox + d * ovx AS vx, vy + c * oy + d * ovy AS vy, vz + c * oz + d * ovz AS vz, confidence
+  FROM (SELECT w.track, w.n, w.frame, w.t, w.x, w.y, w.z, w.vx, w.vy, w.vz, w.confidence, s.x - u.px AS ox, s.y - u.py AS oy, s.z - u.pz AS oz, s.vx - u.pvx AS ovx, s.vy - u.pvy AS ovy, s.vz - u.pvz AS ovz,
+      ((w.p + w.q * u.dt) * u.pr - w.q * u.pq) / (u.pp * u.pr - u.pq * u.pq) AS a, (w.q * u.pp - (w.p + w.q * u.dt) * u.pq) / (u.pp * u.pr - u.pq * u.pq) AS b,
+      ((w.q + w.r * u.dt) * u.pr - w.r * u.pq) / (u.pp * u.pr - u.pq * u.pq) AS c, (w.r * u.pp - (w.q + w.r * u.dt) * u.pq) / (u.pp * u.pr - u.pq * u.pq) AS d
+    FROM back s JOIN forward u ON u.track = s.track AND u.n = s.n JOIN forward w ON w.track = s.track AND w.n = s.n - 1 AND w.n > 0))"""
+
+
+@query(f"WITH RECURSIVE {KALMAN_SQL} SELECT track, frame, round(t, 3) AS t, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, round(confidence, 3) AS confidence FROM back")
 def kalman_rts_tracks(spark, sf_dir):
-    return rounded(tracking.smooth_tracks(frames(spark, sf_dir), MOTION))
+    return rounded(tracking.smooth_tracks(frames(spark, sf_dir), MOTION), 3)
+
+
+#: Days of a clip.
+CLIP = 6
+
+
+def _stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of one sequence share a time step of a quarter day; a clip is six days of a sequence."""
+    rows = frames(spark, sf_dir).withColumn("t", F.floor(F.col("t") * 4) / 4)
+    place = [F.when(F.col("observed"), F.col(c)).alias(c) for c in tracking.AXES]
+    return rows.select("seq", F.floor(F.col("t") / CLIP).alias("clip"), "track", "frame", "t", "kind", "points", *place)
 
 
 @query()
 def birth_tracks(spark, sf_dir):
-    """Candidates of one sequence share a time step of a quarter day."""
+    return rounded(tracking.born_tracks(_stepped(spark, sf_dir), MOTION, by=("seq", "clip")), 3)
+
+
+@query()
+def anchored_tracks(spark, sf_dir):
+    """A signup is an anchor; the other frames of its sequence and clip are the pool."""
+    rows = _stepped(spark, sf_dir).withColumn("seq", F.col("seq") * 100_000 + F.col("clip"))
+    anchors = rows.where("kind = 'signup'").select("seq", F.col("frame").alias("key"), "t", *tracking.AXES)
+    return rounded(tracking.anchored_tracks(rows.where("kind <> 'signup'"), anchors, MOTION), 3)
+
+
+@query(f"""WITH {FRAMES_SQL}, s AS (SELECT seq, frame, floor(t * 4) / 4 AS step, t, kind FROM frames), p AS (SELECT DISTINCT seq, step AS pt FROM s WHERE kind <> 'signup'), l AS (SELECT * FROM s WHERE kind = 'signup'),
+b AS (SELECT l.*, p.pt AS bt FROM l ASOF LEFT JOIN p ON l.seq = p.seq AND l.t >= p.pt), a AS (SELECT b.*, p.pt AS nt FROM b ASOF LEFT JOIN p ON b.seq = p.seq AND b.t < p.pt)
+SELECT seq, frame AS key, round(CASE WHEN bt IS NULL THEN nt WHEN nt IS NULL OR t - bt <= nt - t THEN bt ELSE nt END, 6) AS frame_t, round(CASE WHEN bt IS NULL THEN nt - t WHEN nt IS NULL OR t - bt <= nt - t THEN t - bt ELSE nt - t END, 6) AS gap FROM a""")
+def anchor_frames(spark, sf_dir):
     rows = frames(spark, sf_dir)
-    stepped = rows.select("seq", (F.floor(F.col("t") * 4) / 4).alias("t"), F.when(F.col("observed"), F.col("x")).alias("x"), F.when(F.col("observed"), F.col("y")).alias("y"))
-    return rounded(tracking.born_tracks(stepped, MOTION))
+    pool = rows.where("kind <> 'signup'").select("seq", (F.floor(F.col("t") * 4) / 4).alias("t"))
+    return rounded(tracking.anchor_frames(pool, rows.where("kind = 'signup'").select("seq", F.col("frame").alias("key"), "t")))
+
+
+def _guarded_births(spark: SparkSession, sf_dir: str) -> guarded.Outcome:
+    """Births that refuse a clip with a place beyond 490; the other clips go on."""
+    born = tracking.born_in(("seq", "clip"), MOTION)
+
+    def checked(own: pa.Table) -> pa.Table:
+        n = pc.sum(pc.greater(own.column("x"), 490.0)).as_py() or 0
+        if n:
+            raise ValueError(f"{n} places out of range")
+        return born(own.select(["seq", "clip", "t", *tracking.AXES]))
+
+    rows = _stepped(spark, sf_dir)
+    return guarded.apply(rows, ("seq", "clip"), checked, f"seq long, clip long, {tracking.BORN}")
+
+
+@query(f"""WITH {FRAMES_SQL}, c AS (SELECT seq, CAST(floor(floor(t * 4) / 4 / {CLIP}) AS BIGINT) AS clip, count(*) FILTER (observed AND x > 490) AS n FROM frames GROUP BY 1, 2)
+SELECT seq, clip, 'ValueError(''' || n || ' places out of range'')' AS error FROM c WHERE n > 0""")
+def failed_clips(spark, sf_dir):
+    return _guarded_births(spark, sf_dir).failures
+
+
+@query()
+def surviving_births(spark, sf_dir):
+    return rounded(_guarded_births(spark, sf_dir).results, 3)
 
 
 # ---- geometry -----------------------------------------------------------------------------------
@@ -737,15 +809,25 @@ def streaming_sessions(spark, sf_dir):
     return online.drained(online.sessions(online.event_stream(spark, f"{sf_dir}/events.parquet"), "12 hours", "1 hour"), "sessions")
 
 
-@query()
-def streaming_births(spark, sf_dir):
-    """A step is a quarter day; files of the table may be in any order within its month."""
+def _births_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A step is a quarter day, a clip six days of a sequence; the watermark is a quarter day behind."""
     events = online.event_stream(spark, f"{sf_dir}/events.parquet")
     seen, day = F.col("event_type") != "error", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000.0)
     step = F.floor(day * 4) / 4
-    closes = F.timestamp_micros(((step + 0.25) * F.lit(86_400_000_000.0)).cast("long")).alias("closes")
-    stepped = events.select(F.floor(F.col("user_id") / 50).alias("seq"), step.alias("t"), closes, F.when(seen, F.col("value")).alias("x"), F.when(seen, F.get_json_object("props", "$.k").cast("double")).alias("y"))
-    return rounded(online.all_born(stepped, MOTION, "40 days"))
+    clip = F.floor(step / CLIP)
+    moment = lambda days: F.timestamp_micros((days * F.lit(86_400_000_000.0)).cast("long"))
+    times = [step.alias("t"), moment(step + 0.25).alias("closes"), moment((clip + 1) * CLIP).alias("ends")]
+    k = F.get_json_object("props", "$.k").cast("double")
+    place = [F.when(seen, c).alias(n) for n, c in (("x", F.col("value")), ("y", k), ("z", F.col("value") / 8))]
+    stepped = events.select(F.floor(F.col("user_id") / 50).alias("seq"), clip.alias("clip"), *times, *place)
+    return online.all_born(stepped, MOTION, "6 hours", by=("seq", "clip"))
+
+
+@query()
+def streaming_births(spark, sf_dir):
+    """Rows of all tracks; `streamed` tells those that left the stream itself from those still held when it ended."""
+    streamed, rest = _births_stream(spark, sf_dir)
+    return rounded(streamed.withColumn("streamed", F.lit(True)).unionByName(rest.withColumn("streamed", F.lit(False))), 3)
 
 
 from . import assembled, spaces  # noqa: E402,F401  the other registered queries
