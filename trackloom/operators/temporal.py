@@ -77,8 +77,8 @@ def gradient(frames: DataFrame, value: str = "x") -> DataFrame:
     return rows.select("track", "frame", F.coalesce(inner, left, right).alias("velocity"))
 
 
-def nearest_fill(frames: DataFrame, value: Column, known: Column) -> DataFrame:
-    """`value` of the nearest known frame by number of frames, the earlier of equals; 0 and "undefined" without any."""
+def nearest_fill(frames: DataFrame, value: Column, known: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`value` of the nearest known frame by number of frames, the earlier of equals; 0 and "undefined" without any. Columns in `keep` go along."""
     place = F.row_number().over(in_time())
     rows = frames.withColumn("place", place).withColumn("own", F.when(known, F.struct(F.col("place"), value.alias("v"))))
     before = F.last("own", ignorenulls=True).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
@@ -89,6 +89,7 @@ def nearest_fill(frames: DataFrame, value: Column, known: Column) -> DataFrame:
     return rows.select(
         "track",
         "frame",
+        *keep,
         F.coalesce(chosen["v"], F.lit(0.0)).alias("value"),
         F.when(F.col("own").isNotNull(), "own").when(chosen.isNull(), "undefined").otherwise("filled").alias("origin"),
     )

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import integrity
-from ..session import scratch
 
 
 def tracks(rows: DataFrame, path: str, by: str = "sequence_id") -> None:
@@ -26,12 +26,39 @@ def documents(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(path)
 
 
+def replace(rows: DataFrame, path: str, force: bool = False) -> None:
+    """Writes `rows` beside `path` and gives them its name when they are complete.
+
+    An existing path is refused unless `force`d; then the old table is renamed, the new one takes its name, and the old one is deleted. Whatever fails
+    before the last step, one of both is whole: a write that fails leaves the old table untouched, and if the new one cannot be
+    renamed the old one gets its name back. `rows` may read `path`. Renames are one step on HDFS and local disks; object stores copy.
+    """
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    mark = uuid.uuid4().hex
+    own, fresh, old = hadoop(path), hadoop(f"{path}.staged-{mark}"), hadoop(f"{path}.replaced-{mark}")
+    files = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(own)
+    if there and not force:
+        raise FileExistsError(f"{path} is there already: force its replacement")
+    try:
+        rows.write.parquet(fresh.toString())
+        if there and not files.rename(own, old):
+            raise OSError(f"{path} could not be renamed")
+        if not files.rename(fresh, own):
+            if there:
+                files.rename(old, own)
+            raise OSError(f"{fresh} could not be renamed")
+    except BaseException:
+        files.delete(fresh, True)
+        raise
+    if there:
+        files.delete(old, True)
+
+
 def restamp(spark: SparkSession, path: str, change) -> None:
-    """Replaces a table by a function of itself: the result goes to the shared folder first, since a
-    path that is being read cannot be overwritten."""
-    kept = scratch(spark, "restamp")
-    change(spark.read.parquet(path)).write.parquet(kept)
-    spark.read.parquet(kept).write.mode("overwrite").parquet(path)
+    """Replaces a table by a function of itself."""
+    replace(change(spark.read.parquet(path)), path, force=True)
 
 
 def quality_table(rows: DataFrame, path: str) -> None:
