@@ -295,6 +295,37 @@ def planted_credentials(n_labelled, n_plain, seed):
     return texts, secret, ordinary
 
 
+def labelled_values(texts):
+    out = {kind: set() for kind in secrets.KINDS[:3]}
+    for t in texts:
+        for kind, value in secrets._values(t, secrets.base_spans(t, True)):
+            out[kind].add(value)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("share", [0, 0.024, 0.05, 0.08, 0.12, 0.2, 0.3])
+def test_recall_holds_at_any_share_of_unlabelled_credentials(share):
+    """Four formats, and one of letters and digits: of the long tokens that nobody labelled a share are credentials."""
+    rng = random.Random(7)
+    texts = planted_credentials(500, 0, 1)[0]
+    _, hidden, usual = planted_credentials(0, 13_000, 11)
+    one = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    for known, secret in ((labelled_values(texts), lambda: hidden.pop()), ({"assign": [one() for _ in range(500)]}, one)):
+        n = 3_000
+        tokens = [secret() for _ in range(int(n * share))] + usual[: n - int(n * share)]
+        rng.shuffle(tokens)
+        formats = secrets.Formats(known | {"ordinary": tokens})
+        assert sum(formats.ratio(secret()) > formats.threshold for _ in range(300)) >= 270
+        assert sum(formats.ratio(x) > formats.threshold for x in usual[n : n + 4_000]) <= 8
+
+
+def test_words_as_passwords_do_not_make_words_credentials():
+    usual = planted_credentials(0, 2_500, 3)[2]
+    words = [x for x in usual if re.fullmatch("[a-z]+", x)]
+    formats = secrets.Formats({"assign": words[:300], "ordinary": usual[:3_000]})
+    assert sum(formats.ratio(x) > formats.threshold for x in usual[3_000:7_000]) <= 8
+
+
 def test_unlabelled_credentials_are_found(spark):
     """Recall of 0.9 at least for four formats, and at most one in 500 ordinary tokens taken for a credential; every
     verdict equals the plain definition of the score."""
