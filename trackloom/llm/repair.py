@@ -40,38 +40,19 @@ SHARD_TOKENS = 2_000_000
 LEAST_COUNT = 4
 #: A round takes all pairs at least 1 / ROUND_SHARE as frequent as the most frequent one.
 ROUND_SHARE = 8
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _MAGIC = b"RPAIR\x02\0\0"
 _HEAD = struct.Struct("<8sIIQIIIQ")  # magic, vocabulary, end id, documents, rules, bits a symbol, bytes a length, symbols
 MANIFEST = "part int, shard int, path string, documents long, tokens long, bytes long"
 
 
-def _numbered(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each key its number among the distinct keys that occur `least` times or more (-1: rarer), these keys and their exact counts."""
-    ordered = np.sort(keys)
-    first = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-    counts = np.diff(first, append=len(ordered))
-    often = counts >= least
-    known, counts = ordered[first[often]], counts[often]
-    if not len(known):
-        return np.full(len(keys), -1), known, counts
-    size = 1 << max(8, len(known).bit_length() + 2)
-    hashed = lambda k: ((k * _SPREAD) >> np.uint64(65 - size.bit_length())).view(np.int64)
-    slot, own = hashed(known), hashed(keys)
-    table = np.full(size, -1)  # one key a slot; those that share one are searched for
-    table[slot] = np.arange(len(known))
-    number = table.take(own, mode="clip")
-    other = np.flatnonzero(known.take(number, mode="wrap") != keys)
-    number[other] = -1
-    hidden = np.flatnonzero(table[slot] != np.arange(len(known)))
-    if len(hidden):
-        shared = np.zeros(size, dtype=bool)
-        shared[slot[hidden]] = True
-        other = other[shared[own[other]]]
-        place = np.minimum(np.searchsorted(known[hidden], keys[other]), len(hidden) - 1)
-        found = known[hidden[place]] == keys[other]
-        number[other[found]] = hidden[place[found]]
-    return number, known, counts
+def _grouped(keys: np.ndarray, places: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, with their places in order; keys and places are sorted as one number where both fit into 64 bits."""
+    width = int(places.max(initial=0)).bit_length()
+    if bits + width <= 64:
+        both = np.sort((keys << np.uint64(width)) | places.astype(np.uint64))
+        return both >> np.uint64(width), (both & np.uint64((1 << width) - 1)).astype(np.int64)
+    order = np.lexsort((places, keys))
+    return keys[order], places[order]
 
 
 def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share: int = ROUND_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,35 +61,68 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
     A round takes the pairs that occur at least 1 / `share` as often as the most frequent one. Where two
     of them overlap the more frequent one wins; a pair that keeps fewer than `least` places waits. Counts
     are exact: replacing takes the old pairs off, and the new pairs around a new symbol occur only there.
+
+    Symbols stay where they are and are linked to their neighbours. A pair comes up in one round alone, which lists
+    its places once; later some of them may hold another pair. So a round costs what it replaces, not the length of the shard.
     """
-    s, rules, made = np.append(ids, vocabulary).astype(np.uint32), [np.zeros(0, dtype=np.uint64)], 0
-    number = np.full(len(s), -1)  # of the pair that begins at a place
-    known, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-
-    def count(at: np.ndarray | slice, then: np.ndarray | slice) -> None:
-        """Numbers the pairs at places where pairs are new; a pair with an end counts as never."""
-        nonlocal known, counts
-        if len(s[at]):
-            own, keys, times = _numbered((s[at].astype(np.uint64) << np.uint64(32)) | s[then], least)
-            times[(keys >> np.uint64(32) == vocabulary) | (keys & np.uint64(0xFFFFFFFF) == vocabulary)] = 0
-            number[at] = np.where(own >= 0, own + len(known), -1) if len(known) else own
-            known, counts = np.concatenate([known, keys]), np.concatenate([counts, times])
-
-    count(slice(0, -1), slice(1, None))
+    n = len(ids)
+    s = np.append(ids, vocabulary).astype(np.uint32)  # one more end, which begins no pair
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    pair = np.full(n + 1, -1, dtype=np.int32)  # number of the pair that begins at a place
+    dead, marked = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
+    rules, made = [np.zeros(0, dtype=np.uint64)], 0
+    known, counts, start, size = np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in range(3))
+    places: list[np.ndarray] = []  # of the pairs of each round; start counts through all of them
+    listed, shift = 0, np.uint64(32)
+
+    def count(at: np.ndarray) -> None:
+        """Lists the pairs that begin at places where pairs are new; a pair with an end counts as never."""
+        nonlocal known, counts, start, size, listed
+        bits = int(vocabulary + made).bit_length()
+        low = np.uint64(bits)
+        keys, own = _grouped((s[at].astype(np.uint64) << low) | s[after[at]], at, 2 * bits)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        times = np.diff(first, append=len(keys))
+        often = times >= least
+        first, times = first[often], times[often]
+        left, right = keys[first] >> low, keys[first] & np.uint64((1 << bits) - 1)
+        inner = (left != vocabulary) & (right != vocabulary)
+        first, times, left, right = first[inner], times[inner], left[inner], right[inner]
+        own = own[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        pair[own] = np.repeat(np.arange(len(known), len(known) + len(times), dtype=np.int32), times)
+        start, size = np.concatenate([start, listed + np.cumsum(times) - times]), np.concatenate([size, times])
+        known, counts = np.concatenate([known, (left << shift) | right]), np.concatenate([counts, times])
+        places.append(own.astype(np.int32))
+        listed += len(own)
+
+    def listed_at(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs in order, and which of the pairs begins there."""
+        by_list = np.searchsorted(ends, start[chosen], side="right")
+        at, own = [], []
+        for k in np.unique(by_list).tolist():
+            some = np.flatnonzero(by_list == k)
+            times = size[chosen[some]]
+            offset = start[chosen[some]] - (ends[k] - len(places[k]))
+            at.append(places[k][np.repeat(offset - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))])
+            own.append(np.repeat(some, times))
+        at, own = np.concatenate(at), np.concatenate(own)
+        holds = pair[at] == chosen[own]
+        own, at = _grouped_by_place(at[holds], own[holds], len(chosen))
+        return at, own
+
+    count(np.arange(n))
     while len(counts) and (most := int(counts.max())) >= least:
         chosen = np.flatnonzero(counts >= max(least, most // share))
         chosen = chosen[np.lexsort((known[chosen], -counts[chosen]))]
-        rank = np.full(len(known) + 1, -1)
-        rank[chosen] = np.arange(len(chosen))
-        at = np.flatnonzero((rank >= 0).take(number, mode="wrap"))
-        own = rank[number[at]]
-        touch = np.flatnonzero(at[1:] == at[:-1] + 1)
+        ends = np.cumsum([len(x) for x in places])
+        at, own = listed_at(chosen)
+        touch = np.flatnonzero(at[1:] == after[at[:-1]])
         left, right = np.full(len(at), len(chosen)), np.full(len(at), len(chosen))
         left[touch + 1], right[touch] = own[touch], own[touch + 1]
         win, tie = (own <= left) & (own <= right), own == left
         if tie.any():  # of a row of equal ids every second pair is real
-            places = np.arange(len(at))
-            real = (places - np.maximum.accumulate(np.where(tie, 0, places))) % 2 == 0
+            row = np.arange(len(at))
+            real = (row - np.maximum.accumulate(np.where(tie, 0, row))) % 2 == 0
             win &= real
             counts[chosen[np.bincount(own[real], minlength=len(chosen)) < least]] = 0
         good = np.bincount(own[win], minlength=len(chosen)) >= least
@@ -116,24 +130,33 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
         at, own = at[win], own[win]
         if not len(at):
             continue
-        old = np.zeros(len(s), dtype=bool)
-        old[at], old[at + 1], old[at - 1] = True, True, True  # place -1 is the last one, which begins no pair
-        gone = number[old]
-        counts -= np.bincount(gone[gone >= 0], minlength=len(counts))
-        number[old] = -1
+        second = after[at]
+        for gone_from in (second, at, before[at[before[at] >= 0]]):  # pairs that end with this round; one place may come twice
+            gone = pair[gone_from]
+            pair[gone_from] = -1
+            counts -= np.bincount(gone[gone >= 0], minlength=len(counts))
         s[at] = (vocabulary + made + np.cumsum(good))[own]
-        stays = np.ones(len(s), dtype=bool)
-        stays[at + 1] = False
-        s, number = s[stays], number[stays]
+        dead[second] = True
+        follow = after[second]
+        after[at] = follow
+        before[follow] = at
         rules.append(known[chosen[good]])
         made += int(good.sum())
-        at = at - np.arange(len(at))
-        fresh = np.zeros(len(s), dtype=bool)
-        fresh[at], fresh[at - 1] = True, True
-        at = np.flatnonzero(fresh[:-1])
-        count(at, at + 1)
+        marked[at] = True
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        fresh = np.concatenate([at, ahead[~marked[ahead]]])
+        marked[at] = False
+        count(fresh)
     keys = np.concatenate(rules)
-    return s[:-1], np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    return s[:-1][~dead[:-1]], np.stack([keys >> shift, keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+
+
+def _grouped_by_place(at: np.ndarray, own: np.ndarray, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, where) in order of the places."""
+    bits = pairs.bit_length()
+    both = np.sort((at.astype(np.int64) << bits) | own)
+    return both & ((1 << bits) - 1), both >> bits
 
 
 def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
