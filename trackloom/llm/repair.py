@@ -45,14 +45,27 @@ _HEAD = struct.Struct("<8sIIQIIIQ")  # magic, vocabulary, end id, documents, rul
 MANIFEST = "part int, shard int, path string, documents long, tokens long, bytes long"
 
 
-def _grouped(keys: np.ndarray, places: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order, with their places in order; keys and places are sorted as one number where both fit into 64 bits."""
-    width = int(places.max(initial=0)).bit_length()
-    if bits + width <= 64:
-        both = np.sort((keys << np.uint64(width)) | places.astype(np.uint64))
-        return both >> np.uint64(width), (both & np.uint64((1 << width) - 1)).astype(np.int64)
-    order = np.lexsort((places, keys))
-    return keys[order], places[order]
+def _groups(keys: np.ndarray, places: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that occur `least` times or more in order, how often they do, and their places one after the other, in order.
+
+    Keys (of so many bits) and places are sorted as one number where both fit into 64 bits."""
+    width = int(places[-1] if len(places) else 0).bit_length()
+    if bits + width > 64:
+        order = np.argsort(keys, kind="stable")
+        keys, own = keys[order], places[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        pick = lambda at: own[at]
+    else:
+        keys <<= np.uint64(width)
+        keys |= places.astype(np.uint64)
+        keys.sort()
+        first = np.concatenate([[0], 1 + np.flatnonzero((keys[1:] ^ keys[:-1]) >> np.uint64(width))]) if len(keys) else np.zeros(0, dtype=np.int64)
+        pick = lambda at: (keys[at] & np.uint64((1 << width) - 1)).astype(np.int32)
+    times = np.diff(first, append=len(keys))
+    often = times >= least
+    first, times = first[often], times[often]
+    found = keys[first] if bits + width > 64 else keys[first] >> np.uint64(width)
+    return found, times, pick(np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum())))
 
 
 def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share: int = ROUND_SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +79,8 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
     its places once; later some of them may hold another pair. So a round costs what it replaces, not the length of the shard.
     """
     n = len(ids)
-    s = np.append(ids, vocabulary).astype(np.uint32)  # one more end, which begins no pair
+    s = np.full(n + 1, vocabulary, dtype=np.uint32)  # one more end, which begins no pair
+    s[:-1] = ids
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     pair = np.full(n + 1, -1, dtype=np.int32)  # number of the pair that begins at a place
     dead, marked = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
@@ -80,24 +94,20 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
         nonlocal known, counts, start, size, listed
         bits = int(vocabulary + made).bit_length()
         low = np.uint64(bits)
-        keys, own = _grouped((s[at].astype(np.uint64) << low) | s[after[at]], at, 2 * bits)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        times = np.diff(first, append=len(keys))
-        often = times >= least
-        first, times = first[often], times[often]
-        left, right = keys[first] >> low, keys[first] & np.uint64((1 << bits) - 1)
-        inner = (left != vocabulary) & (right != vocabulary)
-        first, times, left, right = first[inner], times[inner], left[inner], right[inner]
-        own = own[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        key = (s[at] if made else s[:-1]).astype(np.uint64)
+        key <<= low
+        key |= s[after[at]] if made else s[1:]
+        key, times, own = _groups(key, at, 2 * bits, least)
+        left, right = key >> low, key & np.uint64((1 << bits) - 1)
         pair[own] = np.repeat(np.arange(len(known), len(known) + len(times), dtype=np.int32), times)
         start, size = np.concatenate([start, listed + np.cumsum(times) - times]), np.concatenate([size, times])
-        known, counts = np.concatenate([known, (left << shift) | right]), np.concatenate([counts, times])
-        places.append(own.astype(np.int32))
+        known, counts = np.concatenate([known, (left << shift) | right]), np.concatenate([counts, np.where((left == vocabulary) | (right == vocabulary), 0, times)])
+        places.append(own)
         listed += len(own)
 
     def listed_at(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of pairs in order, and which of the pairs begins there."""
-        by_list = np.searchsorted(ends, start[chosen], side="right")
+        by_list = np.searchsorted(ends, start[chosen], side="right")  # which round listed them
         at, own = [], []
         for k in np.unique(by_list).tolist():
             some = np.flatnonzero(by_list == k)
@@ -110,7 +120,7 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
         own, at = _grouped_by_place(at[holds], own[holds], len(chosen))
         return at, own
 
-    count(np.arange(n))
+    count(np.arange(n, dtype=np.int32))
     while len(counts) and (most := int(counts.max())) >= least:
         chosen = np.flatnonzero(counts >= max(least, most // share))
         chosen = chosen[np.lexsort((known[chosen], -counts[chosen]))]
@@ -147,6 +157,7 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST_COUNT, share:
         ahead = ahead[ahead >= 0]
         fresh = np.concatenate([at, ahead[~marked[ahead]]])
         marked[at] = False
+        fresh.sort(kind="stable")  # two sorted runs
         count(fresh)
     keys = np.concatenate(rules)
     return s[:-1][~dead[:-1]], np.stack([keys >> shift, keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
