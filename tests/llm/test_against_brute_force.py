@@ -1,6 +1,8 @@
 """Operators against plain versions of what they promise, on the smallest tables."""
 
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.oracle import assert_equal, duck
-from trackloom.llm import automata, chat, components, decontaminate, packing, quality, queries, repair, secrets, simhash, tokens, toxicity, urls, warc
+from trackloom.llm import automata, chat, components, decontaminate, packing, quality, queries, repair, secrets, simhash, tokens, toxicity, urls, warc, wordhash
 from trackloom.llm.common import table
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,6 +70,33 @@ def test_quality_base_counts(spark, sf, texts):
         assert r["base_failed"] == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_scores_equal_plain_counting(spark, sf, texts):
+    """Every n-gram hashed alone, counted in dictionaries, and averaged by document."""
+    n, full = quality.BUCKETS, (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    def hashed(values):
+        return mixed((sum(v * pow(wordhash._MULT, i, 1 << 64) for i, v in enumerate(values)) + len(values) * 0xD6E8FEB86659FD93) & full)
+
+    byte = [int(x) for x in wordhash._BYTE]
+    word = functools.cache(lambda w: hashed([byte[b] for b in w.encode()]))
+    grams = {}
+    for i, t in texts.items():
+        own = [word(w) for w in SPACE.findall(t)]
+        grams[i] = [mixed(h ^ 0x5851F42D4C957F2D) % n for h in own] + [hashed(pair) % n for pair in zip(own, own[1:], strict=False)]
+    good = {r["doc_id"] for r in table(spark, sf, "labels").where("quality = 1").collect()}
+    raw, target = Counter(g for own in grams.values() for g in own), Counter(g for i, own in grams.items() if i in good for g in own)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    ratio = {g: math.log((target[g] + 1) / (n_target + n)) - math.log((raw[g] + 1) / (n_raw + n)) for g in raw}
+    want = {i: sum(ratio[g] for g in own) / max(len(own), 1) for i, own in grams.items()}
+    got = {r["doc_id"]: r["llr"] for r in queries.op1_quality_rules(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want) and n_target > 1_000
+
+
 def test_quality_keeps_good_and_drops_bad(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op1_quality_rules(spark, sf).where("not base_failed").join(table(spark, sf, "labels"), "doc_id")
