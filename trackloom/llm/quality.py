@@ -88,7 +88,7 @@ def ngram_counts(docs: DataFrame, target_ids: DataFrame | np.ndarray, n: int = B
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = target_ids.select("doc_id", F.lit(True).alias("good"))  # a written table: Spark knows its size and sends it to the tasks only while it is small
+    known = target_ids.select("doc_id", F.lit(True).alias("good")).hint("merge")  # grows with the input: never sent whole to tasks, and one plan at every size
     marked = rows.join(known, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     parts = marked.mapInArrow(count, "bucket long, raw long, target long")
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
