@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .catalog import METRICS_SQL, _quality, query, rounded
 from .functions.time import sequence_key
-from .operators import actions, assembly, quality, splits, stitching, temporal
+from .operators import actions, assembly, blocks, quality, splits, stitching, temporal
 from .plans.adapters import FRAMES_SQL, SENSORS_SQL, frames, sensors, table
-from .sources import documents
+from .session import written
+from .sources import documents, index
 
 # ---- actions and samples ------------------------------------------------------------------------
 
@@ -70,8 +71,9 @@ samples AS (SELECT seq, track, "window", kind, horizon, start, "end", intent_own
 
 
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir)
-    records = _actions(rows).withColumn("missing", F.col("track") % 17 == 3)
+    """Every seventeenth track has no action record."""
+    rows = written(frames(spark, sf_dir), "frames")
+    records = actions.with_actions(rows.select("seq", "track").distinct(), _actions(rows).where("track % 17 <> 3"))
     return assembly.assemble(rows, records, sensors(spark, sf_dir), F.expr(ROAD), (F.expr(EGO[0]), F.expr(EGO[1])), F.col("track") % 11 != 5, CONFIG)
 
 
@@ -91,6 +93,65 @@ def sample_summary(spark, sf_dir):
     return assembly.summary(assembly.samples(_assembled(spark, sf_dir)))
 
 
+# ---- blocks of samples -------------------------------------------------------------------------
+
+#: The vehicle at a moment: it drives along x and turns by a tenth of a radian a day.
+_POSE = "array(cos(start / 10), -sin(start / 10), 0D, 40D + start / 1000, sin(start / 10), cos(start / 10), 0D, 50D, 0D, 0D, 1D, 0D, 0D, 0D, 0D, 1D)"
+SAMPLED_SQL = f"""{ASSEMBLED_SQL}, s AS (SELECT seq || '_' || track || '_' || "window" AS sample_id, seq, track, start, "end" FROM samples WHERE reason IS NULL)"""
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(assembly.samples(_assembled(spark, sf_dir)).select("sample_id", "seq", "track", "start", "end"), "samples")
+
+
+@query(f"""WITH {SAMPLED_SQL} SELECT sample_id, f.frame, round(f.t, 6) AS t, f.t <= s."end" + 0.0001 AS observed_part, round(f.x, 4) AS x, round(f."y", 4) AS y,
+  round(cos(start / 10) * (f.x - 40 - start / 1000) + sin(start / 10) * (f."y" - 50), 4) AS ego_x, round(-sin(start / 10) * (f.x - 40 - start / 1000) + cos(start / 10) * (f."y" - 50), 4) AS ego_y
+FROM s JOIN frames f ON f.track = s.track AND f.t >= start - 0.0001 AND f.t <= s."end" + 2.0001""")
+def sample_trajectories(spark, sf_dir):
+    """Frames of the trajectory blocks, one a row; `observed_part` tells input from target."""
+    own = _sampled(spark, sf_dir)
+    block = blocks.trajectory(own, frames(spark, sf_dir), own.select("sample_id", F.expr(_POSE).alias("pose")), ahead=2.0)
+    rows = blocks.assembled(own, block).select("sample_id", "end", F.explode("frames").alias("f"))
+    at = lambda c, i: F.round(F.col(f"f.{c}")[i], 4)
+    return rows.select("sample_id", "f.frame", F.round("f.ts", 6).alias("t"), (F.col("f.ts") <= F.col("end") + 0.0001).alias("observed_part"), at("position", 0).alias("x"), at("position", 1).alias("y"), at("position_ego_rel", 0).alias("ego_x"), at("position_ego_rel", 1).alias("ego_y"))
+
+
+@query(f"""WITH {SAMPLED_SQL}, around AS (SELECT sample_id, f.frame, f.kind, f.t, f.track = s.track AND f.observed AS boxed, f.x FROM s JOIN frames f ON f.seq = s.seq AND f.kind IN ('view', 'click', 'purchase') AND f.t >= start - 0.0001 AND f.t <= s."end" + 0.0001)
+SELECT s.sample_id, count(n.frame) FILTER (kind = 'view') AS n_lidar, count(n.frame) FILTER (kind <> 'view') AS n_camera, count(n.frame) FILTER (kind <> 'view' AND boxed) AS n_boxes,
+  arg_min(n.frame::VARCHAR || '.jpg', (n.t, n.frame)) FILTER (kind <> 'view') AS first_image, round(sum(x - 5) FILTER (kind <> 'view' AND boxed), 4) AS left_edges FROM s LEFT JOIN around n USING (sample_id) GROUP BY s.sample_id""")
+def sample_media(spark, sf_dir):
+    """Images and scans of each sample; a track's box is known in the images that are events of its own."""
+    rows = frames(spark, sf_dir)
+    path = F.concat(F.col("frame").cast("string"), F.when(F.col("kind") == "view", ".npy").otherwise(".jpg"))
+    records = rows.where("kind in ('view', 'click', 'purchase')").select("seq", "t", F.when(F.col("kind") == "view", "lidar").otherwise("camera").alias("sensor"), path.alias("path"))
+    boxed = rows.where("observed and kind in ('click', 'purchase')").select("track", "t", F.array(F.col("x") - 5, F.col("y"), F.col("x") + 5, F.col("y") + 20).alias("bbox")).dropDuplicates(["track", "t"])
+    own = blocks.media(_sampled(spark, sf_dir), records, boxed)
+    seen = F.filter(index.boxes(F.col("camera_frames")), lambda b: b.isNotNull())
+    edges = F.aggregate(seen, F.lit(0.0), lambda a, b: a + b[0])
+    return own.select("sample_id", F.size("lidar_scans").cast("long").alias("n_lidar"), F.size("camera_frames").cast("long").alias("n_camera"), F.size(seen).cast("long").alias("n_boxes"), F.get("camera_frames", F.lit(0))["path"].alias("first_image"), F.when(F.size(seen) > 0, F.round(edges, 4)).alias("left_edges"))
+
+
+@query(f"""WITH {SAMPLED_SQL}, speed AS (SELECT seq, t, any_value(points) AS value FROM (SELECT * FROM frames WHERE kind = 'view' QUALIFY count(*) OVER (PARTITION BY seq, t) = 1) GROUP BY seq, t),
+sb AS (SELECT s.*, v.t AS bt, v.value AS bv FROM s ASOF LEFT JOIN speed v ON s.seq = v.seq AND s.start >= v.t), sa AS (SELECT sb.*, v.t AS nt, v.value AS nv FROM sb ASOF LEFT JOIN speed v ON sb.seq = v.seq AND sb.start < v.t),
+scene AS (SELECT seq, count(DISTINCT track) AS n FROM frames GROUP BY seq), foremost AS (SELECT seq, track FROM (SELECT seq, track, min({ROAD}) AS d FROM frames GROUP BY seq, track) QUALIFY row_number() OVER (PARTITION BY seq ORDER BY d, track) = 1)
+SELECT sample_id, CASE WHEN bt IS NULL THEN nv WHEN nt IS NULL OR start - bt <= nt - start THEN bv ELSE nv END AS ego_speed, n AS num_pedestrians_in_scene, coalesce(sa.track = c.track, false) AS is_key_pedestrian, s_name AS location
+FROM sa LEFT JOIN scene USING (seq) LEFT JOIN foremost c ON c.seq = sa.seq LEFT JOIN supplier ON s_suppkey = sa.seq""")
+def sample_context(spark, sf_dir):
+    """The signal nearest to the window's start, and what is known of the sequence."""
+    rows, own = frames(spark, sf_dir), _sampled(spark, sf_dir)
+    single = rows.where("kind = 'view'").groupBy("seq", "t").agg(F.count("*").alias("n"), F.first("points").alias("value")).where("n = 1")
+    places = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_name").alias("location"))
+    found = blocks.assembled(own, blocks.context(own, {"ego_speed": single}), blocks.metadata(own, rows, F.expr(ROAD), places))
+    return found.select("sample_id", "ego_speed", "num_pedestrians_in_scene", "is_key_pedestrian", "location")
+
+
+@query(f"WITH {ACTIONS_SQL} SELECT seq, track, status, crosses FROM actions WHERE track IN (SELECT track FROM frames WHERE kind = 'purchase')")
+def rendered_actions(spark, sf_dir):
+    """Records of the tracks with a purchase only."""
+    rows = frames(spark, sf_dir)
+    return actions.only_for(_actions(rows), rows.where("kind = 'purchase'")).select("seq", "track", "status", "crosses")
+
+
 # ---- reports on tracks --------------------------------------------------------------------------
 
 PATHS_SQL = f"""{METRICS_SQL},

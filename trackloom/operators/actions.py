@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .quality import measured
 
 
-def real_observations() -> Column:
-    """Number of real measurements: observed, and no anchor."""
-    return F.count_if(measured())
+def real_observations(frames: DataFrame) -> Column:
+    """Number of real measurements: observed, and found by a pass forward or backward, so no anchor. Frames without a column `method` tell by their point count."""
+    return F.count_if(F.col("observed") & F.col("method").isin("forward", "backward") if "method" in frames.columns else measured())
 
 
 def label_actions(frames: DataFrame, on_road: Column, road_known: Column) -> DataFrame:
@@ -22,7 +22,7 @@ def label_actions(frames: DataFrame, on_road: Column, road_known: Column) -> Dat
     hit = F.coalesce(on_road & road_known, F.lit(False))
     first = F.min_by(F.struct("t", "observed"), F.when(hit, F.struct("t", "frame")))
     own = frames.groupBy("seq", "track").agg(
-        F.count("*").alias("n_frames"), real_observations().alias("n_real"), F.count_if(hit).alias("road_frames"), F.max(F.coalesce(road_known, F.lit(False))).alias("known"), first.alias("first"), F.min("t").alias("t0"), F.max("t").alias("t1")
+        F.count("*").alias("n_frames"), real_observations(frames).alias("n_real"), F.count_if(hit).alias("road_frames"), F.max(F.coalesce(road_known, F.lit(False))).alias("known"), first.alias("first"), F.min("t").alias("t0"), F.max("t").alias("t1")
     )
     determined, crosses = F.col("n_real") > 0, F.col("road_frames") > 0
     judged = determined & F.col("known")
@@ -51,3 +51,8 @@ def summary(actions: DataFrame) -> DataFrame:
 def with_actions(tracks: DataFrame, actions: DataFrame) -> DataFrame:
     """The tracks (seq, track, ...) with their action records; `missing` marks those that have none."""
     return tracks.join(actions.withColumn("_known", F.lit(True)), ["seq", "track"], "left").withColumn("missing", F.col("_known").isNull()).drop("_known")
+
+
+def only_for(actions: DataFrame, tracks: DataFrame) -> DataFrame:
+    """The action records of the tracks that are wanted (seq, track), each record once."""
+    return actions.join(tracks.select("seq", "track"), ["seq", "track"], "left_semi")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import windows
 from .temporal import neighbours, observed_fraction
 
@@ -63,10 +64,11 @@ def assemble(frames: DataFrame, actions: DataFrame, records: DataFrame, road: Co
     `road` is the distance to the road of a place (x, y), `ego` the vehicle's place at `mid`, `road_points` whether the
     sequence has points on the road, `actions` the tracks' records with `missing` where a track has none.
     """
-    judged = actions.withColumn("reason", track_gate(actions, F.coalesce(road_points, F.lit(False))))
+    judged = written(actions.withColumn("reason", track_gate(actions, F.coalesce(road_points, F.lit(False)))), "judged-tracks")
     passing = judged.where("reason is null").drop("reason")
-    rows = frames.join(passing.select("track"), "track", "left_semi")
+    rows = written(frames.join(passing.select("track"), "track", "left_semi"), "passing-frames")
     proposed = windows.propose(rows, passing, road, config.horizons, config.length, config.observed).withColumn("window", F.floor(F.col("start") * 1000 + 0.5))
+    proposed = written(proposed, "proposals")  # read four times below
     good = proposed.where("skip_reason is null").join(passing.select("track", "seq"), "track").withColumn("mid", (F.col("start") + F.col("end")) / 2)
     places = places_at(good.select("track", F.col("window").alias("frame"), F.col("mid").alias("t")), rows).withColumnRenamed("frame", "window")
     counts = sensors_in_windows(good, records)

@@ -61,6 +61,13 @@ def restamp(spark: SparkSession, path: str, change) -> None:
     replace(change(spark.read.parquet(path)), path, force=True)
 
 
+def detections(images: DataFrame, path: str, by: str = "sequence_id") -> None:
+    """The cache of detections (sequence_id, image, boxes: array of x1, y1, x2, y2, score; empty where nothing was found, so that the image is
+    not asked for again): Parquet by sequence, only sequences that occur in `images` are replaced. `documents.detections` reads maps of the same boxes."""
+    flat = images.withColumn("boxes", F.transform("boxes", lambda b: F.array(b["x1"], b["y1"], b["x2"], b["y2"], b["score"])))
+    tracks(flat.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("image", "boxes")))).alias("images")), path, by)
+
+
 def quality_table(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).mode("overwrite").csv(path)
 

@@ -31,9 +31,25 @@ def sample_id(sequence: Column, pedestrian: Column, start_us: Column) -> Column:
     return F.concat_ws("_", sequence, pedestrian, F.floor(start_us / 1000 + 0.5).cast("string"))
 
 
-def positions(frames: Column, end: Column, part: str = "observed") -> Column:
-    """Positions of one part of a sample as rows of three floats; by default nothing after the window."""
-    return F.transform(select_part(frames, end, part), lambda f: F.transform(f["position"], lambda v: v.cast("float")))
+def positions(frames: Column, end: Column, part: str = "observed", seen_from: str = "world") -> Column:
+    """Positions of one part of a sample as rows of three floats, in the world or (`ego`) as the vehicle sees them; by default nothing after the window."""
+    place = {"world": "position", "ego": "position_ego_rel"}[seen_from]
+    return F.transform(select_part(frames, end, part), lambda f: F.transform(f[place], lambda v: v.cast("float")))
+
+
+def frame_times(frames: Column, end: Column, part: str = "observed") -> Column:
+    """Times of the same frames as `positions` gives."""
+    return F.transform(select_part(frames, end, part), lambda f: f["ts"])
+
+
+def boxes(camera_frames: Column) -> Column:
+    """The track's box in every image of the window, null where it is out of sight (and never zeros, which would claim a place)."""
+    return F.transform(camera_frames, lambda f: f["bbox"])
+
+
+def window_bounds(samples: DataFrame) -> DataFrame:
+    """sample_id, start and end of the observed window in seconds."""
+    return samples.select("sample_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
 
 
 def media_paths(root: str, names: Column) -> Column:
