@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..session import written
 
 
 def nearest_record(moments: DataFrame, records: DataFrame, key: str) -> DataFrame:
@@ -32,6 +33,26 @@ def project(points: DataFrame, world: Column, shift: tuple[float, float, float],
     return seen.withColumn("shown", G.visible(F.col("u"), F.col("v"), F.col("depth"), width, height)).drop("px", "py")
 
 
+def pixels(points: DataFrame, camera: Column, lens: dict, width: int, height: int) -> DataFrame:
+    """Points (x, y, z) with u, v, depth through a camera <- point transform, and `shown`.
+
+    Two written steps: a filter or an aggregate on the pixel would otherwise write the camera's formula out once for each use."""
+    placed = written(points.withColumns(dict(zip(("px", "py", "depth"), G.transform(camera, F.col("x"), F.col("y"), F.col("z")), strict=True))), "camera-points")
+    u, v = G.fisheye(F.col("px"), F.col("py"), F.col("depth"), **lens)
+    seen = written(placed.withColumns({"u": u, "v": v}).drop("px", "py"), "pixels")
+    return seen.withColumn("shown", G.visible(F.col("u"), F.col("v"), F.col("depth"), width, height))
+
+
+def boxes_in_image(boxes: DataFrame, key: str, camera: Column, lens: dict, width: int, height: int) -> DataFrame:
+    """For each box (key, corners: array of points) n_visible and the range x1, y1, x2, y2 in tenths of pixels of the corners that the image shows, clipped
+    to it; null where it shows none. Corners are rows, so each is projected once."""
+    corners = boxes.select(key, F.explode("corners").alias("c")).select(key, "c.x", "c.y", "c.z")
+    seen = pixels(corners, camera, lens, width, height).where("shown").groupBy(key)
+    clipped = lambda c, most: F.round(F.greatest(F.lit(0.0), F.least(c, F.lit(float(most - 1)))), 1)
+    own = seen.agg(F.count("*").cast("int").alias("n_visible"), clipped(F.min("u"), width).alias("x1"), clipped(F.min("v"), height).alias("y1"), clipped(F.max("u"), width).alias("x2"), clipped(F.max("v"), height).alias("y2"))
+    return boxes.select(key).join(own, key, "left").withColumn("n_visible", F.coalesce("n_visible", F.lit(0)))
+
+
 def stride_sample(points: DataFrame, key: str, order: list[str], cap: int) -> DataFrame:
     """Every k-th point of a key in order, with the smallest k that leaves at most `cap`: a sampling operator."""
     own = Window.partitionBy(key)
@@ -47,8 +68,8 @@ def seeded_sample(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFra
 
 def road_surface(points: DataFrame, camera: Column, world: Column, lens: dict, ring, width: int, height: int, key: str, order: list[str], cap: int = 60_000) -> DataFrame:
     """Points whose pixel falls into the road polygon, thinned by stride, in the world's frame: key, order columns, x, y, z."""
-    pixel = points.withColumn("pixel", G.to_pixel(camera, F.col("x"), F.col("y"), F.col("z"), lens, width, height))
-    on_road = pixel.where(G.inside(F.col("pixel.u"), F.col("pixel.v"), ring)).drop("pixel")
+    seen = pixels(points, camera, lens, width, height)
+    on_road = seen.where(F.col("shown") & G.inside(F.col("u"), F.col("v"), ring)).drop("u", "v", "depth", "shown")
     x, y, z = G.transform(world, F.col("x"), F.col("y"), F.col("z"))
     return stride_sample(on_road, key, order, cap).select(key, *order, x.alias("x"), y.alias("y"), z.alias("z"))
 

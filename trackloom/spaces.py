@@ -86,8 +86,7 @@ g AS (SELECT vec_id, count(*) AS n, min(u) AS x1, min(v) AS y1, max(u) AS x2, ma
 SELECT p.vec_id, CAST(coalesce(n, 0) AS INT) AS n_visible, {", ".join(f"round(greatest(0, least({c}, {m})), 1) AS {c}" for c, m in (("x1", 1919), ("y1", 1079), ("x2", 1919), ("y2", 1079)))} FROM points p LEFT JOIN g USING (vec_id)""".replace("{a}", "o"))
 def box_in_image(spark, sf_dir):
     box = G.corners(F.col("x"), F.col("y"), F.col("z"), F.lit(4.0), F.lit(2.0), F.lit(1.0), F.col("z"))
-    rows = points(spark, sf_dir).withColumn("b", G.box_in_image(box, _camera(), LENS, 1920, 1080))
-    return rows.select("vec_id", "b.n_visible", "b.box.x1", "b.box.y1", "b.box.x2", "b.box.y2")
+    return surfaces.boxes_in_image(points(spark, sf_dir).select("vec_id", box.alias("corners")), "vec_id", _camera(), LENS, 1920, 1080)
 
 
 _HEADING = [(1, 1), (1, -1), (-1, -1), (-1, 1)]
