@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalog import METRICS_SQL, _quality, query, rounded
 from .functions.time import sequence_key
-from .operators import actions, assembly, blocks, quality, splits, stitching, temporal
-from .plans.adapters import FRAMES_SQL, SENSORS_SQL, frames, sensors, table
+from .operators import actions, assembly, blocks, poses, quality, splits, stats, stitching, temporal
+from .plans.adapters import FRAMES_SQL, SAMPLES_SQL, SENSORS_SQL, frames, samples, sensors, table
 from .session import written
 from .sources import documents, index
 
@@ -262,3 +262,68 @@ def frame_schedule(spark, sf_dir):
     middle = rows.groupBy("track").agg(((F.min("t") + F.max("t")) / 2).alias("moment"))
     scans = rows.where("kind = 'view'").join(middle, "track").where(F.abs(F.col("t") - F.col("moment")) <= 5)
     return temporal.asof_nearest(scans, rows.where("kind = 'click'"), F.col("frame")).select("track", "frame", F.col("match_value").alias("image"))
+
+
+# ---- what bundles and renderers say -------------------------------------------------------------
+
+
+@query(f"""WITH {SAMPLES_SQL}, h AS (SELECT s.*, v.horizon, v.hit FROM samples s, LATERAL (VALUES ('1.0', h1_0), ('1.5', h1_5), ('2.0', h2_0)) v(horizon, hit))
+SELECT horizon, CAST(GROUPING_ID(tier, split) AS INT) AS level, tier, split, count(*) AS samples, count(DISTINCT (seq, pedestrian)) AS pedestrians, count(DISTINCT seq) AS sequences,
+  count(*) FILTER (hit) AS crossers, round(avg(hit::INT), 6) AS crossing_ratio FROM h GROUP BY GROUPING SETS ((horizon, tier, split), (horizon, tier), (horizon))
+HAVING GROUPING_ID(tier, split) > 0 OR split IS NOT NULL""")
+def composition_at_horizons(spark, sf_dir):
+    return rounded(stats.composition_at(samples(spark, sf_dir)))
+
+
+@query(f"""WITH {ASSEMBLED_SQL}, counted AS (SELECT reason, count(*) AS n FROM (SELECT reason FROM judged UNION ALL SELECT reason FROM proposed UNION ALL SELECT reason FROM samples) WHERE reason IS NOT NULL GROUP BY reason)
+SELECT reason, n, round(n / sum(n) OVER (), 6) AS share FROM counted""")
+def skip_shares(spark, sf_dir):
+    """Every reason for which a track or window gave no sample, with its share of all of them."""
+    return rounded(stats.shares(assembly.skips(_assembled(spark, sf_dir))))
+
+
+EGO_SQL = f"""{FRAMES_SQL},
+poses AS (SELECT seq, t, min(x) AS x, min("y") AS py, min(x) / 20 AS turn FROM frames WHERE track % 50 = 0 GROUP BY seq, t),
+keyframes AS (SELECT seq, (min(t) + max(t)) / 2 AS t FROM frames GROUP BY seq),
+pb AS (SELECT k.*, p.t AS t0, p.x AS x0, p.py AS y0, p.turn AS a0 FROM keyframes k ASOF LEFT JOIN poses p ON k.seq = p.seq AND k.t >= p.t),
+pa AS (SELECT pb.*, p.t AS t1, p.x AS x1, p.py AS y1, p.turn AS a1 FROM pb ASOF LEFT JOIN poses p ON pb.seq = p.seq AND pb.t < p.t),
+near AS (SELECT seq, t, CASE WHEN t0 IS NULL OR t1 IS NULL THEN 0.0 ELSE (t - t0) / (t1 - t0) END AS share, coalesce(x0, x1) AS x0, coalesce(x1, x0) AS x1, coalesce(y0, y1) AS y0, coalesce(y1, y0) AS y1,
+  coalesce(a0, a1) AS a0, coalesce(a1, a0) AS a1 FROM pa WHERE t0 IS NOT NULL OR t1 IS NOT NULL),
+ego AS (SELECT seq, t, x, py, turn, false AS keyframe FROM poses
+  UNION ALL SELECT seq, t, x0 + share * (x1 - x0), y0 + share * (y1 - y0), a0 + share * atan2(sin(a1 - a0), cos(a1 - a0)), true FROM near)"""
+
+
+def _ego(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vehicle is where its sequence's first user is, and turns by a radian for every twenty of their value; keyframes are the middles of sequences."""
+    rows = frames(spark, sf_dir)
+    cos, sin, zero, one = F.cos("turn"), F.sin("turn"), F.lit(0.0), F.lit(1.0)
+    seen = rows.where("track % 50 = 0").groupBy("seq", "t").agg(F.min("x").alias("x"), F.min("y").alias("y")).withColumn("turn", F.col("x") / 20)
+    matrix = F.array(cos, -sin, zero, F.col("x"), sin, cos, zero, F.col("y"), zero, zero, one, zero, zero, zero, zero, one)
+    own = F.col("seq").cast("string").alias("sequence_id")
+    middle = rows.groupBy("seq").agg(((F.min("t") + F.max("t")) / 2).alias("t"))
+    return poses.ego_path(seen.select(own, F.col("t").alias("ts"), matrix.alias("pose")), middle.select(own, "t"))
+
+
+@query(f"""WITH {EGO_SQL} SELECT seq::VARCHAR AS sequence_id, round(t, 6) AS t, round(x, 4) AS x, round(py, 4) AS y, round(cos(turn), 4) AS heading_x, round(sin(turn), 4) AS heading_y, keyframe FROM ego""")
+def ego_path(spark, sf_dir):
+    return _ego(spark, sf_dir).withColumns({"t": F.round("t", 6), **{c: F.round(c, 4) for c in ("x", "y", "heading_x", "heading_y")}})
+
+
+@query(f"""WITH {EGO_SQL}, placed AS (SELECT seq, track, bool_or(kind = 'signup') AS anchored,
+  coalesce(arg_min(x, (t, frame)) FILTER (kind = 'signup'), arg_min(x, (t, frame))) AS x, coalesce(arg_min("y", (t, frame)) FILTER (kind = 'signup'), arg_min("y", (t, frame))) AS py FROM frames GROUP BY seq, track)
+SELECT p.seq::VARCHAR AS sequence_id, track, anchored, round(sqrt(power(p.x - e.x, 2) + power(p.py - e.py, 2)), 4) AS "range" FROM placed p LEFT JOIN (SELECT * FROM ego WHERE keyframe) e USING (seq)""")
+def keyframe_ranges(spark, sf_dir):
+    """How far each track's anchor (signup), or its first frame, is from the vehicle at the keyframe."""
+    rows = frames(spark, sf_dir).withColumn("sequence_id", F.col("seq").cast("string"))
+    return poses.keyframe_ranges(rows, _ego(spark, sf_dir), F.col("kind") == "signup").withColumn("range", F.round("range", 4))
+
+
+@query(f"""WITH {ACTIONS_SQL}, keyframes AS (SELECT seq, (min(t) + max(t)) / 2 AS moment FROM frames WHERE seq % 7 <> 3 GROUP BY seq),
+named AS (SELECT *, left(track::VARCHAR, 8) AS name FROM actions WHERE starts_with(track::VARCHAR, '1'))
+SELECT n.seq, track, CASE WHEN status <> 'determined' THEN name || ': UNDETERMINED (empty track)' WHEN NOT coalesce(crosses, false) THEN name || ': no road cross' WHEN moment IS NULL THEN name || ': CROSSES ROAD'
+  ELSE printf('%s: CROSSES ROAD  t_c=%+.1fs', name, crossing_t - moment) END AS banner FROM named n LEFT JOIN keyframes USING (seq)""")
+def action_banners(spark, sf_dir):
+    """Lines on the tracks whose id begins with 1; some sequences have no keyframe."""
+    rows = frames(spark, sf_dir)
+    middle = rows.where("seq % 7 <> 3").groupBy("seq").agg(((F.min("t") + F.max("t")) / 2).alias("moment"))
+    return actions.banners(_actions(rows), middle, "1")

@@ -38,3 +38,8 @@ def sequence_key(text: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     return F.trim(F.coalesce(text, F.lit("")))
+
+
+def short_id(key: Column) -> Column:
+    """The first eight characters; ids of born tracks (`silver...`) stay whole, because they would collide."""
+    return F.when(key.startswith("silver"), key).otherwise(F.left(key, F.lit(8)))

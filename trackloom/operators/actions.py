@@ -56,3 +56,21 @@ def with_actions(tracks: DataFrame, actions: DataFrame) -> DataFrame:
 def only_for(actions: DataFrame, tracks: DataFrame) -> DataFrame:
     """The action records of the tracks that are wanted (seq, track), each record once."""
     return actions.join(tracks.select("seq", "track"), ["seq", "track"], "left_semi")
+
+
+# The banners' three shapes.
+UNDETERMINED, CROSSES, STAYS = "%s: UNDETERMINED (empty track)", "%s: CROSSES ROAD  t_c=%+.1fs", "%s: no road cross"
+
+
+def banners(actions: DataFrame, keyframes: DataFrame, prefix: str = "") -> DataFrame:
+    """seq, track, banner: one line on what each track does, with the crossing's time from the keyframe (seq, moment) in signed tenths of a second.
+
+    Only tracks whose id begins with `prefix`. A crossing without a time, or in a sequence without a keyframe, says so without it.
+    """
+    key = F.col("track").cast("string")
+    wanted = actions.where(key.startswith(prefix)).join(keyframes.select("seq", "moment"), "seq", "left")
+    after = F.col("crossing_t") - F.col("moment")
+    name = F.left(key, F.lit(8))
+    crossing = F.when(after.isNull(), F.format_string(CROSSES.split("  ")[0], name)).otherwise(F.format_string(CROSSES, name, after))
+    text = F.when(F.col("status") != "determined", F.format_string(UNDETERMINED, name)).when(F.coalesce("crosses", F.lit(False)), crossing).otherwise(F.format_string(STAYS, name))
+    return wanted.select("seq", "track", text.alias("banner"))

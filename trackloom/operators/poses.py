@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .temporal import neighbours
@@ -67,3 +67,28 @@ def poses_at(moments: DataFrame, poses: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"sequence_id": rows["sequence_id"], "t": rows["t"], "pose": list(between(p0, p1, share).reshape(-1, 16))})
 
     return flat.mapInPandas(run, "sequence_id string, t double, pose array<double>")
+
+
+def ego_path(poses: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """sequence_id, t, x, y, heading_x, heading_y, keyframe: every pose of the vehicle seen from above, and (`keyframe`) the one that it has at
+    the sequence's keyframe (sequence_id, t), between its neighbours. A sequence without poses has no rows; one without a keyframe has its path alone."""
+
+    def flat(rows: DataFrame, t: str, keyframe: bool) -> DataFrame:
+        at = lambda i: F.col("pose")[i]
+        return rows.select("sequence_id", F.col(t).alias("t"), at(3).alias("x"), at(7).alias("y"), at(0).alias("heading_x"), at(4).alias("heading_y"), F.lit(keyframe).alias("keyframe"))
+
+    return flat(poses, "ts", False).unionByName(flat(poses_at(keyframes, poses), "t", True))
+
+
+def keyframe_ranges(frames: DataFrame, path: DataFrame, anchor: Column) -> DataFrame:
+    """sequence_id, track, anchored, range: how far each track is from the vehicle at the keyframe.
+
+    A track stands where its first anchor is, one without an anchor at its first frame; the range is null where the sequence has no pose at its
+    keyframe. frames: sequence_id, track, frame, t, x, y; `path` as `ego_path` gives it.
+    """
+    place, order = F.struct("x", "y"), F.struct("t", "frame")
+    own = frames.groupBy("sequence_id", "track").agg(F.min_by(place, F.when(anchor, order)).alias("anchor"), F.min_by(place, order).alias("first"))
+    here = path.where("keyframe").select("sequence_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    at = F.coalesce("anchor", "first")
+    gap = F.sqrt((at["x"] - F.col("_x")) ** 2 + (at["y"] - F.col("_y")) ** 2)
+    return own.join(here, "sequence_id", "left").select("sequence_id", "track", F.col("anchor").isNotNull().alias("anchored"), gap.alias("range"))

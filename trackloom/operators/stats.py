@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -58,6 +60,29 @@ def composition_sets(index: DataFrame, horizon: float = 2.0) -> DataFrame:
     return found.where("level > 0 or split is not null")
 
 
+def composition_at(index: DataFrame, horizons: Sequence[float] = tuple(HORIZON_COLUMNS)) -> DataFrame:
+    """Totals (level 3), tiers (1) and tiers by split (0) at every horizon, as rows: horizon (text), level, tier, split, samples, pedestrians,
+    sequences, crossers, crossing_ratio.
+
+    Rows are first counted by pedestrian, so the sets multiply pedestrians instead of samples, and all horizons are counted in that one pass; only
+    its few rows are turned into rows by horizon. Rows without a split count in totals and tiers.
+    """
+    hits = {str(h): horizon_column(h) for h in horizons}
+    own = index.groupBy("seq", "pedestrian", "tier", "split").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in hits.values()])
+    both = [F.col("tier"), F.col("split")]
+    sets = own.groupingSets([both, [F.col("tier")], []], *both).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("samples"), F.count_distinct("seq", "pedestrian").alias("pedestrians"), F.count_distinct("seq").alias("sequences"), *[F.sum(c).alias(c) for c in hits.values()]
+    )
+    kept = sets.where("(level > 0 or split is not null) and samples is not null")
+    each = kept.withColumn("h", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("crossers")) for h, c in hits.items()])))
+    return each.select("h.horizon", "level", "tier", "split", "samples", "pedestrians", "sequences", "h.crossers", (F.col("h.crossers") / F.col("samples")).alias("crossing_ratio"))
+
+
+def shares(counts: DataFrame, count: str = "n") -> DataFrame:
+    """Counts (a row for each reason: few) with their share of the total."""
+    return counts.withColumn("share", F.try_divide(F.col(count).cast("double"), F.sum(count).over(Window.partitionBy())))
+
+
 def funnel(stages: dict[str, DataFrame]) -> DataFrame:
     """Name and size of each stage; the stages are aggregates, not collected."""
     out = None

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,14 @@ def documents(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("errorifexists").text(path)
 
 
-def replace(rows: DataFrame, path: str, force: bool = False) -> None:
-    """Writes `rows` beside `path` and gives them its name when they are complete.
+@contextmanager
+def replaced(spark: SparkSession, path: str, force: bool = False) -> Iterator[str]:
+    """A fresh path beside `path`, which gets its name when the block ends without an error.
 
-    An existing path is refused unless `force`d; then the old table is renamed, the new one takes its name, and the old one is deleted. Whatever fails
-    before the last step, one of both is whole: a write that fails leaves the old table untouched, and if the new one cannot be
-    renamed the old one gets its name back. `rows` may read `path`. Renames are one step on HDFS and local disks; object stores copy.
+    An existing path is refused unless `force`d; then the old one is renamed, the new one takes its name, and the old one is deleted. Whatever fails
+    before the last step, one of both is whole: a write that fails leaves the old one untouched, and if the new one cannot be
+    renamed the old one gets its name back. Renames are one step on HDFS and local disks; object stores copy.
     """
-    spark = rows.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     mark = uuid.uuid4().hex
     own, fresh, old = hadoop(path), hadoop(f"{path}.staged-{mark}"), hadoop(f"{path}.replaced-{mark}")
@@ -42,7 +44,7 @@ def replace(rows: DataFrame, path: str, force: bool = False) -> None:
     if there and not force:
         raise FileExistsError(f"{path} is there already: force its replacement")
     try:
-        rows.write.parquet(fresh.toString())
+        yield fresh.toString()
         if there and not files.rename(own, old):
             raise OSError(f"{path} could not be renamed")
         if not files.rename(fresh, own):
@@ -56,6 +58,12 @@ def replace(rows: DataFrame, path: str, force: bool = False) -> None:
         files.delete(old, True)
 
 
+def replace(rows: DataFrame, path: str, force: bool = False) -> None:
+    """Writes `rows` beside `path` and gives them its name when they are complete (see `replaced`). `rows` may read `path`."""
+    with replaced(rows.sparkSession, path, force) as fresh:
+        rows.write.parquet(fresh)
+
+
 def restamp(spark: SparkSession, path: str, change) -> None:
     """Replaces a table by a function of itself."""
     replace(change(spark.read.parquet(path)), path, force=True)
