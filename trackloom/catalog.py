@@ -830,4 +830,4 @@ def streaming_births(spark, sf_dir):
     return rounded(streamed.withColumn("streamed", F.lit(True)).unionByName(rest.withColumn("streamed", F.lit(False))), 3)
 
 
-from . import assembled, sensed, spaces  # noqa: E402,F401  the other registered queries
+from . import assembled, sensed, spaces, stored  # noqa: E402,F401  the other registered queries

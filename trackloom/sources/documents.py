@@ -18,9 +18,9 @@ FRAME = "struct<timestamp:string,position_world:array<double>,in_observation:boo
 TRACK = f"schema string, sequence_id string, pedestrian_id string, is_in_gold_standard boolean, keyframe_timestamp string, frames array<{FRAME}>"
 
 
-def json_documents(spark: SparkSession, path: str, schema: str, version: str | None = None) -> DataFrame:
-    """One row a document, with its file name; documents of another version tag are an error."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+def json_documents(spark: SparkSession, path: str, schema: str, version: str | None = None, lines: bool = False) -> DataFrame:
+    """One row a document, with its file name; documents of another version tag are an error. A file is one document, or has one on each of its `lines`."""
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
     if version is None:
         return rows
     wrong = F.raise_error(F.concat(F.lit(f"not {version}: "), F.col("file_name"))).cast("string")
