@@ -773,6 +773,8 @@ def test_records_without_an_id_have_ids_of_their_own():
     assert ids(None) != ids(None) and ids(4) == ids(4) != ids(5)
     revisit = warc.headers(warc.record_bytes(9, "u", b"x", digest, 4).partition(b"\r\n\r\n")[0])
     assert revisit["warc-refers-to"] == ids(4) != revisit["warc-record-id"]
+    nameless = [warc.headers(warc.record_bytes(None, "u", b"x", digest, None, place).partition(b"\r\n\r\n")[0])["warc-record-id"] for place in ("0:1", "0:1", "0:2", "1:1")]
+    assert nameless[0] == nameless[1] and len(set(nameless)) == 3  # the same when a task is repeated
 
 
 def test_the_network_is_a_plain_convolution():

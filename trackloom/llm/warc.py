@@ -13,7 +13,7 @@ the list of files is itself a table written by Spark, so files of lost or repeat
 never read.
 
 A record's id follows from its page_id and payload; rows that are equal in both are copies of one record and
-share its id, records without a page_id get one of their own.
+share its id; that of a record without a page_id follows from its payload and its place (task and row), so a repeated task gives it again.
 
 Edge cases: null html = empty payload; a null url is an empty target; rows with equal page_id and
 equal payload are all responses when that id is the smallest; null page_ids come last (a group with
@@ -31,6 +31,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ from .files import NewFile, make_folder, open_random, open_stream
 LEAST_BYTES = 100
 #: Bytes before compression after which a task opens its next archive.
 ARCHIVE_BYTES = 64 << 20
-#: Rows of the table of repeated payloads (48 bytes each) up to which it is broadcast.
-BROADCAST_ROWS = 100_000
 _PIECE = 1 << 18
 
 MANIFEST = "archive string, records long"
@@ -58,23 +57,21 @@ def with_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     ).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     shared = written(shared.where("n > 1").select("digest", "first"), "warc-shared")
-    if shared.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(shared), "digest", "left")
-    return rows.join(shared, "digest", "left")  # large payload groups: Spark splits skewed sides of this join
+    return rows.join(shared, "digest", "left")  # by the sizes Spark broadcasts, or shuffles and splits skewed sides
 
 
-def _record_id(page_id: int | None, digest: str) -> str:
-    own = uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}")
-    return f"<urn:uuid:{own}>"
+def _record_id(page_id: int | None, digest: str, place: str | None = None) -> str:
+    own = f"page:{page_id}:{digest}" if page_id is not None else place and f"place:{place}:{digest}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, own) if own else uuid.uuid4()}>"
 
 
-def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, first: int | None) -> bytes:
-    """One WARC record; a revisit (first is another page) has the HTTP head only."""
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, first: int | None, place: str | None = None) -> bytes:
+    """One WARC record; a revisit (first is another page) has the HTTP head only. `place` tells records without a page_id apart (without it their ids are random)."""
     revisit = first is not None and first != page_id
     head = [
         "WARC/1.0",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page_id, digest)}",
+        f"WARC-Record-ID: {_record_id(page_id, digest, place)}",
         "WARC-Target-URI: " + re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url),
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -92,14 +89,15 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     def run(batches: Iterator[pa.RecordBatch]):
         out = pack = None
-        records = size = 0
+        part, row_number, records, size = TaskContext.get().partitionId(), 0, 0, 0
         made: list[tuple[str, int]] = []
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {name: batch.column(name)[at].as_py() for name in ("page_id", "url", "html", "digest", "first")}
                 if out is None:
                     out, pack, records, size = NewFile(folder, ".mono.warc.gz"), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
-                data = record_bytes(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["first"])
+                data = record_bytes(row["page_id"], row["url"], row["html"].encode("utf-8", "surrogatepass"), row["digest"], row["first"], f"{part}:{row_number}")
+                row_number += 1
                 out.write(pack.compress(data))
                 records, size = records + 1, size + len(data)
                 if size >= archive_bytes:
