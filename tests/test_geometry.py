@@ -111,3 +111,16 @@ def test_sql_functions(spark):
     ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 4D, 'y', 4D), named_struct('x', 0D, 'y', 4D))"
     row = spark.sql(f"SELECT in_ring(1, 2, {ring}) a, in_ring(5, 2, {ring}) b, lerp_at(0, 0, 2, 10, 1) c, lerp_at(0, 0, 2, 10, 5) d, range_xy(3, 4) e, sequence_key(' 7 ') f, tier_of(NULL) g").first()
     assert tuple(row) == (True, False, 5.0, 10.0, 5.0, "000007", "gold")
+
+
+def test_lens_and_heading_in_sql(spark):
+    """The SQL functions against the column functions; a point on the axis, and headings over the shorter arc."""
+    registry.register(spark)
+    k = [0.05, -0.01, 0.002, -0.0003]
+    rows = spark.createDataFrame([(0.0, 0.0, 3.0), (1.0, -2.0, 3.0), (5.0, 4.0, -1.0), (1e-12, 0.0, 1.0)], "x double, y double, z double")
+    u, v = G.fisheye(F.col("x"), F.col("y"), F.col("z"), k, 900.0, 910.0, 960.0, 540.0)
+    scale = f"lens_scale(x, y, z, array({', '.join(f'{c}D' for c in k)}))"
+    for r in rows.select(u.alias("u"), v.alias("v"), F.expr(f"900 * x * {scale} + 960").alias("su"), F.expr(f"910 * y * {scale} + 540").alias("sv")).collect():
+        assert (r["su"], r["sv"]) == (pytest.approx(r["u"], rel=1e-12), pytest.approx(r["v"], rel=1e-12))
+    got = spark.sql("SELECT heading_between(3, -3, 0.5) a, heading_between(1, 2, 0.25) b, heading_between(1, 2, 7) c").first()
+    assert (got["a"], got["b"], got["c"]) == (pytest.approx(math.pi), 1.25, 2.0)

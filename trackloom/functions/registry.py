@@ -17,6 +17,16 @@ FUNCTIONS = (
         "size(ring) > 0 AND aggregate(zip_with(ring, concat(slice(ring, 2, size(ring)), slice(ring, 1, 1)), (a, b) -> "
         "coalesce((a.y > py) <> (b.y > py) AND px < (b.x - a.x) * (py - a.y) / (b.y - a.y + 1e-12) + a.x, false)), false, (odd, c) -> odd <> c)",
     ),
+    # the part of the way from one heading to the other, along the shorter arc
+    ("heading_between", "a DOUBLE, b DOUBLE, share DOUBLE", "DOUBLE", "a + least(greatest(share, 0D), 1D) * atan2(sin(b - a), cos(b - a))"),
+    # how far a fisheye lens moves a point of the camera's frame from its axis, as a factor of x and y
+    (
+        "lens_scale",
+        "x DOUBLE, y DOUBLE, z DOUBLE, k ARRAY<DOUBLE>",
+        "DOUBLE",
+        "CASE WHEN sqrt(x * x + y * y) < 1e-9 THEN 0D ELSE aggregate(transform(k, (c, i) -> c * power(atan2(sqrt(x * x + y * y), z), 3D + 2 * i)), atan2(sqrt(x * x + y * y), z), (a, c) -> a + c) "
+        "/ greatest(sqrt(x * x + y * y), 1e-9) END",
+    ),
 )
 
 

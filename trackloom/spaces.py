@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import LENS, query, rounded
 from .functions import geometry as G
+from .functions import registry
 from .operators import surfaces
 from .plans.adapters import POINTS_SQL, frames, points, FRAMES_SQL
 
@@ -170,3 +171,21 @@ def nearest_scan(spark, sf_dir):
     rows = frames(spark, sf_dir)
     moments = rows.groupBy("track").agg(((F.min("t") + F.max("t")) / 2).alias("moment"))
     return rounded(surfaces.nearest_record(moments, rows.where("kind = 'view'").select("track", "t", F.col("frame").alias("name")), "track"))
+
+
+_LU, _LV = lens_sql("x", '"y"', "(z + 8)")
+
+
+@query(f"""WITH {POINTS_SQL}, o AS (SELECT *, lag(x) OVER w AS was_x, lag(vec_id) OVER w AS was FROM points WINDOW w AS (PARTITION BY label, vec_id // 50 ORDER BY vec_id))
+SELECT vec_id, round({_LU}, 5) AS u, round({_LV}, 5) AS v, round(sqrt(x * x + "y" * "y"), 6) AS range_xy, round(x / 4 + 0.25 * atan2(sin("y" / 4 - x / 4), cos("y" / 4 - x / 4)), 6) AS heading,
+  round(CASE WHEN was IS NOT NULL THEN was_x + 0.5 * (x - was_x) END, 6) AS halfway FROM o""")
+def sql_functions(spark, sf_dir):
+    """The registered functions as a SQL user calls them: pixels, ranges, headings a quarter of the way, and places between neighbours of a label (among fifty ids)."""
+    registry.register(spark)
+    lens = f"lens_scale(x, y, z + 8, array({', '.join(f'{c}D' for c in LENS['k'])}))"
+    fx, fy, cx, cy = (LENS[c] for c in ("fx", "fy", "cx", "cy"))
+    return spark.sql(
+        f"""SELECT vec_id, round({fx}D * x * {lens} + {cx}D, 5) AS u, round({fy}D * y * {lens} + {cy}D, 5) AS v, round(range_xy(x, y), 6) AS range_xy, round(heading_between(x / 4, y / 4, 0.25), 6) AS heading,
+          round(lerp_at(was, was_x, vec_id, x, (was + vec_id) / 2), 6) AS halfway FROM (SELECT *, lag(x) OVER w AS was_x, lag(vec_id) OVER w AS was FROM {{points}} WINDOW w AS (PARTITION BY label, vec_id DIV 50 ORDER BY vec_id))""",
+        points=points(spark, sf_dir),
+    )
