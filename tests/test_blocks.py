@@ -97,3 +97,10 @@ def test_detection_cache_comes_back(spark, tmp_path):
     assert {r["sequence_id"]: sorted(r["images"]) for r in cache.collect()} == {"s1": ["i1", "i2"], "s2": ["i1"]}
     found = documents.detections(cache, 0.1).collect()
     assert [(r["image"], r["score"]) for r in found] == [("i1", 0.9)] and math.isclose(found[0]["x2"], 2.0)
+
+
+def test_positions_keep_their_digits_as_doubles(spark):
+    """Values of more digits than a float holds: sums of doubles stay exact."""
+    frames = F.array(F.struct(F.lit(1.0).alias("ts"), F.array(F.lit(122.795003), F.lit(0.0), F.lit(0.0)).alias("position")))
+    row = spark.range(1).select(*[index.positions(frames, F.lit(2.0), kind=kind)[0][0].cast("double").alias(kind) for kind in ("float", "double")]).first()
+    assert row["double"] == 122.795003 and row["float"] != 122.795003

@@ -31,10 +31,12 @@ def sample_id(sequence: Column, pedestrian: Column, start_us: Column) -> Column:
     return F.concat_ws("_", sequence, pedestrian, F.floor(start_us / 1000 + 0.5).cast("string"))
 
 
-def positions(frames: Column, end: Column, part: str = "observed", seen_from: str = "world") -> Column:
-    """Positions of one part of a sample as rows of three floats, in the world or (`ego`) as the vehicle sees them; by default nothing after the window."""
+def positions(frames: Column, end: Column, part: str = "observed", seen_from: str = "world", kind: str = "float") -> Column:
+    """Positions of one part of a sample as rows of three floats, in the world or (`ego`) as the vehicle sees them; by default nothing after the window.
+
+    Models read floats; sums over them need `kind="double"`, or their last digits go."""
     place = {"world": "position", "ego": "position_ego_rel"}[seen_from]
-    return F.transform(select_part(frames, end, part), lambda f: F.transform(f[place], lambda v: v.cast("float")))
+    return F.transform(select_part(frames, end, part), lambda f: F.transform(f[place], lambda v: v.cast(kind)))
 
 
 def frame_times(frames: Column, end: Column, part: str = "observed") -> Column:
