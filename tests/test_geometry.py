@@ -78,6 +78,31 @@ def test_lift_takes_the_near_slab(spark):
     assert got["x"] == pytest.approx(10.45) and got["n_points"] == 10
 
 
+def test_lift_of_many_sizes_equals_pairs_and_shuffles_none(spark):
+    """Boxes of 5 to 900 pixels on and across the tiles' edges, and places without a value, against the pairs of `in_frustum`."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 2), *[None if rng.random() < 0.1 else float(a) for a in rng.normal(0, 3, 3)], *[float(a) for a in rng.integers(-600, 600, 2)]) for i in range(600)]
+    corners = [(int(i % 2), i, *[float(a) for a in rng.integers(-600, 500, 2)], float(rng.choice([5, 128, 256, 900]))) for i in range(60)]
+    points = spark.createDataFrame(rows, POINT)
+    boxes = spark.createDataFrame([(s, i, a, b, a + n, b + n) for s, i, a, b, n in corners] + [(0, 98, None, 0.0, 1.0, 1.0), (None, 99, 0.0, 0.0, 9.0, 9.0)], BOX)
+    want: dict = {}
+    for r in lifting.in_frustum(points, boxes).collect():
+        want.setdefault((r["scan"], r["box"]), []).append(r)
+    found = lifting.lift(points, boxes)
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()  # no aggregate over pairs
+    got = {(r["scan"], r["box"]): r for r in found.collect()}
+    assert len(got) == 62 and (None, 99) in got and sum(r["x"] is not None for r in got.values()) > 20
+    for key, r in got.items():
+        own = want.get(key, [])
+        if len(own) < 3:
+            assert r["x"] is None and r["n_points"] is None
+            continue
+        near = np.quantile([p["range"] for p in own if p["range"] is not None], 0.15)
+        close = [p for p in own if p["range"] is not None and p["range"] <= near + 1.5]
+        own = close if len(close) >= 3 else own
+        assert r["n_points"] == len(own) and [r[c] for c in "xyz"] == [pytest.approx(float(np.median([p[c] for p in own if p[c] is not None]))) for c in "xyz"]
+
+
 def test_points_in_box(spark):
     one = [F.lit(v) for v in (0.0, 0.0, 0.0, 4.0, 2.0, 1.0)]
     box = dict(zip(("cx", "cy", "cz", "length", "width", "height"), one, strict=True))
