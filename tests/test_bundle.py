@@ -122,3 +122,14 @@ def test_banners_and_short_ids(spark):
     assert got == {"ab345678-9": "ab345678: CROSSES ROAD  t_c=+2.3s", "abc": "abc: no road cross", "abd": "abd: UNDETERMINED (empty track)", "abe": "abe: CROSSES ROAD", "abf": "abf: CROSSES ROAD  t_c=-0.0s", "abg": "abg: no road cross"}
     ids = spark.createDataFrame([("silver000123",), ("0123456789",), ("ab",)], "k string").select(short_id(F.col("k")).alias("s"))
     assert [r["s"] for r in ids.collect()] == ["silver000123", "01234567", "ab"]
+
+
+def test_composition_counts_keys_once_a_level_without_multiplying_rows(spark):
+    """A pedestrian in two tiers and splits counts once a level; keys with nulls are no pedestrians; the plan expands nothing but few rows."""
+    rows = [(1, 1, "gold", "train"), (1, 1, "gold", "train"), (1, 1, "gold", "val"), (1, 1, "silver", None), (2, 1, "gold", "train"), (2, None, "gold", "train"), (None, 3, None, "val")]
+    index = spark.createDataFrame([(*r, True, False, True) for r in rows], "seq long, pedestrian long, tier string, split string, h1_0 boolean, h1_5 boolean, h2_0 boolean")
+    found = stats.composition_at(index, (2.0,))
+    assert "gid" not in found._jdf.queryExecution().optimizedPlan().toString().replace("spark_grouping_id", "")  # no expansion for distinct counts
+    got = {(r["level"], r["tier"], r["split"]): (r["samples"], r["pedestrians"], r["sequences"]) for r in found.collect()}
+    assert got[3, None, None] == (7, 2, 2) and got[1, "gold", None] == (5, 2, 2) and got[1, "silver", None] == (1, 1, 1) and got[1, None, None] == (1, 0, 0)
+    assert got[0, "gold", "train"] == (4, 2, 2) and got[0, "gold", "val"] == (1, 1, 1) and got[0, None, "val"] == (1, 0, 0)

@@ -60,18 +60,39 @@ def composition_sets(index: DataFrame, horizon: float = 2.0) -> DataFrame:
     return found.where("level > 0 or split is not null")
 
 
+#: Levels of the composition: tier and split, tier, all.
+_LEVELS = (0, 1, 3)
+
+
+def _begun(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Adds for each level whether the row is the first of its key (one without nulls) in its tier and split, in its tier, in all."""
+    before = F.lag(F.struct("tier", "split")).over(Window.partitionBy(*key).orderBy("tier", "split"))
+    marked = rows.withColumn("before", before)
+    known = F.lit(True)
+    for c in key:
+        known = known & F.col(c).isNotNull()
+    whole = F.col("before").isNull()
+    tier = whole | ~F.col("tier").eqNullSafe(F.col("before.tier"))
+    split = tier | ~F.col("split").eqNullSafe(F.col("before.split"))
+    return marked.withColumns({f"{name}{i}": known & first for i, first in zip(_LEVELS, (split, tier, whole), strict=True)}).drop("before")
+
+
 def composition_at(index: DataFrame, horizons: Sequence[float] = tuple(HORIZON_COLUMNS)) -> DataFrame:
     """Totals (level 3), tiers (1) and tiers by split (0) at every horizon, as rows: horizon (text), level, tier, split, samples, pedestrians,
     sequences, crossers, crossing_ratio.
 
-    Rows are first counted by pedestrian, so the sets multiply pedestrians instead of samples, and all horizons are counted in that one pass; only
-    its few rows are turned into rows by horizon. Rows without a split count in totals and tiers.
+    Distinct pedestrians and sequences are counted by what is new in order: sorted by tier and split, a pedestrian's row that begins a set of a
+    level counts once there. One exchange and one sort (which may spill) serve all levels, no set multiplies rows, and only tiers by split are
+    turned into sets and horizons. Rows without a split count in totals and tiers.
     """
     hits = {str(h): horizon_column(h) for h in horizons}
-    own = index.groupBy("seq", "pedestrian", "tier", "split").agg(F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in hits.values()])
+    rows = _begun(index.select("seq", "pedestrian", "tier", "split", *hits.values()), ["seq", "pedestrian"], "p")
+    own = rows.groupBy("seq", "tier", "split").agg(F.count("*").alias("n"), *[F.count_if(f"p{i}").alias(f"p{i}") for i in _LEVELS], *[F.count_if(c).alias(c) for c in hits.values()])
+    few = _begun(own, ["seq"], "s").groupBy("tier", "split").agg(*[F.sum(c).alias(c) for c in ("n", *[f"p{i}" for i in _LEVELS], *hits.values())], *[F.count_if(f"s{i}").alias(f"s{i}") for i in _LEVELS])
     both = [F.col("tier"), F.col("split")]
-    sets = own.groupingSets([both, [F.col("tier")], []], *both).agg(
-        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("samples"), F.count_distinct("seq", "pedestrian").alias("pedestrians"), F.count_distinct("seq").alias("sequences"), *[F.sum(c).alias(c) for c in hits.values()]
+    at = lambda kind: F.when(F.grouping_id() == 0, F.sum(f"{kind}0")).when(F.grouping_id() == 1, F.sum(f"{kind}1")).otherwise(F.sum(f"{kind}3"))
+    sets = few.groupingSets([both, [F.col("tier")], []], *both).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("samples"), at("p").alias("pedestrians"), at("s").alias("sequences"), *[F.sum(c).alias(c) for c in hits.values()]
     )
     kept = sets.where("(level > 0 or split is not null) and samples is not null")
     each = kept.withColumn("h", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("crossers")) for h, c in hits.items()])))
