@@ -840,6 +840,23 @@ def test_toxicity_learns_from_long_documents(spark, monkeypatch):
     assert max(seen) == 100_000
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """Twelve bad words, of which the few rows of the starting point show some at most; several shards find them all, and the thresholds count every row of the tenth."""
+    rng = random.Random(8)
+    clean = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(20))
+    bad = [f"{a}{b}" for a in ("zyx", "qwo", "kju") for b in ("lorth", "mump", "vask", "drib")]
+    rows = [(i, f"{clean()} {bad[i // 4 % 12]} {clean()}" if i % 4 == 0 else f"{clean()} {clean()}", "en", int(i % 4 == 0)) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(3)
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 200_000)
+    counted, own = [], toxicity.best_thresholds
+    monkeypatch.setattr(toxicity, "best_thresholds", lambda counts: counted.append(counts) or own(counts))
+    model = toxicity.fit(docs, docs, positives=4, negatives=4)
+    assert (model.scores([f"{clean()} {word} {clean()}" for word in bad]) > 0.5).all() and (model.scores([clean() for _ in range(20)]) < 0.5).all()
+    assert counted[0]["en"].sum() == sum(i // 7 % 10 == 0 and zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in rows)
+    again = toxicity.fit(docs.repartition(5), docs, positives=4, negatives=4)  # however the rows lie
+    assert np.abs(again.table - model.table).max() < 1e-5
+
+
 def test_calibration_weighs_the_classes():
     class Scores:
         def scores(self, texts):
