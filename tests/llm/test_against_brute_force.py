@@ -407,6 +407,26 @@ def test_samples_are_those_of_smallest_hashes_and_whole(spark):
     assert few == [v for v in order if v != long][:10]
 
 
+@pytest.mark.parametrize("batch_chars", [400, 100_000])
+def test_automata_count_all_values(spark, batch_chars):
+    """All distinct values and tokens, however few an automaton is grown by at a time: counts are those of plain walks, and nothing is lost."""
+    rng = random.Random(12)
+    hexes = {"".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([12, 18]))) for _ in range(1_200)}
+    words = {"-".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(5, 8))) for _ in range(3)) for _ in range(1_500)}
+    texts = [f"token={x}" for x in hexes] * 2 + sorted(words)
+    formats = secrets.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), batch_chars=batch_chars)
+    shouted = [y for x in words for y in (x, x.upper())]
+    for own, values in ((formats.kinds[0], hexes), (formats.ordinary, shouted)):
+        want = Counter()
+        for x in values:
+            path = own.walk([automata.SYMBOL[c] for c in x])
+            want.update(path)
+            want[path[-1], "end"] += 1
+        assert own.seen[0] == len(values)
+        assert own.seen == [want[i] for i in range(own.states)] and own.ends == [want[i, "end"] for i in range(own.states)]
+    assert secrets.train(spark.createDataFrame([(1, "no values")], "doc_id long, text string")).kinds == []
+
+
 def test_spans_are_swept_in_one_go():
     rng = random.Random(8)
     for _ in range(300):

@@ -25,15 +25,39 @@ class Automaton:
 
     def __init__(self, strings: Iterable[str], alpha: float = 0.05):
         self.seen, self.ends, self.step = [0], [0], [{}]
-        for text in strings:
-            self._add([SYMBOL[c] for c in text])
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._merge_all()
+        self.grow(([SYMBOL[c] for c in text], 1) for text in strings)
+
+    def grow(self, strings: Iterable[tuple[list[int], int]]) -> None:
+        """Adds strings (as symbols), each so many times. States that are there stay; what is new is merged into them or beside them."""
+        old = len(self.seen)
+        for symbols, times in strings:
+            self._add(symbols, times)
+        self._merge_all(old)
         self._finish()
 
-    def _add(self, symbols: list[int]) -> None:
+    def walk(self, symbols: list[int]) -> list[int] | None:
+        """The states that a string goes through; None if it leaves the automaton."""
+        path, at = [0], 0
+        for x in symbols:
+            at = self.next[at][x]
+            if at < 0:
+                return None
+            path.append(at)
+        return path
+
+    def recount(self, counts: dict[tuple[int, int], int]) -> None:
+        """Sets all counts: of steps by (state, symbol), of ends by (state, -1)."""
+        for s, edges in enumerate(self.step):
+            self.ends[s] = counts.get((s, -1), 0)
+            for x, edge in edges.items():
+                edge[1] = counts.get((s, x), 0)
+            self.seen[s] = self.ends[s] + sum(edge[1] for edge in edges.values())
+        self._finish()
+
+    def _add(self, symbols: list[int], times: int) -> None:
         at = 0
-        self.seen[0] += 1
+        self.seen[0] += times
         for x in symbols:
             edge = self.step[at].get(x)
             if edge is None:
@@ -41,10 +65,10 @@ class Automaton:
                 self.ends.append(0)
                 self.step.append({})
                 edge = self.step[at][x] = [len(self.seen) - 1, 0]
-            edge[1] += 1
+            edge[1] += times
             at = edge[0]
-            self.seen[at] += 1
-        self.ends[at] += 1
+            self.seen[at] += times
+        self.ends[at] += times
 
     def _differ(self, a: int, m: int, b: int, n: int) -> bool:
         return abs(a / m - b / n) > self._bound * (1 / math.sqrt(m) + 1 / math.sqrt(n))
@@ -81,12 +105,13 @@ class Automaton:
                     edge[1] += count
                     todo.append((edge[0], child))
 
-    def _merge_all(self) -> None:
-        self._kept = [0]
-        level = [0]
+    def _merge_all(self, old: int) -> None:
+        """States from number `old` on are new, and still a tree."""
+        kept, level = [0], [0]
         while level:  # the states of one depth, then those after them
-            blue = [(p, x) for p in level for x in sorted(self.step[p])]
-            level = []
+            edges = [(p, x) for p in level for x in sorted(self.step[p])]
+            blue = [(p, x) for p, x in edges if self.step[p][x][0] >= old]
+            level = list(dict.fromkeys(q for p, x in edges if (q := self.step[p][x][0]) < old))
             for p, x in sorted(blue, key=lambda e: (-self.seen[self.step[e[0]][e[1]][0]], e)):  # those seen most choose first
                 q = self.step[p][x][0]
                 r = next((r for r in level if self._compatible(r, q)), None)
@@ -95,32 +120,36 @@ class Automaton:
                 else:
                     self.step[p][x][0] = r
                     self._fold(r, q)
-            self._kept += level
+            kept += level
+        number = {s: i for i, s in enumerate(kept)}
+        self.step = [{x: [number[q], n] for x, (q, n) in self.step[s].items()} for s in kept]
+        self.seen, self.ends = [self.seen[s] for s in kept], [self.ends[s] for s in kept]
 
     def _finish(self) -> None:
         """Log probabilities with a small count added to every step and end."""
-        number = {s: i for i, s in enumerate(self._kept)}
         small, ways = 0.05, len(CLASSES) + 1
         self.next, self.log_step, self.log_end = [], [], []
-        for s in self._kept:
+        for s in range(len(self.seen)):
             total = math.log(self.seen[s] + small * ways)
-            self.next.append([number.get(self.step[s][x][0], -1) if x in self.step[s] else -1 for x in range(len(CLASSES))])
+            self.next.append([self.step[s][x][0] if x in self.step[s] else -1 for x in range(len(CLASSES))])
             self.log_step.append([math.log((self.step[s][x][1] if x in self.step[s] else 0) + small) - total for x in range(len(CLASSES))])
             self.log_end.append(math.log(self.ends[s] + small) - total)
         self.lost = BLIND
-        del self.seen, self.ends, self.step
 
     @property
     def states(self) -> int:
         return len(self.next)
 
     def log_likelihood(self, text: str) -> float:
+        return self.chance([SYMBOL[c] for c in text])
+
+    def chance(self, symbols: list[int]) -> float:
+        """The log likelihood of a string of symbols."""
         at, total = 0, 0.0
-        for c in text:
+        for x in symbols:
             if at < 0:
                 total += self.lost
                 continue
-            x = SYMBOL[c]
             total += self.log_step[at][x]
             at = self.next[at][x]
         return total + (self.lost if at < 0 else self.log_end[at])

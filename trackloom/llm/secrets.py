@@ -1,10 +1,12 @@
 """Secret scans (operator 6): fixed patterns first, then inferred grammars over all candidates.
 
 The patterns (assignments, access keys, long hex runs) give the base spans, which stay. What they
-match are the labelled credentials: for each kind a bounded sample (`sample_size` distinct values of any
-length up to `sample_chars`, those of smallest hashes, until they have `sample_chars` characters) goes into a prefix tree whose
+match are the labelled credentials: for each kind all distinct values go into a prefix tree whose
 statistically compatible states are merged to a
-probabilistic automaton. A further automaton is learned from ordinary long tokens (`ordinary_size`, chosen likewise). Then every
+probabilistic automaton. A further automaton is learned from all distinct ordinary long tokens. Automata see classes of characters only, so
+values are counted by shape, in a table; an automaton grows by steps of at most `batch_chars` characters (and one value): tasks send every shape through it, those
+of smallest hashes among the shapes that leave it are added, until none leaves it. Its counts are then those of all values, and
+so are the levels and the threshold. Then every
 candidate (a maximal run of the credential alphabet of at least `min_length` characters) gets
 the log-likelihood ratio of its best credential automaton against the ordinary one, by
 character; candidates above the threshold that touch no base span become spans of kind `format`.
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .automata import BLIND, Automaton
-from .common import text_slices, texts_of, written
+from .automata import BLIND, CLASSES, Automaton
+from .common import release, text_slices, texts_of, written
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -98,7 +100,7 @@ def _values(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[str,
 
 
 def samples(docs: DataFrame, sample_size: int, ordinary_size: int, min_length: int, sample_chars: int) -> dict[str, list[str]]:
-    """Distinct values by kind, those of smallest hashes: at most `sample_size` of each and `ordinary_size`
+    """A look at the values, for readers; `train` learns from all of them. Distinct values by kind, those of smallest hashes: at most `sample_size` of each and `ordinary_size`
     ordinary ones, until they have `sample_chars` characters. A task gives no more of each than that."""
     most = {**dict.fromkeys(KINDS[:3], sample_size), "ordinary": ordinary_size}
 
@@ -173,6 +175,12 @@ class Formats:
             held_out += [self.ratio(x, half) for x in self._shouted(ordinary[others::2])]
         self.threshold = max(least_ratio, float(np.quantile(held_out, quantile)) if held_out else 0.0)
 
+    @classmethod
+    def of(cls, kinds: list[Automaton], ordinary: Automaton, threshold: float) -> Formats:
+        own = cls.__new__(cls)
+        own.kinds, own.ordinary, own.threshold = kinds, ordinary, threshold
+        return own
+
     @staticmethod
     def _shouted(words: list[str]) -> list[str]:
         """Ordinary words are shouted at times."""
@@ -194,8 +202,169 @@ def all_spans(text: str, runs: bool, formats: Formats, min_length: int = LEAST)
     return sorted(found, key=lambda x: x[:2])
 
 
-def train(docs: DataFrame, sample_size: int = 500, ordinary_size: int = 5_000, min_length: int = LEAST, sample_chars: int = 200_000) -> Formats:
-    return Formats(samples(docs, sample_size, ordinary_size, min_length, sample_chars))
+#: A letter for each class of characters: a shape is a value with classes for characters.
+_LETTERS = "abcdefghijk"
+_CAPITALS = str.maketrans("bc", "de")
+#: Words and amounts, as shapes.
+_PLAIN_SHAPE = re.compile(r"[bc]+|[de][bc]*|[de]+|[ai]+")
+
+
+def shapes(docs: DataFrame, min_length: int) -> DataFrame:
+    """kind (a credential kind or `ordinary`), shape, h, and how many distinct values have it: `even` and `odd` ones by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in text_slices(batches, "text"):
+            texts, found = texts_of(batch), set()
+            for text, runs in zip(texts, with_long_run(texts, min(LEAST, min_length)), strict=True):
+                base = base_spans(text, runs)
+                found.update(_values(text, base))
+                if runs:
+                    found.update(("ordinary", m[0]) for m in candidates(text, base, min_length))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["kind", "value"])
+
+    values = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string").distinct()
+    shape = F.translate("value", "".join(CLASSES), "".join(x * len(group) for x, group in zip(_LETTERS, CLASSES, strict=True)))
+    odd = F.pmod(F.xxhash64("value"), F.lit(2))
+    return values.groupBy("kind", shape.alias("shape")).agg(F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd")).withColumn("h", F.xxhash64("shape"))
+
+
+def _symbols(shape: str) -> list[int]:
+    return [ord(x) - 97 for x in shape]
+
+
+def _shown(kind: str, shape: str) -> tuple[str, ...]:
+    """Ordinary words are shouted at times."""
+    return (shape, shape.translate(_CAPITALS)) if kind == "ordinary" else (shape,)
+
+
+#: The parts of the values that an automaton is learned from: all, or a half.
+_PARTS = {"all": (1, 1), "even": (1, 0), "odd": (0, 1)}
+
+
+def learned(rows: DataFrame, names: list[tuple[str, str]], batch_chars: int) -> dict[tuple[str, str], Automaton]:
+    """Automata by (kind, part) from the table of shapes; parts that have no value get none."""
+    spark, done, todo = rows.sparkSession, {}, {name: Automaton(()) for name in names}
+    while todo:
+        sent = spark.sparkContext.broadcast(todo)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent):
+            counts: dict[tuple, int] = {}
+            lost: dict[tuple[str, str], list] = {name: [] for name in sent.value}
+            for batch in batches:
+                for r in batch.to_pylist():
+                    for (kind, part), own in sent.value.items():
+                        times = r["even"] * _PARTS[part][0] + r["odd"] * _PARTS[part][1]
+                        if kind != r["kind"] or not times:
+                            continue
+                        paths = [(own.walk(symbols), symbols) for symbols in map(_symbols, _shown(kind, r["shape"]))]
+                        if any(path is None for path, _ in paths):
+                            counts[kind, part, -1, 0] = 1
+                            lost[kind, part].append((r["h"], r["shape"], times))
+                            if len(lost[kind, part]) > 2 * batch_chars:
+                                lost[kind, part] = sorted(lost[kind, part])[:batch_chars]  # a shape has a character at least
+                            continue
+                        for path, symbols in paths:
+                            for at, x in zip(path, [*symbols, -1], strict=True):
+                                counts[kind, part, at, x] = counts.get((kind, part, at, x), 0) + times
+            out = [(*k, n, None, None) for k, n in counts.items()]
+            for (kind, part), own in lost.items():
+                own.sort()
+                before = accumulate((len(shape) for _, shape, _ in own), initial=0)
+                out += [(kind, part, -2, 0, times, h, shape) for (h, shape, times), chars in zip(own, before, strict=False) if chars < batch_chars]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["kind", "part", "state", "symbol", "n", "h", "shape"])
+
+        found = written(rows.select("kind", "shape", "h", "even", "odd").mapInArrow(run, "kind string, part string, state int, symbol int, n long, h long, shape string"), "secret-steps")
+        counts: dict[tuple[str, str], dict[tuple[int, int], int]] = {name: {} for name in todo}
+        for r in found.where("state >= -1").groupBy("kind", "part", "state", "symbol").agg(F.sum("n").alias("n")).collect():
+            counts[r["kind"], r["part"]][r["state"], r["symbol"]] = r["n"]
+        for name, own in list(todo.items()):
+            more = counts[name].pop((-1, 0), 0)
+            own.recount(counts[name])
+            if more:
+                first, chars = [], 0
+                for r in found.where((F.col("state") == -2) & (F.col("kind") == name[0]) & (F.col("part") == name[1])).orderBy("h", "shape").select("shape", "n").limit(batch_chars).toLocalIterator():
+                    first += [(_symbols(shape), r["n"]) for shape in _shown(name[0], r["shape"])]
+                    chars += len(r["shape"])
+                    if chars >= batch_chars:
+                        break
+                own.grow(first)
+            else:
+                del todo[name]
+                if own.seen[0]:
+                    done[name] = own
+        release(found)
+        sent.unpersist()
+    return done
+
+
+def _measured(rows: DataFrame, measure) -> DataFrame:
+    """The rows with `measure(kind, shape, even, odd)`, a list of (value rounded to four places, how many values it stands for)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        kind = pa.list_(pa.struct([("x", pa.float64()), ("n", pa.int64())]))
+        for batch in batches:
+            found = [[{"x": round(x, 4), "n": n} for x, n in measure(r["kind"], r["shape"], r["even"], r["odd"]) if n] for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
+
+    return rows.mapInArrow(run, "kind string, shape string, even long, odd long, h long, found array<struct<x:double,n:long>>")
+
+
+def _by_char(own: Automaton, shape: str) -> float:
+    return own.chance(_symbols(shape)) / (len(shape) + 1)
+
+
+def _quantiles(measured: DataFrame, shares: list[float]) -> dict[str, list[float]]:
+    rows = measured.select("kind", F.inline("found")).groupBy("kind", "x").agg(F.sum("n").alias("n"))
+    return {r["kind"]: r["q"] for r in rows.groupBy("kind").agg(F.percentile("x", F.array(*map(F.lit, shares)), F.col("n")).alias("q")).collect()}
+
+
+def _halves(automata: dict[tuple[str, str], Automaton], kind: str) -> dict[str, Automaton]:
+    """For the even and the odd values the automaton that has not seen them (where there is none: that of all)."""
+    return {"even": automata.get((kind, "odd"), automata.get((kind, "all"))), "odd": automata.get((kind, "even"), automata.get((kind, "all")))}
+
+
+def train(docs: DataFrame, min_length: int = LEAST, batch_chars: int = 100_000, least_ratio: float = 0.3, quantile: float = 0.999) -> Formats:
+    """`Formats` of all values of the documents; what reaches the driver are automata, their counts and `batch_chars` of shapes at a time."""
+    rows = written(shapes(docs, min_length), "secret-shapes").select("kind", "shape", "even", "odd", "h")
+    known = learned(rows.where("kind <> 'ordinary'"), [(kind, part) for kind in KINDS[:3] for part in _PARTS], batch_chars)
+    names = [kind for kind in KINDS[:3] if (kind, "all") in known]
+    kinds = [known[kind, "all"] for kind in names]
+    if not kinds:
+        return Formats.of([], Automaton(()), least_ratio)
+    half = {kind: _halves(known, kind) for kind in names}
+    seen = _quantiles(_measured(rows.where("kind <> 'ordinary'"), lambda kind, shape, even, odd: [(_by_char(half[kind]["even"], shape), even), (_by_char(half[kind]["odd"], shape), odd)]), [0.01, 0.5])
+    levels = [max(1.5 * seen[kind][0] - 0.5 * seen[kind][1], BLIND + _MARGIN) for kind in names]
+    expected = lambda shape: not _PLAIN_SHAPE.fullmatch(shape) and any(_by_char(a, shape) >= level for a, level in zip(kinds, levels, strict=True))
+    best = lambda shape: max(_by_char(a, shape) for a in kinds)
+    tokens = _measured(rows.where("kind = 'ordinary'"), lambda kind, shape, even, odd: [(0.0, 1)] if expected(shape) else [])
+    aside = F.size("found") > 0
+    while True:
+        tokens = written(tokens, "secret-ordinary")
+        usual = tokens.where(~aside).drop("found")
+        ordinary = learned(usual, [("ordinary", "all")], batch_chars).get(("ordinary", "all"))
+        if ordinary is None:  # without any other token nothing tells them apart
+            if not tokens.take(1):
+                ordinary = Automaton(())
+                break
+            tokens = tokens.withColumn("found", F.slice("found", 1, 0))
+            continue
+        back = _measured(tokens.where(aside).drop("found"), lambda kind, shape, even, odd, ordinary=ordinary: [(0.0, 1)] if best(shape) - _by_char(ordinary, shape) > least_ratio / 2 else [])
+        back = written(back, "secret-aside")
+        if not back.where(~aside).take(1):
+            break
+        tokens = tokens.where(~aside).unionByName(back)
+    halves = _halves(learned(usual, [("ordinary", "even"), ("ordinary", "odd")], batch_chars) | {("ordinary", "all"): ordinary}, "ordinary")
+
+    def ratios(kind: str, shape: str, even: int, odd: int):
+        for own in _shown(kind, shape):
+            for part, n in (("even", even), ("odd", odd)):
+                yield best(own) - _by_char(halves[part], own), n
+
+    held_out = _quantiles(_measured(usual, ratios), [quantile])
+    threshold = max(least_ratio, held_out["ordinary"][0] if held_out else 0.0)
+    return Formats.of(kinds, ordinary, threshold)
 
 
 def find_secrets(docs: DataFrame, formats: Formats, min_length: int = LEAST) -> DataFrame:
