@@ -20,7 +20,7 @@ import numpy as np
 #: Text that one call of `encode` should get: new pieces that are not remembered are encoded once a call.
 STEP_BYTES = 1 << 20
 #: Distinct pieces that a task remembers; further ones are encoded again when they come again.
-REMEMBERED = 250_000
+REMEMBERED = 750_000
 _CLASS = bytes(b"."[0] if b < 128 and not chr(b).isalnum() and not chr(b).isspace() else b" "[0] if b in b"\t\n\v\f\r " else b"a"[0] for b in range(256))
 _CONTROL = bytes([*range(9), *range(14, 32), 127])
 _ODD = re.compile(r"[^\w\x00-\x7f]")
