@@ -21,9 +21,12 @@ import numpy as np
 STEP_BYTES = 1 << 20
 #: Distinct pieces that a task remembers; further ones are encoded again when they come again.
 REMEMBERED = 750_000
+#: Longer pieces (bytes) are texts that could not be cut; they hardly come again, and they and their ids fill the memory.
+LONG = 64
 _CLASS = bytes(b"."[0] if b < 128 and not chr(b).isalnum() and not chr(b).isspace() else b" "[0] if b in b"\t\n\v\f\r " else b"a"[0] for b in range(256))
 _CONTROL = bytes([*range(9), *range(14, 32), 127])
 _ODD = re.compile(r"[^\w\x00-\x7f]")
+_WORD = re.compile(rb" ?[^ \t\n\v\f\r]+")
 
 
 def _plain(text: str, raw: bytes, kinds: bytes) -> bool:
@@ -77,18 +80,20 @@ class Encoder:
         self.size[numbers] = size
         self.used += len(ids)
 
-    def _joins(self, piece: bytes) -> bool:
-        """Whether a piece can stand in a row with others: one word, at most one space before it, no mark inside."""
+    def _alone(self, pieces: list[bytes]) -> list[int]:
+        """Which pieces cannot stand in a row with others: these are one word, at most one space before it, no mark inside."""
+        if self.mark is None:
+            return list(range(len(pieces)))
         if self.cut == "space":  # always one word
-            return self.mark is not None and b"|" not in piece
-        core = piece[1:] if piece[:1] == b" " else piece
-        return self.mark is not None and piece not in self.whole and core.split() == [core] and self.between.strip(b" ") not in piece
+            return [i for i, p in enumerate(pieces) if b"|" in p]
+        word, whole = _WORD.fullmatch, self.whole
+        return [i for i, p in enumerate(pieces) if not word(p) or p in whole]
 
     def _learn(self) -> None:
         """Ids of the new pieces."""
         new, first = self.numbers.new, len(self.numbers) - len(self.numbers.new)
-        alone = [i for i, p in enumerate(new) if not self._joins(p)]
-        together = np.setdiff1d(np.arange(len(new)), alone)
+        alone = self._alone(new)
+        together = np.delete(np.arange(len(new)), alone)
         for at in range(0, len(together), 20_000):
             some = together[at : at + 20_000].tolist()
             lists = self._ids([self.between.join([*[new[i] for i in some[k : k + 50]], b""]) for k in range(0, len(some), 50)])
@@ -134,13 +139,20 @@ class Encoder:
         return ids, np.diff(reach[counts])
 
     def _forget(self) -> None:
-        """Drops the newest pieces beyond REMEMBERED."""
-        extra = len(self.numbers) - REMEMBERED
-        for piece in self.numbers.new[max(0, len(self.numbers.new) - extra) :] if extra > 0 else []:
-            del self.numbers[piece]
+        """Drops what is too long of the new pieces, then the newest ones beyond REMEMBERED."""
+        new, first = self.numbers.new, len(self.numbers) - len(self.numbers.new)
+        fits = [i for i, p in enumerate(new) if len(p) <= LONG][: max(0, REMEMBERED - first)]
+        if len(fits) < len(new):
+            for piece in new:
+                del self.numbers[piece]
+            self.numbers.update(zip([new[i] for i in fits], range(first, first + len(fits)), strict=True))
+            kept = first + np.array(fits, dtype=np.int64)
+            start, size = self.start[kept], self.size[kept]
+            before = np.cumsum(size) - size
+            ids = self.ids[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+            self.used = int((self.start[:first] + self.size[:first]).max(initial=0))
+            self._keep(first + np.arange(len(fits)), ids, size)
         self.numbers.new, self.whole = [], set()
-        n = len(self.numbers)
-        self.used = int((self.start[:n] + self.size[:n]).max(initial=0))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
