@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from trackloom.llm import toxicity
 
 
@@ -24,3 +26,13 @@ def test_the_tenth_that_calibrates_is_learned_as_well(spark, monkeypatch):
     tenth = docs.where(~toxicity.held_out(docs.doc_id) & toxicity._calibrates(docs.doc_id))
     assert len(shown) == 1 and {lang: int(n.sum()) for lang, n in counted[0].items()} == {r["lang"]: r["count"] for r in tenth.groupBy("lang").count().collect()}
     assert set(model.thresholds) == {"en", None} and model.thresholds == best(counted[0])
+
+
+def test_hashed_words_are_the_features_of_the_texts(spark):
+    texts = ["Some words, and more", "", "x", "schön " * 3_000, " \n", "the END"]
+    docs = spark.createDataFrame([(i, t, "en", i % 2, 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, toxic int, shard int").coalesce(1)
+    got = toxicity._hashed(docs).toArrow()
+    rows, bounds = toxicity._hashed_words(got.to_batches()[0])
+    want = toxicity.features([texts[i] for i in got["doc_id"].to_pylist()])
+    assert len(got.to_batches()) == 1 and np.array_equal(rows, want[0]) and np.array_equal(bounds, want[1])
+    assert got["chars"].to_pylist() == [len(texts[i]) for i in got["doc_id"].to_pylist()]
